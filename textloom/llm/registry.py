@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, line_dedup, mixing
+from textloom.llm import bpe, line_dedup, mixing, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op3_secret_scan": secret_scan.op3_secret_scan,
         "op9_mixing": mixing.op9_mixing,
         "op10_bpe": bpe.op10_bpe,
     }
