@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, line_dedup, mixing, secret_scan
+from textloom.llm import bpe, line_dedup, mixing, secret_scan, syncmers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op3_secret_scan": secret_scan.op3_secret_scan,
+        "op7_syncmers": syncmers.op7_syncmers,
         "op9_mixing": mixing.op9_mixing,
         "op10_bpe": bpe.op10_bpe,
     }
