@@ -162,13 +162,14 @@ def dedup_lines(
         F.xxhash64(F.col(text_col)).alias("row"),
     )
     text = F.coalesce(F.col(f"doc.`{text_col}`"), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
-    return rows.join(drops, ["did", "row"], "left").select(
+    # a column of its own: inside the lambda the split would run once for each line
+    cut = rows.join(drops, ["did", "row"], "left").select("doc", "dropped", F.split(text, "\n", -1).alias("lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
+    return cut.select(
         F.col("doc").alias("row"),
-        F.size(lines).cast("long").alias("n_lines"),
+        F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("dropped").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")).alias("kept_text"),
+        F.when(F.col("dropped").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n")).alias("kept_text"),
     )
 
 
