@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, language_id, line_dedup, mixing, secret_scan, syncmers
+from textloom.llm import bpe, embedding_dedup, language_id, line_dedup, mixing, secret_scan, syncmers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op3_secret_scan": secret_scan.op3_secret_scan,
+        "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
         "op7_syncmers": syncmers.op7_syncmers,
         "op8_language_id": language_id.op8_language_id,
         "op9_mixing": mixing.op9_mixing,
