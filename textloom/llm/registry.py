@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, embedding_dedup, language_id, line_dedup, mixing, secret_scan, syncmers
+from textloom.llm import bpe, embedding_dedup, language_id, line_dedup, mixing, order_minhash, secret_scan, syncmers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op3_secret_scan": secret_scan.op3_secret_scan,
         "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
+        "op6_near_dedup": order_minhash.op6_near_dedup,
         "op7_syncmers": syncmers.op7_syncmers,
         "op8_language_id": language_id.op8_language_id,
         "op9_mixing": mixing.op9_mixing,
