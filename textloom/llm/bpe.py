@@ -20,8 +20,9 @@ whole; one word of a million characters costs O(n log n).
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,11 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Words and their ids that a Python worker keeps; a cache, cleared when full.
 CACHE_WORDS = 200_000
 #: Characters of text whose new words are indexed together.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 4_000_000
+#: Positions from which a pair's list is merged with array operations.
+SHORT_LIST = 48
+#: Stand between words, and where a symbol was merged into the one before.
+BETWEEN, GONE = -1, -2
 
 
 def default_vocabulary() -> str:
@@ -51,6 +56,106 @@ def byte_letters() -> list[str]:
     return [shown[b] for b in range(256)]
 
 
+class PairIndex:
+    """One array of symbols, linked both ways, and the positions of each mergeable pair by rank.
+
+    Long lists are merged with array operations and short ones in a loop; both work on
+    the same memory."""
+
+    def __init__(self, vocabulary: Vocabulary, symbols: np.ndarray):
+        self.v, n = vocabulary, len(symbols)
+        # array.array for the loop, a numpy view of it for the long lists
+        self.sym, self.after, self.before = array("q", symbols.tobytes()), array("q", np.arange(1, n + 1).tobytes()), array("q", np.arange(-1, n - 1).tobytes())
+        self.np_sym, self.np_after, self.np_before = (np.frombuffer(x, dtype=np.int64) for x in (self.sym, self.after, self.before))
+        self.n = n
+        self.lists: dict[int, list] = {}
+        self.active: list[int] = []
+        self._enter(self.v.ranks_of(symbols[:-1], symbols[1:]), np.arange(n - 1))
+
+    def _enter(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        """Add positions to the lists of their ranks (-1: not a mergeable pair)."""
+        has = ranks >= 0
+        ranks, positions = ranks[has], positions[has]
+        order = np.argsort(ranks, kind="stable")
+        ranks, positions = ranks[order], positions[order]
+        starts = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1]]) if len(ranks) else []
+        for r, s, e in zip(ranks[starts].tolist() if len(ranks) else [], starts, [*starts[1:], len(ranks)], strict=False):
+            self._list(r).append(positions[s:e])
+
+    def _list(self, r: int) -> list:
+        found = self.lists.get(r)
+        if found is None:
+            found = self.lists[r] = []
+            heappush(self.active, r)
+        return found
+
+    def sweep(self) -> np.ndarray:
+        """Apply the active ranks in ascending order; the symbols left, GONE where one was merged away."""
+        while self.active:
+            r = heappop(self.active)
+            parts = self.lists.pop(r)
+            size = sum(1 if isinstance(x, int) else len(x) for x in parts)
+            if size < SHORT_LIST:
+                positions: list[int] = []
+                for x in parts:
+                    if isinstance(x, int):
+                        positions.append(x)
+                    else:
+                        positions += x.tolist()
+                self._merge_few(r, sorted(positions))
+            else:
+                self._merge_many(r, np.unique(np.concatenate([np.atleast_1d(x) for x in parts])))
+        return self.np_sym
+
+    def _merge_few(self, r: int, positions: list[int]) -> None:
+        sym, after, before, rank, n = self.sym, self.after, self.before, self.v.rank, self.n
+        (left, right), whole = self.v.pairs[r], self.v.product[r]
+        for i in positions:
+            j = after[i]
+            if sym[i] != left or j >= n or sym[j] != right:
+                continue  # a part went into another merge
+            k = after[j]
+            sym[i], sym[j] = whole, GONE
+            after[i] = k
+            if k < n:
+                before[k] = i
+                x = rank.get((whole, sym[k]))
+                if x is not None:
+                    self._list(x).append(i)
+            h = before[i]
+            if h >= 0:
+                x = rank.get((sym[h], whole))
+                if x is not None:
+                    self._list(x).append(h)
+
+    def _merge_many(self, r: int, i: np.ndarray) -> None:
+        sym, after, before = self.np_sym, self.np_after, self.np_before
+        (left, right), whole = self.v.pairs[r], self.v.product[r]
+        i = i[sym[i] == left]
+        j = after[i]
+        fits = j < self.n
+        i, j = i[fits], j[fits]
+        fits = sym[j] == right
+        i, j = i[fits], j[fits]
+        if left == right and len(i):
+            # of overlapping pairs in a run, every second is merged, from the left
+            begins = np.r_[True, j[:-1] != i[1:]]
+            first = np.maximum.accumulate(np.where(begins, np.arange(len(i)), 0))
+            odd = (np.arange(len(i)) - first) % 2 == 0
+            i, j = i[odd], j[odd]
+        if not len(i):
+            return
+        k = after[j]
+        sym[i], sym[j] = whole, GONE
+        after[i] = k
+        inside = k < self.n
+        before[k[inside]] = i[inside]
+        h = before[i]
+        led = h >= 0
+        lefts = np.concatenate([i[inside], h[led]])
+        self._enter(self.v.ranks_of(sym[lefts], sym[after[lefts]]), lefts)
+
+
 class Vocabulary:
     """Symbols, merge ranks and added tokens of a byte-level BPE file."""
 
@@ -86,58 +191,28 @@ class Vocabulary:
         self.bytes_of: dict[int, bytes] = {i: bytes(of_letter[c] for c in s) for s, i in ids.items() if all(c in of_letter for c in s)}
         self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
         self.pairs = list(self.rank)
+        codes = np.array([a << 32 | b for a, b in self.pairs], dtype=np.int64)
+        self._order = np.argsort(codes)
+        self._codes = codes[self._order]
         self.known: dict[str, bytes] = {s: np.uint32(i).tobytes() for s, i in self.added.items()}
 
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merge rank of each pair of symbols, -1 if it has none."""
+        code = np.where((left >= 0) & (right >= 0), left << 32 | right, -1)
+        at = np.minimum(np.searchsorted(self._codes, code), len(self._codes) - 1)
+        return np.where(self._codes[at] == code, self._order[at], -1)
+
     def learn(self, words: list[str]) -> None:
         """Put the packed ids of ``words`` into the cache, by one sweep over the pair index."""
         raw = [w.encode() for w in words]
         ends = np.cumsum([len(x) + 1 for x in raw])
-        joined = np.frombuffer(b"\0".join(raw) + b"\0", dtype=np.uint8)
-        symbols = self.byte_id[joined]
-        symbols[ends - 1] = -1  # between words
-        sym, n = symbols.tolist(), len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank, product = self.rank, self.product
-        index: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            r = rank.get((sym[i], sym[i + 1]))
-            if r is not None:
-                index.setdefault(r, []).append(i)
-        active = list(index)
-        heapify(active)
-        while active:
-            r = heappop(active)
-            positions = sorted(index.pop(r))
-            (left, right), whole = self.pairs[r], product[r]
-            for i in positions:
-                j = after[i]
-                if sym[i] != left or j >= n or sym[j] != right:
-                    continue  # a part went into another merge
-                k = after[j]
-                sym[i], sym[j] = whole, -2
-                after[i] = k
-                if k < n:
-                    before[k] = i
-                    x = rank.get((whole, sym[k]))
-                    if x is not None:
-                        if x not in index:
-                            index[x] = []
-                            heappush(active, x)
-                        index[x].append(i)
-                h = before[i]
-                if h >= 0:
-                    x = rank.get((sym[h], whole))
-                    if x is not None:
-                        if x not in index:
-                            index[x] = []
-                            heappush(active, x)
-                        index[x].append(h)
-        out = np.array(sym, dtype=np.int64)
-        begin = 0
-        for w, end in zip(words, ends.tolist(), strict=True):
-            own = out[begin : end - 1]
-            self.known[w] = own[own >= 0].astype("<u4").tobytes()
-            begin = end
+        symbols = self.byte_id[np.frombuffer(b"\0".join(raw) + b"\0", dtype=np.uint8)]
+        symbols[ends - 1] = BETWEEN
+        merged = PairIndex(self, symbols).sweep()
+        kept = merged >= 0
+        packed = merged[kept].astype("<u4").tobytes()
+        last = (np.cumsum(kept)[ends - 1] * 4).tolist()
+        self.known.update(zip(words, map(packed.__getitem__, map(slice, [0, *last[:-1]], last)), strict=True))
 
     def pieces(self, text: str) -> list[str]:
         """Words and added tokens of a text, in order."""
@@ -216,11 +291,15 @@ def unpack_ids(packed: Column) -> Column:
     return F.when(n == 0, F.array().cast("array<long>")).otherwise(ids)
 
 
-def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return decode(encode(docs).select("doc_id", "ids_packed")).select(
-        "doc_id",
+def digests(docs: DataFrame, carried: list[str], text_col: str = "text") -> DataFrame:
+    """``carried`` columns with the number of ids, the digest of the ids and that of the text decoded from them."""
+    return decode(encode(docs, text_col).select(*carried, "ids_packed")).select(
+        *carried,
         (F.octet_length("ids_packed") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids_packed", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), ["doc_id"])

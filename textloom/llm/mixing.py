@@ -173,6 +173,14 @@ def first_words(text: Column, n: Column) -> Column:
     return F.rtrim(F.substring(text, F.lit(1), F.char_length(text) - F.char_length(rest)), F.lit(" \t\n\x0b\x0c\r"))
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: a row of ``docs`` for each copy taken, its text cut where only a part is."""
+    drawn = plan_mix(docs, id_col, text_col, source_col, **options).withColumn("draw", F.explode("draws"))
+    text = F.col(f"row.`{text_col}`")
+    part = F.when(F.col("draw.words") < F.col("size"), first_words(text, F.col("draw.words"))).otherwise(text)
+    return drawn.select(*[part.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return plan_mix(docs).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "draws")

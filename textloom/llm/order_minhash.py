@@ -297,6 +297,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("did", "w1", "w2").join(by_class.hint("merge"), "w1").select("did", "w1", "w2", "class_id", (F.col("did") == F.col("class_id")).alias("kept"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one row of each class: the smallest id, of repeated rows of it the first."""
+    found = near_duplicates(docs, id_col, text_col, threshold).where("kept").groupBy("class_id", "did").agg(F.min("w1").alias("w1"))
+    chosen = found.select(F.col("did").alias("_did"), F.col("w1").alias("_w1"))
+    own = F.xxhash64(F.transform(words_of(F.col(text_col)), lambda w: F.xxhash64(w)))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_did"), own.alias("_w1"))
+    # repeated rows and null ids meet in one partition with the row that stays
+    one = keyed.join(chosen.hint("merge"), ["_did", "_w1"]).groupBy("_did", "_w1").agg(F.first("_row").alias("_row"))
+    return one.select("_row.*")
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
