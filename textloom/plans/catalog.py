@@ -6,7 +6,7 @@ import importlib
 
 from textloom.plans.base import REGISTERED, Query
 
-MODULES = ["sources"]
+MODULES = ["sources", "scalars"]
 
 
 def registered() -> dict[str, tuple[Query, str | None]]:
