@@ -6,7 +6,7 @@ import importlib
 
 from textloom.plans.base import REGISTERED, Query
 
-MODULES = ["sources", "scalars"]
+MODULES = ["sources", "scalars", "ledger"]
 
 
 def registered() -> dict[str, tuple[Query, str | None]]:

@@ -326,7 +326,7 @@ def scl30(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.floor((F.char_length(masked) - F.char_length(gone)) / 7).cast("long").alias("markers"))
 
 
-@query("scl32_time_arithmetic", "SELECT event_id, epoch_ms(ts) AS at_ms, epoch_ms(ts) + 604800000 AS expires_ms, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events")
+@query("scl32_time_arithmetic", "SELECT event_id, epoch_us(ts) // 1000 AS at_ms, epoch_us(ts) // 1000 + 604800000 AS expires_ms, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events")
 def scl32(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.unix_millis(F.col("ts").cast("timestamp"))
     return table(spark, sf_dir, "events").select("event_id", at.alias("at_ms"), (at + 604800000).alias("expires_ms"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
