@@ -6,7 +6,7 @@ import importlib
 
 from textloom.plans.base import REGISTERED, Query
 
-MODULES = ["sources", "scalars", "ledger"]
+MODULES = ["sources", "scalars", "ledger", "corpus", "pages"]
 
 
 def registered() -> dict[str, tuple[Query, str | None]]:

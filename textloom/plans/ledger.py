@@ -111,11 +111,11 @@ def jon11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
 
 
-@query("jon12_users_without_end", "SELECT user_id, count(*) AS events FROM events e WHERE NOT EXISTS (SELECT 1 FROM events t WHERE t.user_id = e.user_id AND t.event_type = (SELECT max(event_type) FROM events)) GROUP BY user_id")
+@query("jon12_users_without_end", "SELECT user_id, count(*) AS events FROM events e WHERE NOT EXISTS (SELECT 1 FROM events t WHERE t.user_id = e.user_id AND t.event_type = (SELECT max(event_type) FROM events) AND t.value > 90) GROUP BY user_id")
 def jon12(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     last = e.agg(F.max("event_type").alias("event_type"))
-    ended = e.join(F.broadcast(last), "event_type", "left_semi").select("user_id").distinct()  # a single row
+    ended = e.where("value > 90").join(F.broadcast(last), "event_type", "left_semi").select("user_id").distinct()  # a single row
     return e.join(ended, "user_id", "left_anti").groupBy("user_id").agg(F.count(F.lit(1)).alias("events"))
 
 
