@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, embedding_dedup, language_id, line_dedup, mixing, order_minhash, secret_scan, syncmers
+from textloom.llm import bpe, embedding_dedup, importance, language_id, line_dedup, mixing, order_minhash, secret_scan, substring_dedup, syncmers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_secret_scan": secret_scan.op3_secret_scan,
+        "op4_importance": importance.op4_importance,
         "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
         "op6_near_dedup": order_minhash.op6_near_dedup,
         "op7_syncmers": syncmers.op7_syncmers,
