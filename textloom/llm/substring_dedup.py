@@ -67,7 +67,7 @@ def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     gear, rolled = _GEAR[short], np.zeros(n, dtype=np.uint32)
     bits = 32 - WINDOW
     with np.errstate(over="ignore"):
-        for age in range(WINDOW):
+        for age in range(min(WINDOW, n)):
             rolled[age:] += (gear[: n - age] if age else gear) << np.uint32(bits + age)
         # the high half of the sum holds a shifted value of each of the last WINDOW characters
         cut = (rolled >> np.uint32(32 - AVERAGE.bit_length() + 1)) == 0
