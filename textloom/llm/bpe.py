@@ -29,13 +29,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm.storage import small_batches
+
 VOCABULARY = "byte_bpe_50k.json"
 #: Words and their ids that a Python worker keeps; a cache, cleared when full.
 CACHE_WORDS = 200_000
 #: Characters of text whose new words are indexed together.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 #: Positions from which a pair's list is merged with array operations.
-SHORT_LIST = 48
+SHORT_LIST = 128
 #: Stand between words, and where a symbol was merged into the one before.
 BETWEEN, GONE = -1, -2
 
@@ -62,7 +64,7 @@ class PairIndex:
     Long lists are merged with array operations and short ones in a loop; both work on
     the same memory."""
 
-    def __init__(self, vocabulary: Vocabulary, symbols: np.ndarray):
+    def __init__(self, vocabulary: Vocabulary, raw: np.ndarray, symbols: np.ndarray):
         self.v, n = vocabulary, len(symbols)
         # array.array for the loop, a numpy view of it for the long lists
         self.sym, self.after, self.before = array("q", symbols.tobytes()), array("q", np.arange(1, n + 1).tobytes()), array("q", np.arange(-1, n - 1).tobytes())
@@ -70,7 +72,9 @@ class PairIndex:
         self.n = n
         self.lists: dict[int, list] = {}
         self.active: list[int] = []
-        self._enter(self.v.ranks_of(symbols[:-1], symbols[1:]), np.arange(n - 1))
+        at = np.flatnonzero(vocabulary.byte_rank[raw[:-1], raw[1:]] >= 0)
+        at = at[(symbols[at] != BETWEEN) & (symbols[at + 1] != BETWEEN)]
+        self._enter(vocabulary.byte_rank[raw[at], raw[at + 1]], at)
 
     def _enter(self, ranks: np.ndarray, positions: np.ndarray) -> None:
         """Add positions to the lists of their ranks (-1: not a mergeable pair)."""
@@ -194,6 +198,13 @@ class Vocabulary:
         codes = np.array([a << 32 | b for a, b in self.pairs], dtype=np.int64)
         self._order = np.argsort(codes)
         self._codes = codes[self._order]
+        # ranks of pairs of bytes, which every sweep starts from
+        self.byte_rank = np.full((256, 256), -1, dtype=np.int32)
+        of_id = {i: b for b, i in enumerate(self.byte_id.tolist())}
+        for r, (a, b) in enumerate(self.pairs):
+            if a in of_id and b in of_id:
+                self.byte_rank[of_id[a], of_id[b]] = r
+        self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
         self.known: dict[str, bytes] = {s: np.uint32(i).tobytes() for s, i in self.added.items()}
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -206,9 +217,10 @@ class Vocabulary:
         """Put the packed ids of ``words`` into the cache, by one sweep over the pair index."""
         raw = [w.encode() for w in words]
         ends = np.cumsum([len(x) + 1 for x in raw])
-        symbols = self.byte_id[np.frombuffer(b"\0".join(raw) + b"\0", dtype=np.uint8)]
+        joined = np.frombuffer(b"\0".join(raw) + b"\0", dtype=np.uint8)
+        symbols = self.byte_id[joined]
         symbols[ends - 1] = BETWEEN
-        merged = PairIndex(self, symbols).sweep()
+        merged = PairIndex(self, joined, symbols).sweep()
         kept = merged >= 0
         packed = merged[kept].astype("<u4").tobytes()
         last = (np.cumsum(kept)[ends - 1] * 4).tolist()
@@ -247,11 +259,10 @@ class Vocabulary:
         new = set().union(*held) - known.keys()
         if new:
             self.learn(list(new))
-        return [b"".join([known[w] for w in words]) for words in held]
+        return [b"".join(map(known.__getitem__, words)) for words in held]
 
     def decode(self, packed: bytes) -> str:
-        table = self.bytes_of
-        return b"".join([table[i] for i in np.frombuffer(packed, dtype="<u4").tolist()]).decode("utf-8", "replace")
+        return b"".join(map(self.table.__getitem__, np.frombuffer(packed, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -262,6 +273,7 @@ def load(path: str) -> Vocabulary:
 def encode(df: DataFrame, text_col: str = "text", out: str = "ids_packed", vocabulary: str | None = None) -> DataFrame:
     """``df`` with a binary column ``out``: ids as little-endian unsigned 32-bit integers."""
     path = vocabulary or default_vocabulary()
+    small_batches(df.sparkSession)
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
@@ -274,6 +286,7 @@ def encode(df: DataFrame, text_col: str = "text", out: str = "ids_packed", vocab
 def decode(df: DataFrame, ids_col: str = "ids_packed", out: str = "decoded", vocabulary: str | None = None) -> DataFrame:
     """``df`` with a string column ``out`` decoded from packed ids, special tokens kept."""
     path = vocabulary or default_vocabulary()
+    small_batches(df.sparkSession)
 
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:

@@ -44,3 +44,15 @@ def save(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of an Arrow batch; ten times as many, the default, hold tens of megabytes of text several times over.
+BATCH_ROWS = 1000
+_DEFAULT_ROWS = "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once, unless the session has its own setting."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == _DEFAULT_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
