@@ -126,11 +126,12 @@ def plan_mix(
     blocks: int = BLOCKS,
     depth: int = DEPTH,
     seed: int = 9,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` (as struct ``row``) with ``size``, ``source_size``, ``target``, ``taken`` and ``draws``:
+    """``docs`` (its columns, or those in ``carry``, as struct ``row``) with ``size``, ``source_size``, ``target``, ``taken`` and ``draws``:
     an array of (epoch, shard, position, words) for the copies that the mix takes."""
     keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in (carry or docs.columns)]).alias("row"),
         F.col(source_col).alias("source"),
         n_words(F.col(text_col)).alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"),
@@ -167,10 +168,11 @@ def plan_mix(
 
 
 def first_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its n-th word."""
+    """The text up to the end of its n-th word; all of it if it has no more."""
     skip = F.when(text.rlike("^" + SPACE), 1).otherwise(0)
     rest = F.element_at(F.split(text, SPACE, (n + skip + 1).cast("int")), -1)
-    return F.rtrim(F.substring(text, F.lit(1), F.char_length(text) - F.char_length(rest)), F.lit(" \t\n\x0b\x0c\r"))
+    part = F.when(n_words(text) <= n, text).otherwise(F.substring(text, F.lit(1), F.char_length(text) - F.char_length(rest)))
+    return F.rtrim(part, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -183,4 +185,4 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return plan_mix(docs).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "draws")
+    return plan_mix(docs, carry=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "draws")
