@@ -72,12 +72,14 @@ def choose_pivots(classes: DataFrame, pivots: int, sample: int = SAMPLE, apart:
     chosen = {}
     for n in lengths:
         rows = classes.where(F.size("vector") == n).orderBy(F.xxhash64(F.lit("pivot"), F.col("rep")), "rep", "g").select("vector").limit(sample).collect()
-        spare = np.random.default_rng(n).normal(size=(pivots, n))
+        # in few dimensions the nearest of very many points would lie too close together to be shared
+        most = min(pivots, max(8, 4 * n))
+        spare = np.random.default_rng(n).normal(size=(most, n))
         points: list[np.ndarray] = []
         for x in unit([r[0] for r in rows]):
-            if len(points) < pivots and (not points or np.max(np.array(points) @ x) < apart):
+            if len(points) < most and (not points or np.max(np.array(points) @ x) < apart):
                 points.append(x)
-        chosen[n] = np.array([*points, *unit(list(spare))[: pivots - len(points)]])
+        chosen[n] = np.array([*points, *unit(list(spare))[: most - len(points)]])
     return chosen
 
 
