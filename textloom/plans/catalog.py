@@ -6,7 +6,7 @@ import importlib
 
 from textloom.plans.base import REGISTERED, Query
 
-MODULES = ["sources", "scalars", "ledger", "corpus", "pages", "packing", "more", "streams"]
+MODULES = ["sources", "scalars", "ledger", "corpus", "pages", "packing", "more", "streams", "rest"]
 
 
 def registered() -> dict[str, tuple[Query, str | None]]:
