@@ -102,7 +102,7 @@ def top_share(rows: DataFrame, share: float) -> DataFrame:
         return rows.withColumn("kept", F.lit(False))
     k = int(np.ceil(share * stats.n))
     width = ((stats.high or 0.0) - (stats.low or 0.0)) / BINS or 1.0
-    binned = rows.withColumn("bin", F.coalesce(F.least(F.floor((F.col("key") - (stats.low or 0.0)) / width), F.lit(BINS - 1)), F.lit(-1)).cast("int"))
+    binned = rows.withColumn("bin", F.when(F.col("key").isNull(), -1).otherwise(F.least(F.floor((F.col("key") - (stats.low or 0.0)) / width), F.lit(BINS - 1))).cast("int"))
     above, edge, need = 0, -1, k
     # at most a row per bin
     for r in sorted(binned.groupBy("bin").count().collect(), key=lambda r: -r["bin"]):
