@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.blocks import in_blocks, local_roots, runs
 from textloom.llm.components import connected_components
-from textloom.llm.storage import save, shuffle_partitions
+from textloom.llm.storage import save, shuffle_partitions, small_batches
 
 K, SAMPLES, TUPLE, SIGNATURE = 5, 20, 4, 64
 THRESHOLD, PLAUSIBLE = 0.8, 0.62
@@ -123,19 +123,26 @@ def edits_within(a: list[str], b: list[str], most: int) -> int | None:
     return None
 
 
-def prepared(text: str) -> tuple[list[str], frozenset]:
-    """Words and labelled k-mers of a text, for comparing."""
-    words = split_words(text.lower())
-    ids = np.array([hash(w) for w in words], dtype=np.int64)
-    return words, frozenset(labelled_kmers(ids).tolist())
+def prepared(text: str) -> tuple[str, np.ndarray]:
+    """A text in lower case and its labelled k-mers in order of value, for comparing.
 
+    The words are cut again where a pair comes to its alignment: lists of them would
+    take many times the text."""
+    lower = text.lower()
+    ids = np.array([hash(w) for w in split_words(lower)], dtype=np.int64)
+    return lower, np.sort(labelled_kmers(ids))
 
-def alike(a: tuple[list[str], frozenset], b: tuple[list[str], frozenset], threshold: float = THRESHOLD) -> bool:
+
+def alike(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray], threshold: float = THRESHOLD) -> bool:
     """Whether two prepared texts are a link."""
-    common = len(a[1] & b[1])
-    if common < threshold * (len(a[1]) + len(b[1]) - common):
+    n, m = len(a[1]), len(b[1])
+    if min(n, m) < threshold * max(n, m):
+        return False
+    common = len(np.intersect1d(a[1], b[1], assume_unique=True))
+    if common < threshold * (n + m - common):
         return False
-    return edits_within(a[0], b[0], int((1 - threshold) * (len(a[0]) + len(b[0])) + 1e-9)) is not None
+    left, right = split_words(a[0]), split_words(b[0])
+    return edits_within(left, right, int((1 - threshold) * (len(left) + len(right)) + 1e-9)) is not None
 
 
 class Groups:
@@ -269,6 +276,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """A row (did, w1, w2, class_id, kept) for each row of ``docs``; ``did`` is NO_ID for a null id.
 
     ``kept`` marks the rows of the document that names the class."""
+    small_batches(docs.sparkSession)
     rows = save(sketches(docs, id_col, text_col), "near-sketches")
     classes = save(
         rows.groupBy("w1", "w2").agg(F.min("did").alias("rep"), F.first("buckets").alias("buckets"), F.first("signature").alias("signature"))
