@@ -50,11 +50,9 @@ def lines_of(text: Column) -> Column:
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """One row (k1, k2, did, row, pos) for each line long enough to be a duplicate."""
-    base = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(SMALLEST_ID)).alias("did"),
-        F.xxhash64(F.col(text_col)).alias("row"),
-        F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"),
-    )
+    # hashed before the lines come out: beside the explode the whole text would be hashed for each line
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(SMALLEST_ID)).alias("did"), F.xxhash64(F.col(text_col)).alias("row"), lines_of(F.col(text_col)).alias("lines"))
+    base = texts.select("did", "row", F.posexplode("lines").alias("pos", "line"))
     keyed = base.where(F.char_length("line") >= min_chars).select("did", "row", "pos", line_key(F.col("line")).alias("key"))
     return keyed.where(F.char_length("key") >= min_chars).select(
         F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("line"), F.col("key")).alias("k2"), "did", "row", "pos"
@@ -149,7 +147,8 @@ def dedup_lines(
     ``n_lines``, ``n_dropped``, ``kept_text`` (null text: the empty string)."""
     found = save(occurrences(docs, id_col, text_col, min_chars), "line-occurrences")
     store = build_runs(found, batches, fanout)
-    frequent = store.merge().where(F.col("docs") >= min_docs).select(*KEY, "keeper")
+    # written, so that both sides of the join are shuffled and a key in very many documents can be split
+    frequent = save(store.merge().where(F.col("docs") >= min_docs).select(*KEY, "keeper"), "line-frequent")
     drops = (
         found.join(frequent.hint("merge"), KEY)
         .where(F.col("did") != F.col("keeper"))
