@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.llm.storage import small_batches
+from textloom.llm.storage import save, small_batches
 
 WINDOW, AVERAGE, LONGEST = 16, 32, 512
 MIN_CHARS = 100
@@ -114,7 +114,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``first_did``: the first holder of the span's longest chunk; ``n_kept``: characters of the span
     whose first holder this document is."""
     cut = chunk_rows(docs, id_col, text_col)
-    repeated = cut.groupBy("digest").agg(F.min("did").alias("first"), F.max("did").alias("last")).where(F.col("first") < F.col("last")).select("digest", "first")
+    counted = cut.groupBy("digest").agg(F.min("did").alias("first"), F.max("did").alias("last"))
+    # written, so that both sides of the join are shuffled and a chunk in very many documents can be split
+    repeated = save(counted.where(F.col("first") < F.col("last")).select("digest", "first"), "repeated-chunks")
     found = cut.join(repeated.hint("merge"), "digest").dropDuplicates(["did", "row", "start"])
     w = W.partitionBy("did", "row").orderBy("start")
     fresh = F.when(F.lag(F.col("start") + F.col("size")).over(w) == F.col("start"), 0).otherwise(1)
