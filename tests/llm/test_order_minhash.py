@@ -83,3 +83,14 @@ def test_large_families_in_blocks(spark, monkeypatch):
     rows = [(i, edited(rng, text, rng.randrange(0, 12)), "en", "s", 0) for i in range(30)]
     got = Counter((r.doc_id, r.class_id) for r in order_minhash.op6_near_dedup(spark, folder(spark, rows)).collect())
     assert got == brute(rows)
+
+
+def test_keep_one_has_a_row_per_component(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, "en", 80) for _ in range(6)]
+    rows = [(None, t) for t in texts[:3]] + [(None, texts[0]), (None, texts[1] + " tail")]  # three classes without an id
+    rows += [(7, texts[3]), (7, texts[4]), (7, texts[4]), (9, texts[3] + " tail"), (3, texts[5])]  # two under one id
+    got = [(r.doc_id, r.text) for r in order_minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == 6
+    assert {t.removesuffix(" tail") for _, t in got} == set(texts)
+    assert Counter(i for i, _ in got) == {None: 3, 7: 2, 3: 1}

@@ -273,9 +273,10 @@ def rest_links(members: DataFrame, judged: DataFrame, threshold: float, block: i
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, plausible: float = PLAUSIBLE) -> DataFrame:
-    """A row (did, w1, w2, class_id, kept) for each row of ``docs``; ``did`` is NO_ID for a null id.
+    """A row (did, w1, w2, component, class_id, kept) for each row of ``docs``; ``did`` is NO_ID for a null id.
 
-    ``kept`` marks the rows of the document that names the class."""
+    ``component`` is the class itself, its smallest ``w1``: classes of null ids, or of other texts under
+    one repeated id, share a ``class_id``.  ``kept`` marks the rows of the document that names the class."""
     small_batches(docs.sparkSession)
     rows = save(sketches(docs, id_col, text_col), "near-sketches")
     classes = save(
@@ -301,13 +302,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = connected_components(links)
     named = classes.select("node", "rep").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    by_class = save(named.join(ids, "component").select(F.col("node").alias("w1"), "class_id"), "near-ids")
-    return rows.select("did", "w1", "w2").join(by_class.hint("merge"), "w1").select("did", "w1", "w2", "class_id", (F.col("did") == F.col("class_id")).alias("kept"))
+    by_class = save(named.join(ids, "component").select(F.col("node").alias("w1"), "component", "class_id"), "near-ids")
+    return rows.select("did", "w1", "w2").join(by_class.hint("merge"), "w1").select("did", "w1", "w2", "component", "class_id", (F.col("did") == F.col("class_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each class: the smallest id, of repeated rows of it the first."""
-    found = near_duplicates(docs, id_col, text_col, threshold).where("kept").groupBy("class_id", "did").agg(F.min("w1").alias("w1"))
+    """``docs`` with one row of each class: the smallest id, of repeated rows of it the first.
+
+    Texts that are not linked are classes of their own, whatever their ids."""
+    found = near_duplicates(docs, id_col, text_col, threshold).where("kept").groupBy("component", "did").agg(F.min("w1").alias("w1"))
     chosen = found.select(F.col("did").alias("_did"), F.col("w1").alias("_w1"))
     own = F.xxhash64(F.transform(words_of(F.col(text_col)), lambda w: F.xxhash64(w)))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_did"), own.alias("_w1"))
