@@ -8,8 +8,7 @@ again, is the ``docs`` of the next.
 1. language_id drops documents that are ``und``: null, or without a letter.
 2. line_dedup replaces a text by its kept lines and updates ``n_chars``.
 3. near_dedup keeps one document of each class of near copies, whole.
-4. mixing gives a row for each copy that the mix takes; the copy that meets a source's
-   target is cut after the words that were drawn from it.
+4. mixing gives a row for each copy that the mix takes, whole, by shard and by place in it.
 5. bpe encodes every text and decodes it again.
 """
 

@@ -76,3 +76,23 @@ def test_first_words(spark):
     df = spark.createDataFrame([("  a b\n c d ",), ("a",), ("",)], "t string")
     for n, want in ((0, ["", "", ""]), (2, ["  a b", "a", ""]), (4, ["  a b\n c d", "a", ""])):
         assert [r[0] for r in df.select(mixing.first_words(F.col("t"), F.lit(n))).collect()] == want
+
+
+def test_no_text_is_cut_and_words_come_nearest_to_the_target(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(20 + i * 37 % 60)), "en", f"src{i % 3}", 0) for i in range(240)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for blocks in (256, 1):
+        taken, target = defaultdict(int), {}
+        for r in mixing.plan_mix(df, blocks=blocks).collect():
+            assert r.taken in (0, r["size"], 2 * r["size"]) and all(d.words == r["size"] for d in r.draws)
+            taken[r.row.source] += r.taken
+            target[r.row.source] = r.target
+        assert all(abs(taken[s] - target[s]) <= 40 for s in target)
+
+
+def test_the_mix_is_written_by_shard_and_position(spark):
+    df = spark.createDataFrame([(i, f"{i} " * 30, "en", f"src{i % 3}", 0) for i in range(300)], SCHEMA)
+    want = sorted((d.shard, d.position, r.row.doc_id) for r in mixing.plan_mix(df).collect() for d in r.draws)
+    got = mixing.mixed(df).withColumn("part", F.spark_partition_id()).collect()
+    assert len({r.part for r in got}) > 1 and all(r.text == f"{r.doc_id} " * 30 for r in got)
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.part)] == [i for *_, i in want]

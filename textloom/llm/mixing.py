@@ -6,15 +6,20 @@ stops at ``repeats`` times its source's size, and what is above is shared again
 weight until no target is above.
 
 Every source is cut into blocks by a hash of its documents.  An epoch of a source
-takes its blocks in a hashed order until the rest of its target is met; the block at
-the end gives the same fraction of each of its documents, rounded up or down by a
-hash, so that the words taken come out at the target.  Each block taken in an epoch
-is a token.  The tree starts with all tokens of all sources in one node and halves
+takes its blocks in a hashed order, passing over those above the rest of its target.
+Of these the one whose longest document is shortest is the end block.  In the mix it
+gives whole documents in a hashed order, as many as bring the words nearest to the
+target; so no text is cut and a source is off by half of that document at most.  Rows
+of one id and text have one hash and are taken together.  A plan alone may count words
+(``whole=False``): then the end block gives the same fraction of each of its documents,
+rounded up or down by a hash, and the words come out at the target.  Each block taken
+in an epoch is a token.  The tree starts with all tokens of all sources in one node and halves
 every node ``depth`` times: the left child gets the half with the smallest hashes,
 which is an exact draw from the multivariate hypergeometric distribution of the
 sources' quotas.  The leaves are the output shards.  A shard's quota of a source is
 met by the next blocks of that source's own hashed order, so shards draw disjoint
-blocks, and a document's place in its shard is a hash.
+blocks, and a document's place in its shard is a hash.  The mix is written in that
+order: a partition is a stretch of a shard.
 
 The halves need ranks of tokens by hash.  They are counted per hash cell and then
 within a cell, so no window holds more than a cell of a node.
@@ -34,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.llm.storage import save
+from textloom.llm.storage import save, shuffle_partitions
 
 WEIGHTS = (5, 2, 1)
 BLOCKS = 256
@@ -85,17 +90,47 @@ def by_hash_rank(df: DataFrame, group: list[str], hashed: str, out: str) -> Data
 
 
 def block_tokens(blocks: DataFrame, goal: DataFrame, repeats: int, seed: int) -> DataFrame:
-    """(rank, block, words) and targets to a token (rank, epoch, block, fraction, place) for each block that an epoch takes.
+    """(rank, block, words, longest) and targets to a token (rank, epoch, block, fits, need, fraction, place) for each block that an epoch takes.
 
-    ``place`` counts the source's tokens in epoch order, each epoch permuted by hash."""
-    epochs = blocks.join(goal.select("rank", "source_size", "target"), "rank").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    ``need``: the words that it gives if it does not fit.  ``place`` counts the source's tokens in epoch
+    order, each epoch permuted by hash."""
+    epochs = blocks.where("words > 0").join(goal.select("rank", "source_size", "target"), "rank").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     rest = F.greatest(F.lit(0.0), F.least(F.col("source_size").cast("double"), F.col("target") - F.col("epoch") * F.col("source_size")))
     mixed = epochs.withColumn("rest", rest).withColumn("u", unit_hash(F.lit(seed), "rank", "epoch", "block"))
-    order = W.partitionBy("rank", "epoch").orderBy("u", "block")
-    before = F.coalesce(F.sum("words").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    fraction = F.when(F.col("words") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("rest") - before) / F.col("words")))).otherwise(0.0)
-    taken = mixed.withColumn("fraction", fraction).where(F.col("fraction") > 0)
-    return taken.select("rank", "epoch", "block", "fraction", F.row_number().over(W.partitionBy("rank").orderBy("epoch", "u", "block")).alias("place"))
+    # an array of a source's blocks, a fixed number
+    ordered = mixed.groupBy("rank", "epoch", "rest").agg(F.sort_array(F.collect_list(F.struct("u", "block", "words", "longest"))).alias("all"))
+
+    def step(s: Column, b: Column) -> Column:
+        fits = b["words"] <= s["left"]
+        return F.struct((s["left"] - F.when(fits, b["words"]).otherwise(0)).alias("left"), F.concat(s["fits"], F.array(fits)).alias("fits"))
+
+    walked = ordered.withColumn("walk", F.aggregate("all", F.struct(F.col("rest").alias("left"), F.array().cast("array<boolean>").alias("fits")), step))
+    judged = walked.withColumn("all", F.transform("all", lambda b, i: F.struct(b["u"].alias("u"), b["block"].alias("block"), b["words"].alias("words"), b["longest"].alias("longest"), F.get(F.col("walk.fits"), i).alias("fits"))))
+    over = F.transform(F.filter("all", lambda b: ~b["fits"]), lambda b: F.struct(b["longest"], b["u"], b["block"].alias("block")))
+    taken = judged.withColumn("end", F.array_min(over)["block"]).select("rank", "epoch", "end", F.col("walk.left").alias("need"), F.inline("all"))
+    taken = taken.where(F.col("fits") | ((F.col("block") == F.col("end")) & (F.col("need") > 0)))
+    return taken.select("rank", "epoch", "block", "fits", "need", (F.col("need") / F.col("words")).alias("fraction"), F.row_number().over(W.partitionBy("rank").orderBy("epoch", "u", "block")).alias("place"))
+
+
+def part_hash(h: Column, epoch: Column) -> Column:
+    """The order of documents in the block at the end of an epoch."""
+    return F.xxhash64(h, epoch, F.lit("part"))
+
+
+def cutoffs(sizes: DataFrame, ends: DataFrame) -> DataFrame:
+    """(rank, block, h, size) and the blocks (rank, block, epoch, need) at the ends of epochs to (rank, block, epoch, cutoff):
+    the last ``part_hash`` whose document brings the words nearer to the need.  No row where none does.
+
+    Running sums are sums of counts per hash cell and sums within a cell."""
+    key = ["rank", "block", "epoch"]
+    hashed = sizes.join(ends, ["rank", "block"]).select(*key, "need", part_hash(F.col("h"), F.col("epoch")).alias("p"), "size")
+    docs = hashed.groupBy(*key, "need", "p").agg(F.sum("size").alias("size")).withColumn("cell", F.shiftright("p", 58))
+    sums = docs.groupBy(*key, "cell").agg(F.sum("size").alias("in_cell"))
+    earlier = W.partitionBy(*key).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(*key, "cell", F.coalesce(F.sum("in_cell").over(earlier), F.lit(0)).alias("offset"))
+    inside = W.partitionBy(*key, "cell").orderBy("p").rowsBetween(W.unboundedPreceding, -1)
+    before = docs.join(offsets, [*key, "cell"]).withColumn("before", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return before.where((F.col("size") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("need"))).groupBy(*key).agg(F.max("p").alias("cutoff"))
 
 
 def split_tree(tokens: DataFrame, depth: int, seed: int) -> DataFrame:
@@ -127,6 +162,7 @@ def plan_mix(
     depth: int = DEPTH,
     seed: int = 9,
     carry: list[str] | None = None,
+    whole: bool = True,
 ) -> DataFrame:
     """``docs`` (its columns, or those in ``carry``, as struct ``row``) with ``size``, ``source_size``, ``target``, ``taken`` and ``draws``:
     an array of (epoch, shard, position, words) for the copies that the mix takes."""
@@ -136,12 +172,22 @@ def plan_mix(
         n_words(F.col(text_col)).alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"),
     ).withColumn("block", F.pmod(F.col("h"), F.lit(blocks)).cast("int"))
-    counts = save(keyed.groupBy("source", "block").agg(F.sum("size").alias("words")), "mix-blocks")
+    sizes = keyed.select("source", "block", "h", "size")
+    if whole:
+        sizes = save(sizes, "mix-sizes")
+    counts = save(sizes.groupBy("source", "block").agg(F.sum("size").alias("words"), F.max("size").alias("longest")), "mix-blocks")
     goal = save(targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, repeats), "mix-targets")
-    ranked = counts.join(goal.select("source", "rank"), counts["source"].eqNullSafe(goal["source"])).select("rank", "block", "words")
+    ranked = counts.join(goal.select("source", "rank"), counts["source"].eqNullSafe(goal["source"])).select("rank", "block", "words", "longest")
     tokens = save(block_tokens(ranked, goal, repeats, seed), "mix-tokens")
     quotas = save(split_tree(tokens, depth, seed), "mix-quotas")
-    drawn = shard_of(tokens, quotas).groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard", "fraction"))).alias("take"))
+    dealt = shard_of(tokens, quotas)
+    if whole:
+        named = sizes.join(goal.select(F.col("source").alias("s"), "rank"), F.col("source").eqNullSafe(F.col("s"))).select("rank", "block", "h", "size")
+        last = save(cutoffs(named, tokens.where("not fits").select("rank", "block", "epoch", "need")), "mix-cutoffs")
+        dealt = dealt.join(last, ["rank", "block", "epoch"], "left").where(F.col("fits") | F.col("cutoff").isNotNull())
+    else:
+        dealt = dealt.withColumn("cutoff", F.lit(None).cast("long"))
+    drawn = dealt.groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard", "fits", "fraction", "cutoff"))).alias("take"))
     per_block = (
         counts.withColumnRenamed("source", "s")
         .join(goal, F.col("s").eqNullSafe(F.col("source")))
@@ -152,11 +198,14 @@ def plan_mix(
     joined = keyed.join(per_block, (F.col("block") == F.col("plan_block")) & F.col("source").eqNullSafe(F.col("plan_source")))
 
     def draw(t: Column) -> Column:
-        u = unit_hash(F.col("h"), t["epoch"], F.lit("part"))
-        words = F.when(t["fraction"] >= 1, F.col("size")).otherwise(F.floor(F.col("size") * t["fraction"] + u).cast("long"))
+        if whole:
+            part = F.when(part_hash(F.col("h"), t["epoch"]) <= t["cutoff"], F.col("size")).otherwise(F.lit(0))
+        else:
+            part = F.floor(F.col("size") * t["fraction"] + unit_hash(F.col("h"), t["epoch"], F.lit("part")))
+        words = F.when(t["fits"], F.col("size")).otherwise(part).cast("long")
         return F.struct(t["epoch"].alias("epoch"), t["shard"].alias("shard"), F.xxhash64("h", t["epoch"]).alias("position"), words.alias("words"))
 
-    draws = F.filter(F.transform(F.coalesce("take", F.array().cast("array<struct<epoch:int,shard:int,fraction:double>>")), draw), lambda d: d["words"] > 0)
+    draws = F.filter(F.transform(F.coalesce("take", F.array().cast("array<struct<epoch:int,shard:int,fits:boolean,fraction:double,cutoff:bigint>>")), draw), lambda d: d["words"] > 0)
     return joined.withColumn("draws", draws).select(
         "row",
         "size",
@@ -175,14 +224,16 @@ def first_words(text: Column, n: Column) -> Column:
     return F.rtrim(part, F.lit(" \t\n\x0b\x0c\r"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: a row of ``docs`` for each copy taken, its text cut where only a part is."""
-    drawn = plan_mix(docs, id_col, text_col, source_col, **options).withColumn("draw", F.explode("draws"))
-    text = F.col(f"row.`{text_col}`")
-    part = F.when(F.col("draw.words") < F.col("size"), first_words(text, F.col("draw.words"))).otherwise(text)
-    return drawn.select(*[part.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", depth: int = DEPTH, **options) -> DataFrame:
+    """The mix itself: a row of ``docs`` for each copy taken, whole, in the order of shards and of positions within them."""
+    drawn = plan_mix(docs, id_col, text_col, source_col, depth=depth, **options).withColumn("draw", F.explode("draws"))
+    n = shuffle_partitions(docs.sparkSession)
+    # positions are hashes, so equal stretches of them hold about as many rows
+    place = (F.col("draw.shard") + F.col("draw.position") / F.lit(2.0**64) + 0.5) / 2**depth
+    dealt = drawn.select("row", "draw").repartitionById(n, F.least(F.lit(n - 1), F.floor(place * n)).cast("int"))
+    return dealt.sortWithinPartitions("draw.shard", "draw.position").select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return plan_mix(docs, carry=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "draws")
+    return plan_mix(docs, carry=["doc_id"], whole=False).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "draws")
