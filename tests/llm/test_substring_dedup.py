@@ -60,3 +60,21 @@ def test_edge_rows(spark):
     assert len({(r.doc_id, r.start, r.end) for r in got}) == len(got)
     assert substring_dedup.drop_repeats(spark.createDataFrame(rows, SCHEMA)).count() == len(rows)
     assert substring_dedup.op2_substring_dedup(spark, folder(spark, [])).count() == 0
+
+
+def test_chunks_do_not_depend_on_the_texts_around():
+    rng = random.Random(8)
+    texts = [prose(rng, "en", n) for n in [20] * 200 + [1, 2, 3]] + ["", "é"]
+    owner, start, size, digest, _ = substring_dedup.chunks(texts)
+    for i, t in enumerate(texts):
+        _, s, n, d, _ = substring_dedup.chunks([t])
+        own = owner == i
+        assert start[own].tolist() == s.tolist() and size[own].tolist() == n.tolist() and digest[own].tolist() == d.tolist()
+
+
+def test_every_copy_of_a_short_text_is_found(spark):
+    rng = random.Random(9)
+    texts = [prose(rng, "en", 60)[: 100 + i % 60] for i in range(60)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(1000 - i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    got = substring_dedup.op2_substring_dedup(spark, folder(spark, rows)).collect()
+    assert {(r.doc_id, r.start, r.end) for r in got} == {(r[0], 0, len(r[1])) for r in rows}

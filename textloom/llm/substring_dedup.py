@@ -1,7 +1,7 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
 A gear hash, the sum of table values of the last ``WINDOW`` characters shifted by their
-age, rolls over a text's code points; a chunk ends where its high bits are zero, about
+age, rolls over a text's code points, anew for each text; a chunk ends where its high bits are zero, about
 every ``AVERAGE`` characters.  Where a chunk ends depends on the characters before it
 alone, so an insertion moves the chunks after it but does not change them.  Chunks
 are told apart by a 64-bit digest of their characters and length, all ASCII white space
@@ -73,8 +73,16 @@ def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         for age in range(min(WINDOW, n)):
             rolled[age:] += (gear[: n - age] if age else gear) << np.uint32(bits + age)
         # the high half of the sum holds a shifted value of each of the last WINDOW characters
-        cut = (rolled >> np.uint32(32 - AVERAGE.bit_length() + 1)) == 0
+        # the hash starts anew with each text: its first characters do not see the text before it
         ends_of_texts = np.cumsum(lengths)
+        offset = np.arange(n) - np.repeat(ends_of_texts - lengths, lengths)
+        head = np.flatnonzero(offset < WINDOW - 1)
+        anew = np.zeros(len(head), dtype=np.uint32)
+        for age in range(WINDOW - 1):
+            own = offset[head] >= age
+            anew[own] += gear[head[own] - age] << np.uint32(bits + age)
+        rolled[head] = anew
+        cut = (rolled >> np.uint32(32 - AVERAGE.bit_length() + 1)) == 0
         ends = np.unique(np.r_[np.flatnonzero(cut) + 1, ends_of_texts[lengths > 0]])
         starts = np.r_[0, ends[:-1]]
         long = np.flatnonzero(ends - starts > LONGEST)
