@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import statistics
 
 from pyspark.sql import functions as F
 
-from tests.llm.util import documents, folder
+from tests.llm.util import documents, folder, prose
 from textloom.llm import syncmers
 
 
@@ -56,3 +57,13 @@ def test_repeats_nulls_and_empty(spark):
     assert syncmers.op7_syncmers(spark, folder(spark, [])).count() == 0
     one = syncmers.op7_syncmers(spark, folder(spark, rows[:1])).first()
     assert one.near_next == 1.0
+
+
+def test_pairs_across_the_border_are_compared_in_one_unit(spark):
+    rng = random.Random(3)
+    base = prose(rng, "en", 90)[:402]
+    rows = [(9, base[:399]), (8, base), (7, prose(rng, "en", 200)[:550]), (6, "short"), (5, "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(900)))]
+    got = {r.doc_id: r for r in syncmers.op7_syncmers(spark, folder(spark, [(*r, "en", "s", 0) for r in rows])).collect()}
+    assert got[9].near_next > 0.9  # 399 and 402 characters
+    assert got[7].near_edited > 0.3 and got[7].n_chars == 550  # edited to fewer than 400
+    assert got[5].near_edited > 0.3  # long, without white space

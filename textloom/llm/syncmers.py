@@ -7,9 +7,11 @@ nothing around it, so a passage gives the same anchors wherever it stands.  The
 fingerprint is the list of the anchors' 32-bit hashes in the order of the text, eight
 hexadecimal digits each; likeness is the Jaccard index of two anchor sets.
 
-Short texts, of at most ``short_chars`` code points, are sequences of characters
-instead: they have too few words.  A text with fewer tokens than k has one anchor, the
-hash of all its tokens, and an empty text has none.
+Texts of at most ``SHORT_CHARS`` code points or with fewer than ``FEW_WORDS`` words are
+sequences of characters instead: they have too few words.  A text's fingerprint is in
+its own unit; two texts are compared in characters if either is one of these, so a
+pair on both sides of the border has likeness too.  A text with fewer tokens than k has
+one anchor, the hash of all its tokens, and an empty text has none.
 
 Neighbours: documents in descending id, ties by text hash; the one after the last is
 the first.  Their order is found over the ids alone: a range partitioning written to
@@ -33,15 +35,20 @@ from pyspark.sql import functions as F
 from textloom.llm.storage import save, shuffle_partitions
 
 K, S = 8, 3
-SHORT_CHARS = 400
+SHORT_CHARS, FEW_WORDS = 400, 64
 SPACE = "[\\x20\\x09-\\x0D]+"
 FIRST_ID = -(2**63)
 
 
-def token_hashes(text: Column, short_chars: int = SHORT_CHARS) -> Column:
-    """Hash of each token: characters of a short text, else words."""
-    short = F.char_length(text) <= short_chars
-    tokens = F.when(short, F.filter(F.split(text, ""), lambda c: c != "")).otherwise(F.filter(F.split(text, SPACE, -1), lambda w: w != ""))
+def by_chars(text: Column) -> Column:
+    """Whether a text is a sequence of characters."""
+    return (F.char_length(text) <= SHORT_CHARS) | (F.size(F.split(text, SPACE, FEW_WORDS)) < FEW_WORDS)
+
+
+def token_hashes(text: Column, chars: Column | None = None) -> Column:
+    """Hash of each token: characters where ``chars`` holds (by default as ``by_chars``), else words."""
+    chars = by_chars(text) if chars is None else chars
+    tokens = F.when(chars, F.filter(F.split(text, ""), lambda c: c != "")).otherwise(F.filter(F.split(text, SPACE, -1), lambda w: w != ""))
     return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
@@ -70,10 +77,10 @@ def anchors(tokens: Column, inner: Column, k: int = K, s: int = S) -> Column:
     return F.when(last < 0, few).otherwise(F.transform(F.filter(F.sequence(F.lit(0), last), chosen), kmer))
 
 
-def with_anchors(df: DataFrame, text_col: str, out: str, k: int = K, s: int = S, short_chars: int = SHORT_CHARS) -> DataFrame:
+def with_anchors(df: DataFrame, text_col: str, out: str, k: int = K, s: int = S, chars: Column | None = None) -> DataFrame:
     """``df`` with the array of 32-bit anchors of a text column that holds no nulls."""
     # each array is a column of its own before a lambda reads it
-    cut = df.withColumn("_tokens", token_hashes(F.col(text_col), short_chars))
+    cut = df.withColumn("_tokens", token_hashes(F.col(text_col), chars))
     inner = cut.withColumn("_inner", inner_hashes(F.col("_tokens"), s))
     return inner.withColumn(out, anchors(F.col("_tokens"), F.col("_inner"), k, s)).drop("_tokens", "_inner")
 
@@ -90,42 +97,56 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
-    """(did, h, n) to those with (prev_did, prev_h, prev_n) in descending order, the last before the first."""
+    """(did, h, n, chars) to (did, h) with (prev_did, prev_h, prev_n, prev_chars) in descending order, the last before the first."""
     spark = ids.sparkSession
     order = [F.col("did").desc(), F.col("h").desc()]
     parts = ids.dropDuplicates(["did", "h"]).repartitionByRange(shuffle_partitions(spark), *order).withColumn("part", F.spark_partition_id())
     parts = save(parts, "document-order")
     in_part = W.partitionBy("part").orderBy(*order)
-    linked = parts.withColumn("prev", F.lag(F.struct("did", "h", "n")).over(in_part))
-    tails = parts.groupBy("part").agg(F.min_by(F.struct("did", "h", "n"), F.struct("did", "h")).alias("tail"))
+    linked = parts.withColumn("prev", F.lag(F.struct("did", "h", "n", "chars")).over(in_part))
+    tails = parts.groupBy("part").agg(F.min_by(F.struct("did", "h", "n", "chars"), F.struct("did", "h")).alias("tail"))
     by_part = W.orderBy("part")
     wrapped = F.last("tail").over(by_part.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     edges = tails.select("part", F.coalesce(F.lag("tail").over(by_part), wrapped).alias("before"))
     return linked.join(edges, "part").withColumn("prev", F.coalesce("prev", "before")).select(
-        "did", "h", F.col("prev.did").alias("prev_did"), F.col("prev.h").alias("prev_h"), F.col("prev.n").alias("prev_n")
+        "did", "h", F.col("prev.did").alias("prev_did"), F.col("prev.h").alias("prev_h"), F.col("prev.n").alias("prev_n"), F.col("prev.chars").alias("prev_chars")
     )
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document row: ``did`` (null id: FIRST_ID), ``text``, ``edited``, and the anchors
-    ``own_anchors``, ``edited_anchors``, ``next_anchors``."""
+    """A row per document row: ``did`` (null id: FIRST_ID), ``text``, ``edited``, the anchors ``own_anchors``
+    and ``edited_anchors``, and the pairs to compare, each in one unit: ``with_edited`` and ``edited_pair``,
+    ``with_next`` and ``next_anchors``."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("did"), F.xxhash64(text).alias("h"), text.alias("text"))
-    order = save(neighbours(keyed.select("did", "h", F.char_length("text").alias("n"))), "document-neighbours")
+    order = save(neighbours(keyed.select("did", "h", F.char_length("text").alias("n"), by_chars(F.col("text")).alias("chars"))), "document-neighbours")
     placed = keyed.repartition(shuffle_partitions(spark), "did", "h")
     # a repeated row is one document: it gives its head once
-    givers = placed.groupBy("did", "h").agg(F.first("text").alias("text")).join(order.hint("merge"), ["did", "h"])
-    heads = with_anchors(givers, "text", "next_anchors").select(
+    givers = placed.groupBy("did", "h").agg(F.first("text").alias("text")).join(order.hint("merge"), ["did", "h"]).withColumn("chars", by_chars(F.col("text")))
+    heads = with_anchors(givers, "text", "next_anchors", chars=F.col("chars") | F.col("prev_chars")).select(
         F.col("prev_did").alias("did"),
         F.col("prev_h").alias("h"),
         F.substring("text", F.lit(1), F.floor(F.col("prev_n") / 3).cast("int")).alias("head"),
+        F.col("chars").alias("next_chars"),
         "next_anchors",
     )
-    joined = with_anchors(placed, "text", "own_anchors").join(heads.hint("merge"), ["did", "h"])
+    own = placed.withColumn("own_chars", by_chars(F.col("text")))
+    joined = with_anchors(own, "text", "own_anchors", chars=F.col("own_chars")).join(heads.hint("merge"), ["did", "h"])
     n = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 3)).cast("int")), F.col("head"))
-    return with_anchors(joined.withColumn("edited", edited), "edited", "edited_anchors").drop("head")
+    both = joined.withColumn("edited", edited).withColumn("edited_chars", by_chars(F.col("edited")))
+    both = with_anchors(both, "edited", "edited_anchors", chars=F.col("edited_chars"))
+    # the longer text of a pair across the border once more in characters; others are left empty
+    again = F.when(~F.col("own_chars") & (F.col("edited_chars") | F.col("next_chars")), F.col("text")).otherwise("")
+    both = with_anchors(both.withColumn("_again", again), "_again", "_own_again", chars=F.lit(True))
+    again = F.when(F.col("own_chars") & ~F.col("edited_chars"), F.col("edited")).otherwise("")
+    both = with_anchors(both.withColumn("_again", again), "_again", "_edited_again", chars=F.lit(True))
+    crossed = lambda other: F.when(~F.col("own_chars") & F.col(other), F.col("_own_again")).otherwise(F.col("own_anchors"))
+    return both.select(
+        "did", "text", "edited", "own_anchors", "edited_anchors", "next_anchors", crossed("edited_chars").alias("with_edited"), crossed("next_chars").alias("with_next"),
+        F.when(F.col("own_chars") & ~F.col("edited_chars"), F.col("_edited_again")).otherwise(F.col("edited_anchors")).alias("edited_pair"),
+    )
 
 
 def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +157,6 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("own_anchors")).alias("fingerprint"),
         fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("own_anchors"), F.col("edited_anchors")).alias("near_edited"),
-        likeness(F.col("own_anchors"), F.col("next_anchors")).alias("near_next"),
+        likeness(F.col("with_edited"), F.col("edited_pair")).alias("near_edited"),
+        likeness(F.col("with_next"), F.col("next_anchors")).alias("near_next"),
     )
