@@ -4,6 +4,8 @@ import hashlib
 import random
 import struct
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -57,3 +59,41 @@ def test_query(spark):
     assert bpe.op10_bpe(spark, folder(spark, [])).count() == 0
     one = bpe.encode(spark.createDataFrame([("a b",), (None,)], "text string")).select(bpe.unpack_ids(bpe.F.col("ids_packed")).alias("ids")).collect()
     assert [r.ids for r in one] == [LIBRARY.encode("a b").ids, []]
+
+
+def test_words_across_parts_and_chunks(monkeypatch):
+    """Long texts cut into parts, endings, white space of all kinds, added tokens beside words."""
+    rng = random.Random(3)
+    bits = ["'s", "'re", "'ll", "'x", "' s", "!'s", "'", " ", "  ", "\n", "\n\n ", "\t", "\u3000", "\x1c", "\x85", "a", "B", "\u00e9", "\u4e2d", "7", "\u0663", "\u00b2", "!?", "_", "<|endoftext|>", "<|", "\U0001f600", "\u0301"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 80))) for _ in range(400)]
+    want = [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    for long_text, chunk in ((10**6, 10**6), (5, 40)):
+        monkeypatch.setattr(bpe, "LONG_TEXT", long_text)
+        monkeypatch.setattr(bpe, "CHUNK_CHARS", chunk)
+        monkeypatch.setattr(bpe, "CHUNK_IDS", chunk)
+        v = bpe.Vocabulary(PATH)
+        packed = v.encode_all(texts)
+        assert [ids_of(p) for p in packed] == want
+        assert v.decode_all([*packed, None]) == [LIBRARY.decode(w, skip_special_tokens=False) for w in want] + [""]
+
+
+def test_equal_hashes_fall_back_to_the_words_themselves(monkeypatch):
+    monkeypatch.setattr(bpe, "_hash_powers", lambda n: (np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)))
+    texts = ["one two three two", "three", "one  one"]
+    assert [ids_of(p) for p in bpe.Vocabulary(PATH).encode_all(texts)] == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_the_cache_lets_go_of_its_older_half(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 10)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 50)
+    texts = [t for _, t, *_ in documents(40, 4) if t]
+    v = bpe.Vocabulary(PATH)
+    assert [ids_of(p) for p in v.encode_all(texts)] == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    assert len(v.known) <= 10
+
+
+def test_clashing_columns_are_refused(spark):
+    df = spark.createDataFrame([(1, "x", b"")], "doc_id long, text string, ids_packed binary")
+    with pytest.raises(ValueError):
+        bpe.encode(df)
+    assert bpe.encode(df, out="other").columns == ["doc_id", "text", "ids_packed", "other"]
