@@ -59,3 +59,29 @@ def test_edge_cases(spark):
     assert all(by[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10, 11))
     assert by[None] == (0, None, False)
     assert embedding_dedup.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_ids_that_repeat_and_clashing_columns(spark):
+    rng = np.random.default_rng(5)
+    x = [rng.normal(size=16) for _ in range(3)]
+    rows = [(1, x[0].tolist(), 0), (2, near(rng, x[0] / np.linalg.norm(x[0]), 0.99).tolist(), 0), (1, x[1].tolist(), 0), (3, near(rng, x[1] / np.linalg.norm(x[1]), 0.99).tolist(), 0), (4, x[2].tolist(), 0)]
+    names = ["_g", "_e1", "g", "node", "n_links", "row", "vec"]
+    df = spark.createDataFrame([(*r, *range(7)) for r in rows], SCHEMA + "".join(f", {c} int" for c in names))
+    got = embedding_dedup.near_vectors(df)
+    assert got.columns == ["vec_id", "embedding", "label", "_g", "_e1", "g", "node", "row", "vec", "n_links", "component_id", "kept"]
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got.collect()) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+
+
+def test_the_order_of_points_decides():
+    orders = [bytes([1, 2, 3, 4, 5, 6]), bytes([1, 2, 3, 7, 8, 9]), bytes([7, 8, 9, 3, 2, 1]), bytes([6, 5, 4, 3, 2, 1])]
+    found = embedding_dedup.candidate_pairs(orders, 3, 3, 7)
+    assert found[0, 1] and not found[0, 2] and not found[1, 2]  # the same three points, near the front or not
+    assert not embedding_dedup.candidate_pairs(orders, 6, 3, 7)[0, 3]  # shares smaller points than this list's
+
+
+def test_small_blocks_change_nothing(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=16)
+    rows = [(i, near(rng, x / np.linalg.norm(x), 0.97).tolist(), 0) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert embedding_dedup.near_vectors(df, block=4).exceptAll(embedding_dedup.near_vectors(df)).count() == 0

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from textloom.llm.storage import shuffle_partitions
 
 
-def in_blocks(rows: DataFrame, bucket: list[str], member: str, most: int) -> DataFrame:
+def in_blocks(rows: DataFrame, bucket: list[str], member: str, most: int, counted: str) -> DataFrame:
     """``rows`` of buckets with two members or more, with ``left``, ``right`` and ``side``
-    (0: of chunk left, 1: of chunk right), grouped in partitions and sorted by block."""
-    counts = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("in_bucket")).where(F.col("in_bucket") > 1)
-    sized = rows.join(counts, bucket).withColumn("chunks", F.ceil(F.col("in_bucket") / most).cast("int"))
+    (0: of chunk left, 1: of chunk right), grouped in partitions and sorted by block.
+
+    ``counted`` is the column with the number of rows in the bucket."""
+    sized = rows.withColumn("chunks", F.ceil(F.col(counted) / most).cast("int"))
     own = F.pmod(F.xxhash64(F.lit("chunk"), F.col(member)), F.col("chunks")).cast("int")
     placed = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     blocks = placed.select(

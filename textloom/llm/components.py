@@ -1,9 +1,10 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Every step is a grouping for the smallest neighbour and a join, so no node's
-neighbourhood is gathered; the joins are plain sort-merge joins that can be split
-where one node has very many edges.  Each round is written to the shared folder, and
-the loop ends when a round leaves the edges as they were.
+neighbourhood is gathered.  The smallest neighbours are written before the join: then
+both its sides are plain shuffles, which can be split where one node has very many edges.
+Each round is written to the shared folder, and the loop ends when a round leaves the
+edges as they were.
 """
 
 from __future__ import annotations
@@ -16,21 +17,17 @@ from textloom.llm.storage import save
 MAX_ROUNDS = 60
 
 
-def _to_smallest(edges: DataFrame, smallest: DataFrame) -> DataFrame:
-    return edges.join(smallest.hint("merge"), "u")
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     """(u > v) edges: every node hands its smallest neighbour to its larger neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return _to_smallest(both.where(F.col("v") > F.col("u")), smallest).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    smallest = save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "component-smallest")
+    return both.where(F.col("v") > F.col("u")).join(smallest.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """(u > v) edges: every node hands its smallest neighbour to itself and its smaller ones."""
-    smallest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = _to_smallest(edges, smallest)
+    smallest = save(edges.groupBy("u").agg(F.min("v").alias("m")), "component-smallest")
+    joined = edges.join(smallest.hint("merge"), "u")
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(smallest.select("u", F.col("m").alias("v")))
 
 

@@ -1,24 +1,34 @@
 """Embedding near-dedup by a pivot-permutation index.
 
 A vector is described by its ``nearest`` nearest reference points out of ``pivots``, in
-order.  The inverted lists are keyed by label and by each set of ``shared`` of those
-points, so two vectors meet in a list exactly if they share at least that many.  A
-pair that shares more meets in several lists; it counts in the one of its smallest
-shared points.  In a list, vectors are compared in blocks by cosine in double precision.
+order: its permutation.  The inverted lists are keyed by label and by each set of
+``shared`` of those points, so two vectors meet in a list exactly if they share at
+least that many.  A pair that shares more meets in several lists; it counts in the one
+of its smallest shared points.
+
+Lists hold numbers of vectors and their permutations.  In a list, permutations are
+compared in blocks: a pair is a candidate if, over all lengths of prefix, its two
+permutations have ``agree`` points in common or more (a form of Spearman's footrule:
+points count the more, the nearer to the front both have them).  Vectors are fetched
+for the entries that have a candidate, and compared in blocks by cosine in double
+precision.
 
 Equal vectors of a label are one class: the index holds a representative with its
 number of copies.  The reference points come from a bounded sample of the
 representatives and keep apart from each other; every vector is indexed.  A list that is longer
 than a block is compared by all pairs of its chunks.
 
-Recall at the threshold depends on the points two near vectors share: simulated for
-128 points and 6 nearest, 95 % at cosine 0.93, 98 % at 0.95, 99 % at 0.97; the tests
-measure it against brute force.
+Recall depends on the points two near vectors share: simulated for 128 points and 6
+nearest, 94 % at cosine 0.93, 98 % at 0.95, 99 % at 0.97; the tests measure it against
+brute force.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components,
 and rows with a null label or id, link with nothing.  Vectors of different lengths do
-not link.  Rows that repeat are separate vectors that link with each other.  A null id
-gives a null component that is not kept.  An empty table gives an empty result.
+not link.  Rows that repeat are separate vectors that link with each other; rows that
+repeat an id with other vectors each have the links of their own vector.  A null id
+gives a null component that is not kept.  Other columns pass through whatever their
+names, but for ``n_links``, ``component_id`` and ``kept``, which are replaced.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,12 +45,13 @@ from textloom.llm.blocks import in_blocks, local_roots, runs
 from textloom.llm.components import connected_components
 from textloom.llm.storage import save
 
-PIVOTS, NEAREST, SHARED = 128, 6, 3
+PIVOTS, NEAREST, SHARED, AGREE = 128, 6, 3, 7
 THRESHOLD = 0.93
-BLOCK = 1024
+BLOCK = 512
 #: Vectors that reference points are chosen from, and the cosine that any two stay below.
 SAMPLE, APART = 2048, 0.6
 CLASS = ["g", "e1", "e2"]
+LIST = ["g", "list"]
 
 
 def unit(vectors: list) -> np.ndarray:
@@ -84,7 +95,8 @@ def choose_pivots(classes: DataFrame, pivots: int, sample: int = SAMPLE, apart:
 
 
 def inverted_lists(classes: DataFrame, points: dict[int, np.ndarray], nearest: int, shared: int) -> DataFrame:
-    """A row (g, list, rep, copies, low, high, vector) for each set of shared points of each vector."""
+    """A row (g, list, node, order, top) for each set of shared points of each vector; ``order`` is its
+    permutation, a byte for each point, and ``top`` the largest point of the set."""
     sent = classes.sparkSession.sparkContext.broadcast(points)
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,64 +111,95 @@ def inverted_lists(classes: DataFrame, points: dict[int, np.ndarray], nearest: i
                     rows = own.iloc[part : part + 500]
                     x = unit(rows["vector"].tolist())
                     permutation = np.argsort(-(x @ reference.T), axis=1, kind="stable")[:, :q]
-                    ordered = np.sort(permutation, axis=1)
+                    as_set = np.sort(permutation, axis=1)
                     keys = np.zeros((len(rows), len(picks)), dtype=np.int64)
                     for j in range(t):
-                        keys = keys * len(reference) + ordered[:, picks[:, j]]
-                    bits = np.zeros((len(rows), 2), dtype=np.uint64)
-                    for j in range(q):
-                        np.bitwise_or.at(bits, (np.arange(len(rows)), ordered[:, j] // 64), np.uint64(1) << (ordered[:, j] % 64).astype(np.uint64))
+                        keys = keys * len(reference) + as_set[:, picks[:, j]]
+                    packed = [p.tobytes() for p in permutation.astype(np.uint8)]
                     each = np.repeat(np.arange(len(rows)), len(picks))
                     yield pd.DataFrame(
                         {
                             "g": rows["g"].to_numpy()[each],
                             "list": keys.ravel(),
-                            "rep": rows["rep"].to_numpy()[each],
-                            "copies": rows["copies"].to_numpy()[each],
-                            "low": bits[each, 0].view(np.int64),
-                            "high": bits[each, 1].view(np.int64),
-                            "top": ordered[:, picks[:, -1]].ravel(),
-                            "vector": rows["vector"].to_numpy()[each],
+                            "node": rows["node"].to_numpy()[each],
+                            "order": [packed[i] for i in each.tolist()],
+                            "top": as_set[:, picks[:, -1]].ravel(),
                         }
                     )
 
-    kind = classes.schema["vector"].dataType.simpleString()
-    return classes.mapInPandas(describe, f"g long, list long, rep long, copies long, low long, high long, top long, vector {kind}")
+    return classes.select("g", "node", "vector").mapInPandas(describe, "g long, list long, node long, order binary, top long")
+
+
+def candidate_pairs(orders: list[bytes], top: int, shared: int, agree: int) -> np.ndarray:
+    """Which pairs of a list agree in their permutations and count in this list."""
+    permutation = np.frombuffer(b"".join(orders), dtype=np.uint8).reshape(len(orders), -1)
+    q = permutation.shape[1]
+    rows = np.arange(len(orders))
+    prefix = np.zeros((len(orders), 256), dtype=np.float32)
+    agreement = np.zeros((len(orders), len(orders)), dtype=np.float32)
+    for j in range(q):
+        prefix[rows, permutation[:, j]] = 1
+        agreement += prefix @ prefix.T
+    # a pair counts in the list of its smallest shared points
+    below = prefix[:, : top + 1]
+    # few points allow less
+    found = (agreement >= min(agree, q * (q + 1) // 2)) & (below @ below.T <= min(shared, q))
+    np.fill_diagonal(found, False)
+    return found
 
 
-def compare_lists(lists: DataFrame, threshold: float, shared: int, block: int = BLOCK) -> DataFrame:
-    """(rep, links, root): the vectors a representative links with in a block, and the smallest it reaches there."""
+def with_candidates(lists: DataFrame, shared: int, agree: int, block: int) -> DataFrame:
+    """The entries (g, list, node, order, top, in_list) that are part of a candidate."""
+    counts = save(lists.groupBy(*LIST).agg(F.count(F.lit(1)).alias("in_list")).where(F.col("in_list") > 1), "vector-lists")
+    # written, so that both sides of the join are shuffled and a long list can be split
+    met = lists.join(counts.hint("merge"), LIST)
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in runs(frames, ["g", "list", "left", "right"]):
+        for group in runs(frames, [*LIST, "left", "right"]):
             side = group["side"].to_numpy()
             crossed = group["left"].iat[0] != group["right"].iat[0]
             if crossed and side.min() == side.max():
                 continue
-            x = unit(group["vector"].tolist())
-            linked = x @ x.T >= threshold
-            np.fill_diagonal(linked, False)
+            found = candidate_pairs(group["order"].tolist(), int(group["top"].iat[0]), shared, agree)
             if crossed:
-                linked &= side[:, None] != side[None, :]
-            if not linked.any():
+                found &= side[:, None] != side[None, :]
+            has = found.any(axis=1)
+            if has.any():
+                yield group.loc[has, [*LIST, "node", "order", "top"]]
+
+    found = in_blocks(met, LIST, "node", block, counted="in_list").mapInPandas(compare, "g long, list long, node long, order binary, top long")
+    entries = save(found.dropDuplicates([*LIST, "node"]), "vector-candidates")
+    again = save(entries.groupBy(*LIST).agg(F.count(F.lit(1)).alias("in_list")), "vector-lists")
+    return entries.join(again.hint("merge"), LIST)
+
+
+def compare_lists(entries: DataFrame, classes: DataFrame, threshold: float, shared: int, agree: int, block: int) -> DataFrame:
+    """(node, links, root): the vectors that a representative links with in a block, and the smallest number it reaches there."""
+    lists = entries.join(classes.select("node", "copies", "vector").hint("merge"), "node")
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in runs(frames, [*LIST, "left", "right"]):
+            side = group["side"].to_numpy()
+            crossed = group["left"].iat[0] != group["right"].iat[0]
+            if crossed and side.min() == side.max():
                 continue
-            # a pair counts in the list of its smallest shared points
-            top = int(group["top"].iat[0])
-            below = [(1 << min(64, top + 1)) - 1, (1 << max(0, top - 63)) - 1]
-            bits = [group[c].to_numpy().view(np.uint64) & np.uint64(b) for c, b in zip(("low", "high"), below, strict=True)]
-            common = sum(np.bitwise_count(b[:, None] & b[None, :]) for b in bits)
-            linked &= common <= shared
-            links = linked @ group["copies"].to_numpy()
-            if not links.any():
+            found = candidate_pairs(group["order"].tolist(), int(group["top"].iat[0]), shared, agree)
+            if crossed:
+                found &= side[:, None] != side[None, :]
+            if not found.any():
                 continue
-            root = local_roots(linked)
-            rep = group["rep"].to_numpy()
-            smallest = np.full(len(rep), np.iinfo(np.int64).max)
-            np.minimum.at(smallest, root, rep)
+            x = unit(group["vector"].tolist())
+            found &= x @ x.T >= threshold
+            links = found @ group["copies"].to_numpy()
             has = links > 0
-            yield pd.DataFrame({"rep": rep[has], "links": links[has], "root": smallest[root][has]})
+            if has.any():
+                node = group["node"].to_numpy()
+                root = local_roots(found)
+                smallest = np.full(len(node), np.iinfo(np.int64).max)
+                np.minimum.at(smallest, root, node)
+                yield pd.DataFrame({"node": node[has], "links": links[has], "root": smallest[root][has]})
 
-    return in_blocks(lists, ["g", "list"], "rep", block).mapInPandas(compare, "rep long, links long, root long")
+    return in_blocks(lists, LIST, "node", block, counted="in_list").mapInPandas(compare, "node long, links long, root long")
 
 
 def near_vectors(
@@ -168,41 +211,46 @@ def near_vectors(
     pivots: int = PIVOTS,
     nearest: int = NEAREST,
     shared: int = SHARED,
+    agree: int = AGREE,
+    block: int = BLOCK,
 ) -> DataFrame:
     """``rows`` with ``n_links``, ``component_id`` and ``kept``."""
-    if pivots > 128:
-        raise ValueError("at most 128 reference points")
+    if pivots > 256:
+        raise ValueError("at most 256 reference points")
     valid = comparable(rows, id_col, vector_col, label_col)
+    # a number of its own for each class, fixed by being written
     classes = save(
-        valid.groupBy(*CLASS).agg(F.min("vec").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")), "vector-classes"
+        valid.groupBy(*CLASS).agg(F.min("vec").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
+        .select(F.monotonically_increasing_id().alias("node"), "*"),
+        "vector-classes",
     )
     points = choose_pivots(classes, pivots)
-    found = save(compare_lists(inverted_lists(classes, points, nearest, shared), threshold, shared), "vector-links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    judged = (
-        classes.select(*CLASS, "rep", "copies")
-        .join(links, "rep", "left")
-        .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(*CLASS, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    entries = with_candidates(inverted_lists(classes, points, nearest, shared), shared, agree, block)
+    found = save(compare_lists(entries, classes, threshold, shared, agree, block), "vector-links")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    parts = save(connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v"))), "vector-parts")
+    named = (
+        classes.select("node", *CLASS, "rep", "copies").join(links, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     )
-    own = [c for c in rows.columns if c not in ("n_links", "component_id", "kept")]
+    smallest = save(named.groupBy("component").agg(F.min("rep").alias("component_id")), "vector-components")
+    judged = named.join(smallest.hint("merge"), "component").select(*CLASS, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     v = F.col(vector_col)
     keyed = rows.select(
-        *own,
-        F.xxhash64(F.col(label_col), F.size(v)).alias("_g"),
-        F.xxhash64(v).alias("_e1"),
-        F.xxhash64(F.lit("vector"), v).alias("_e2"),
-        (F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & v.isNotNull()).alias("_may"),
+        F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in ("n_links", "component_id", "kept")]).alias("row"),
+        F.col(id_col).cast("long").alias("vec"),
+        F.xxhash64(F.col(label_col), F.size(v)).alias("g"),
+        F.xxhash64(v).alias("e1"),
+        F.xxhash64(F.lit("vector"), v).alias("e2"),
+        (F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & v.isNotNull()).alias("may"),
     )
-    at = judged.select(*[F.col(c).alias(f"_c{c}") for c in CLASS], "n_links", "component_id")
-    on = F.col("_may") & (F.col("_g") == F.col("_cg")) & (F.col("_e1") == F.col("_ce1")) & (F.col("_e2") == F.col("_ce2"))
-    component = F.coalesce("component_id", F.col(id_col).cast("long"))
+    at = judged.select(*[F.col(c).alias(f"at_{c}") for c in CLASS], "n_links", "component_id")
+    on = F.col("may") & (F.col("g") == F.col("at_g")) & (F.col("e1") == F.col("at_e1")) & (F.col("e2") == F.col("at_e2"))
+    component = F.coalesce("component_id", "vec")
     return keyed.join(at.hint("merge"), on, "left").select(
-        *own,
+        "row.*",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
-        F.coalesce(component == F.col(id_col), F.lit(False)).alias("kept"),
+        F.coalesce(component == F.col("vec"), F.lit(False)).alias("kept"),
     )
 
 
