@@ -1,29 +1,30 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
-A gear hash, the sum of table values of the last ``WINDOW`` characters shifted by their
-age, rolls over a text's code points, anew for each text; a chunk ends where its high bits are zero, about
+A gear hash, the sum of values of the last ``WINDOW`` code points shifted by their age,
+rolls over a text, anew for each text; a chunk ends where its high bits are zero, about
 every ``AVERAGE`` characters.  Where a chunk ends depends on the characters before it
-alone, so an insertion moves the chunks after it but does not change them.  Chunks
-are told apart by a 64-bit digest of their characters and length, all ASCII white space
-counting as a space.
+alone, so an insertion moves the chunks after it but does not change them.  Where
+there is no such place for ``CLEAR`` characters on either side, a chunk also ends where the
+hash is the smallest of ``NEAR`` places on either side, ties at least ``NEAR`` apart: so a
+passage of one word over and over is cut at the same place of its period wherever it
+stands.  Chunks are told apart by a 128-bit digest of their code points, all ASCII
+white space counting as a space.
 
 A chunk is repeated if documents with different ids hold it.  Neighbouring repeated
 chunks of a text are a span; spans of at least ``min_chars`` are reported (a passage of
 fifty words covers that much after the part of a chunk lost at either end).  The
 document with the smallest id holds a chunk first; a document keeps a span of which it
 holds half the characters first or more (short chunks meet by chance) and loses others.
-One chunk alone is hardly ever long enough for a span, so a span needs several equal
-digests in a row.  Stretches of one word over and over have no cut of their own and are
-cut every ``LONGEST`` characters, so copies of them may be missed.
 
 Digests are aggregated to one row each (smallest and largest id) before the join back,
 which AQE may split where a chunk is very frequent.
 
 Edge cases: a null text is an empty one and has no chunk.  A null id counts as the
-smallest.  Rows that repeat an id are one document for the counting, and each text is
-reported by itself; a row that repeats an id and a text is reported once.  Passages
-that repeat within one document only are left alone.  An empty table gives an empty
-result.
+smallest (that of the least long, if there is one).  Rows that repeat an id are one
+document for the counting, and each text is reported by itself; a row that repeats an id
+and a text is reported once.  Passages that repeat within one document only are left
+alone.  A long text is cut ``GROUP_CHARS`` characters at a time, with the same result.
+Columns of any name pass through ``drop_repeats``.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,17 +39,26 @@ from pyspark.sql import functions as F
 
 from textloom.llm.storage import save, small_batches
 
-WINDOW, AVERAGE, LONGEST = 16, 32, 512
+WINDOW, AVERAGE = 16, 32
+CLEAR, NEAR = 48, 16
+#: Characters before a stretch of a long text that decide where its chunks end.
+LEAD = CLEAR + NEAR + WINDOW
 MIN_CHARS = 100
 #: Characters that are cut at once.
 GROUP_CHARS = 300_000
 SMALLEST_ID = -(2**63)
-_RANDOM = np.random.default_rng(2)
-_GEAR = _RANDOM.integers(0, 2**32, size=65536, dtype=np.uint32)
-_VALUE = _RANDOM.integers(0, 2**63, size=65536, dtype=np.int64).view(np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-CHUNK_SCHEMA = "digest long, did long, row long, start int, size int, words int"
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+CHUNK_SCHEMA = "d1 long, d2 long, did long, row long, start long, size int, words int"
+DIGEST = ["d1", "d2"]
+
+
+def mixed(points: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit value of each code point."""
+    with np.errstate(over="ignore"):
+        x = (points.astype(np.uint64) + np.uint64(seed)) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -58,16 +68,31 @@ def _powers(base: int, n: int) -> np.ndarray:
         return np.multiply.accumulate(out)
 
 
-def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, start, size, digest, words) of the chunks of all texts."""
+def smallest_places(rolled: np.ndarray, low: int, high: int, last: int) -> list[int]:
+    """Where the hash of a text is the smallest around, of the places low..high-1; ties NEAR apart, from ``last`` on."""
+    around = np.full(high - low + 2 * NEAR, np.uint32(2**32 - 1))
+    begin, end = max(0, low - NEAR), min(len(rolled), high + NEAR)
+    around[begin - low + NEAR : end - low + NEAR] = rolled[begin:end]
+    found = np.flatnonzero(rolled[low:high] == np.lib.stride_tricks.sliding_window_view(around, 2 * NEAR + 1).min(axis=1)) + low
+    kept = []
+    for place in found.tolist():
+        if place - last >= NEAR:
+            kept.append(place)
+            last = place
+    return kept
+
+
+def chunks(texts: list[str], lead: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, start, size, digest, second digest, words) of the chunks of all texts.
+
+    ``lead``: characters before each text that the rolling hash sees, in no chunk."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").copy()
     points[(points >= 9) & (points <= 13)] = 32  # a passage may be wrapped anew
     n = len(points)
     if not n:
-        return (np.zeros(0, dtype=np.int64),) * 5
-    short = (points & 0xFFFF).astype(np.int64)
-    gear, rolled = _GEAR[short], np.zeros(n, dtype=np.uint32)
+        return (np.zeros(0, dtype=np.int64),) * 6
+    gear, rolled = (mixed(points, 2) >> np.uint64(32)).astype(np.uint32), np.zeros(n, dtype=np.uint32)
     bits = 32 - WINDOW
     with np.errstate(over="ignore"):
         for age in range(min(WINDOW, n)):
@@ -83,20 +108,53 @@ def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
             anew[own] += gear[head[own] - age] << np.uint32(bits + age)
         rolled[head] = anew
         cut = (rolled >> np.uint32(32 - AVERAGE.bit_length() + 1)) == 0
+        # stretches without a cut, from one cut or text's end to the next
+        bounds = np.unique(np.r_[np.flatnonzero(cut), ends_of_texts[lengths > 0] - 1])
+        before = np.r_[-1, bounds[:-1]]
+        for i in np.flatnonzero(bounds - before > CLEAR).tolist():
+            text = int(np.searchsorted(ends_of_texts, bounds[i], side="right"))
+            begin, end = int(ends_of_texts[text] - lengths[text]), int(ends_of_texts[text])
+            low = int(before[i]) + 1 + (CLEAR if before[i] >= begin and cut[before[i]] else 0)
+            high = int(bounds[i]) - (CLEAR if cut[bounds[i]] else 1)
+            low = max(low, begin + lead)
+            if low < high:
+                places = smallest_places(rolled[begin:end], low - begin, high - begin, lead - 1 if lead else -NEAR)
+                cut[[begin + x for x in places]] = True
+        cut[offset < lead] = False
+        cut[offset == lead - 1] = True
         ends = np.unique(np.r_[np.flatnonzero(cut) + 1, ends_of_texts[lengths > 0]])
         starts = np.r_[0, ends[:-1]]
-        long = np.flatnonzero(ends - starts > LONGEST)
-        if len(long):
-            more = np.concatenate([np.arange(starts[i] + LONGEST, ends[i], LONGEST) for i in long])
-            ends = np.unique(np.r_[ends, more])
-            starts = np.r_[0, ends[:-1]]
-        sums = np.r_[np.uint64(0), np.cumsum(_VALUE[short] * _powers(_BASE, n), dtype=np.uint64)]
-        digest = (sums[ends] - sums[starts]) * _powers(_INVERSE, n)[starts]
-        digest ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        digest = (digest ^ (digest >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+        value = mixed(points, 1)
+        digests = []
+        for base in _BASES:
+            sums = np.r_[np.uint64(0), np.cumsum(value * _powers(base, n), dtype=np.uint64)]
+            digest = (sums[ends] - sums[starts]) * _powers(pow(base, -1, 2**64), n)[starts]
+            digest ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            digest = (digest ^ (digest >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+            digests.append(digest.view(np.int64))
     spaces = np.r_[0, np.cumsum(points == 32)]
     owner = np.searchsorted(ends_of_texts, starts, side="right")
-    return owner, starts - (ends_of_texts - lengths)[owner], ends - starts, digest.view(np.int64), spaces[ends] - spaces[starts]
+    start = starts - (ends_of_texts - lengths)[owner] - lead
+    found = (owner, start, ends - starts, *digests, spaces[ends] - spaces[starts])
+    return tuple(x[start >= 0] for x in found) if lead else found
+
+
+def long_chunks(text: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same for one text, a stretch at a time; chunks that what follows may change are left to the next one."""
+    at, size = 0, GROUP_CHARS
+    while at < len(text):
+        lead = min(at, LEAD)
+        found = chunks([text[at - lead : at + size]], lead)
+        rest = len(text) - at
+        if size < rest:
+            settled = found[1] + found[2] + CLEAR + NEAR < size
+            if not settled.any():
+                size *= 2
+                continue
+            rest = int((found[1] + found[2])[settled][-1])
+            found = tuple(x[settled] for x in found)
+        yield (found[0], found[1] + at, *found[2:])
+        at, size = at + rest, GROUP_CHARS
 
 
 def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -107,31 +165,42 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for frame in frames:
             did, row = frame["did"].to_numpy(), frame["row"].to_numpy()
             texts = frame["text"].tolist()
-            # groups of about GROUP_CHARS, a longer text alone
+            # groups of about GROUP_CHARS; a longer text alone, in stretches
             group = np.cumsum([len(t) for t in texts]) // GROUP_CHARS
             for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(group)) + 1):
-                owner, start, size, digest, words = chunks([texts[i] for i in part])
-                yield pd.DataFrame({"digest": digest, "did": did[part[owner]], "row": row[part[owner]], "start": start, "size": size, "words": words})
+                long = [i for i in part.tolist() if len(texts[i]) > GROUP_CHARS]
+                rest = np.array([i for i in part.tolist() if len(texts[i]) <= GROUP_CHARS], dtype=np.int64)
+                for own, found in [(rest, chunks([texts[i] for i in rest]))] if len(rest) else []:
+                    yield _chunk_frame(did[own[found[0]]], row[own[found[0]]], found)
+                for i in long:
+                    for found in long_chunks(texts[i]):
+                        yield _chunk_frame(did[i], row[i], found)
 
     return keyed.mapInPandas(cut, CHUNK_SCHEMA)
 
 
+def _chunk_frame(did, row, found: tuple[np.ndarray, ...]) -> pd.DataFrame:
+    _, start, size, d1, d2, words = found
+    return pd.DataFrame({"d1": d1, "d2": d2, "did": did, "row": row, "start": start, "size": size, "words": words})
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(did, row, start, end, n_words, first_did, n_kept): spans that other documents hold too; offsets in code points.
 
-    ``first_did``: the first holder of the span's longest chunk; ``n_kept``: characters of the span
+    ``first_did``: the first holder of most of its characters; ``n_kept``: characters of the span
     whose first holder this document is."""
     cut = chunk_rows(docs, id_col, text_col)
-    counted = cut.groupBy("digest").agg(F.min("did").alias("first"), F.max("did").alias("last"))
+    counted = cut.groupBy(*DIGEST).agg(F.min("did").alias("first"), F.max("did").alias("last"))
     # written, so that both sides of the join are shuffled and a chunk in very many documents can be split
-    repeated = save(counted.where(F.col("first") < F.col("last")).select("digest", "first"), "repeated-chunks")
-    found = cut.join(repeated.hint("merge"), "digest").dropDuplicates(["did", "row", "start"])
+    repeated = save(counted.where(F.col("first") < F.col("last")).select(*DIGEST, "first"), "repeated-chunks")
+    found = cut.join(repeated.hint("merge"), DIGEST).dropDuplicates(["did", "row", "start"])
     w = W.partitionBy("did", "row").orderBy("start")
     fresh = F.when(F.lag(F.col("start") + F.col("size")).over(w) == F.col("start"), 0).otherwise(1)
     runs = found.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w))
-    spans = runs.groupBy("did", "row", "run").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("n_words"), F.max_by("first", F.struct("size", -F.col("start"))).alias("first_did"),
-        F.sum(F.when(F.col("first") == F.col("did"), F.col("size")).otherwise(0)).alias("n_kept"),
+    by_first = runs.groupBy("did", "row", "run", "first").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("words"), F.sum("size").alias("chars"))
+    spans = by_first.groupBy("did", "row", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.max_by("first", F.struct("chars", F.bitwise_not("first"))).alias("first_did"),
+        F.sum(F.when(F.col("first") == F.col("did"), F.col("chars")).otherwise(0)).alias("n_kept"),
     )
     return spans.where(F.col("end") - F.col("start") >= min_chars).drop("run")
 
@@ -139,13 +208,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with their text without the spans that others held first; a null stays one."""
     spans = repeated_spans(docs, id_col, text_col, min_chars).where("2 * n_kept < end - start").groupBy("did", "row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    keyed = docs.withColumns({"_did": F.coalesce(F.col(id_col).cast("long"), F.lit(SMALLEST_ID)), "_row": F.xxhash64(F.col(text_col))})
-    joined = keyed.join(spans.select(F.col("did").alias("_did"), F.col("row").alias("_row"), "_spans"), ["_did", "_row"], "left")
-    text = F.col(text_col)
-    begins = F.concat(F.array(F.lit(0)), F.transform("_spans", lambda s: s["end"]))
-    stops = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.char_length(text)))
-    kept = F.array_join(F.zip_with(begins, stops, lambda a, b: F.substring(text, a + 1, b - a)), "")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(kept)).select(*docs.columns)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(SMALLEST_ID)).alias("did"), F.xxhash64(F.col(text_col)).alias("row"))
+    joined = keyed.join(spans.hint("merge"), ["did", "row"], "left")
+    text = F.col(f"_doc.`{text_col}`")
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda s: s["end"]))
+    stops = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.char_length(text).cast("long")))
+    kept = F.array_join(F.zip_with(begins, stops, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))), "")
+    return joined.withColumn("_doc", F.col("_doc").withField(f"`{text_col}`", F.when(F.col("_spans").isNull(), text).otherwise(kept))).select("_doc.*")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
