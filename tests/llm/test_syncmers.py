@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import statistics
+import string
 
 from pyspark.sql import functions as F
 
@@ -28,19 +29,80 @@ def test_edits_and_likeness(spark):
     assert got[4].fingerprint == got[5].fingerprint  # equal texts
 
 
-def slow_anchors(tokens: list[int], smer) -> int:
-    """How many windows have their smallest inner hash at an end."""
-    inner = [smer[i] for i in range(len(smer))]
-    width = syncmers.K - syncmers.S
-    return sum(min(inner[i], inner[i + width]) <= min(inner[i + 1 : i + width]) for i in range(len(inner) - width))
+ENDS = set("aeiouAEIOU0369") | set(string.punctuation)
+SPACES = set(" \t\n\x0b\x0c\r")
+
+
+def tokens_of(text):
+    """Pieces of words that end after certain characters or at eight, one character at a time."""
+    out, now = [], ""
+    for c in text:
+        if c in SPACES:
+            out, now = out + [now], ""
+            continue
+        now += c
+        if c in ENDS or ord(c) > 127 or len(now) == syncmers.LONGEST:
+            out, now = out + [now], ""
+    return [t for t in [*out, now] if t]
+
+
+def slow_anchors(spark, text):
+    """Anchors from the definition: the k-mers of tokens whose smallest s-mer is the first or the last."""
+    tokens = tokens_of(text)
+    k, s = syncmers.K, syncmers.S
+    if len(tokens) < k:
+        return [("few", *tokens)] if tokens else []
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, t string").select("i", F.xxhash64("t").alias("h"))
+    h = [r.h for r in rows.orderBy("i").collect()]
+    smers = spark.createDataFrame([(i, *h[i : i + s]) for i in range(len(h) - s + 1)], "i int, a long, b long, c long").select("i", F.xxhash64("a", "b", "c").alias("h"))
+    inner = [r.h for r in smers.orderBy("i").collect()]
+    width = k - s
+    return [tuple(tokens[i : i + k]) for i in range(len(tokens) - k + 1) if min(inner[i : i + width + 1]) in (inner[i], inner[i + width])]
 
 
 def test_anchors_are_closed_syncmers(spark):
-    text = " ".join(f"w{i * 7 % 101}" for i in range(300))
-    df = spark.createDataFrame([(text,)], "text string").withColumn("tokens", syncmers.token_hashes(F.col("text"))).withColumn("inner", syncmers.inner_hashes(F.col("tokens")))
-    r = syncmers.with_anchors(df, "text", "anchors").first()
-    assert len(r.tokens) == 300 and len(r["inner"]) == 298
-    assert len(r.anchors) == slow_anchors(r.tokens, r["inner"])
+    rng = random.Random(4)
+    texts = [prose(rng, "en", 120), prose(rng, "de", 60), "".join(chr(0x4E00 + rng.randrange(90)) for _ in range(200)), "kk" * 50 + " 12 1245", "a b", "x", "", " \n", "a,b;c" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r for r in syncmers.with_anchors(df, "text", "anchors").withColumn("n", F.size(syncmers.token_hashes(F.col("text")))).collect()}
+    named = {}
+    for i, text in enumerate(texts):
+        want = slow_anchors(spark, text)
+        assert got[i].n == len(tokens_of(text))
+        assert len(got[i].anchors) == len(want)
+        # equal k-mers, and only those, have equal hashes
+        for kmer, anchor in zip(want, got[i].anchors, strict=True):
+            assert named.setdefault(kmer, anchor) == anchor
+    assert len(set(named.values())) == len(named)
+
+
+def test_fingerprints_and_likeness_against_plain_sets(spark):
+    rows = [r for r in documents(40, 6) if r[0] is not None]
+    rows = list({r[0]: r for r in rows}.values())
+    order = sorted(rows, key=lambda r: -r[0])
+    got = {r.doc_id: r for r in syncmers.op7_syncmers(spark, folder(spark, rows)).collect()}
+    cut = lambda f: {f[i : i + 8] for i in range(0, len(f), 8)}
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for i, (k, *_) in enumerate(order):
+        own, after = got[k], got[order[(i + 1) % len(order)][0]]
+        assert abs(own.near_edited - jaccard(cut(own.fingerprint), cut(own.edited_fingerprint))) < 1e-12
+        assert abs(own.near_next - jaccard(cut(own.fingerprint), cut(after.fingerprint))) < 1e-12
+
+
+def test_ranges_and_repeated_ids(spark):
+    """Neighbours over many ranges, with ids that repeat and ids that are the least or the largest long."""
+    rows = [(i, f"text number {i} has its own words") for i in range(60)]
+    rows += [(7, "other words under seven"), (7, "other words under seven"), (-(2**63), "least"), (2**63 - 1, "most"), (None, "one"), (None, "two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted({(i is not None, i or 0, hashes[t], t) for i, t in rows}, reverse=True)
+    want = {}
+    for n, (known, i, _, t) in enumerate(order):
+        after = order[(n + 1) % len(order)][3]
+        want[i if known else None, t] = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+    got = [(r.did, r.text, r.edited) for r in syncmers.fingerprint_edits(df).collect()]
+    assert len(got) == len(rows)
+    assert all(want[i, t] == e for i, t, e in got)
 
 
 def test_context_free(spark):

@@ -1,29 +1,30 @@
 """Document fingerprints of closed syncmers, in SQL functions only.
 
-A text is a sequence of tokens, its words (runs of ``[^\\x20\\x09-\\x0D]``).  A k-mer of
-tokens is an anchor if, of its inner s-mers, the one with the smallest hash lies at
-its first or last place (a closed syncmer).  Whether a k-mer is chosen depends on
-nothing around it, so a passage gives the same anchors wherever it stands.  The
-fingerprint is the list of the anchors' 32-bit hashes in the order of the text, eight
-hexadecimal digits each; likeness is the Jaccard index of two anchor sets.
-
-Texts of at most ``SHORT_CHARS`` code points or with fewer than ``FEW_WORDS`` words are
-sequences of characters instead: they have too few words.  A text's fingerprint is in
-its own unit; two texts are compared in characters if either is one of these, so a
-pair on both sides of the border has likeness too.  A text with fewer tokens than k has
-one anchor, the hash of all its tokens, and an empty text has none.
+A text is a sequence of tokens, short pieces of its words: a token ends after a vowel, a
+digit of 0 3 6 9, a mark, any character beyond ASCII, or where the word ends, and has at most
+``LONGEST`` characters.  So it is one unit at every length and in every script: about a
+syllable in Latin letters, a character in others.  Where a token ends depends on the word
+up to there alone.  A k-mer of tokens is an anchor if, of its inner s-mers, the one with
+the smallest hash lies at its first or last place (a closed syncmer).  Whether a k-mer
+is chosen depends on nothing around it, so a passage gives the same anchors wherever it
+stands.  The fingerprint is the list of the anchors' 32-bit hashes in the order of the
+text, eight hexadecimal digits each; likeness is the Jaccard index of two anchor sets.
+A text with fewer tokens than k has one anchor, the hash of all its tokens, and one
+without a token has none.
 
 Neighbours: documents in descending id, ties by text hash; the one after the last is
-the first.  Their order is found over the ids alone: a range partitioning written to
-the shared folder, windows within its parts, and a table of one row per part that
-links them.  Texts are then shuffled once, to their id; a document sends the head
-that its predecessor needs.
-
-Edge cases: a null text is an empty one.  Null ids come last.  Rows that repeat an id
-and a text are one document with one neighbour, and each gives a row of the result;
-rows that repeat an id with other texts are neighbours of each other.  A single
-document is its own neighbour.  The likeness of two empty fingerprints is 1, that of
-an empty and another is 0.  An empty table gives an empty result.
+the first.  Ranges of ids come from a range partitioning of the ids alone, written to the
+shared folder; their limits (two numbers a partition) reach the driver.  Texts are then
+shuffled once, to the range of their id, and a document sees its neighbour through a
+window there.  The last of a range takes the first of the next one from a table of a
+row per range.
+
+Edge cases: a null text is an empty one.  Null ids come last, after every other id.  Rows
+that repeat an id and a text are one document with one neighbour, and each gives a row of
+the result; rows that repeat an id with other texts are neighbours of each other.  A
+single document is its own neighbour.  The likeness of two empty fingerprints is 1, that
+of an empty and another is 0.  Other columns are not read.  An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -35,21 +36,18 @@ from pyspark.sql import functions as F
 from textloom.llm.storage import save, shuffle_partitions
 
 K, S = 8, 3
-SHORT_CHARS, FEW_WORDS = 400, 64
-SPACE = "[\\x20\\x09-\\x0D]+"
-FIRST_ID = -(2**63)
+LONGEST = 8
+#: Characters that end a token, beside the end of the word.
+ENDS = "aeiouAEIOU0369!-/:-@\\[-`{-~[^\\x00-\\x7F]"
+INSIDE = "[\\x00-\\x7F&&[^\\x20\\x09-\\x0DaeiouAEIOU0369!-/:-@\\[-`{-~]]"
+TOKEN = f"{INSIDE}{{0,{LONGEST - 1}}}[{ENDS}]|{INSIDE}{{1,{LONGEST}}}"
+#: A document's place in the order: null ids last, then descending id, then descending hash.
+PLACE = ["known", "did", "h"]
 
 
-def by_chars(text: Column) -> Column:
-    """Whether a text is a sequence of characters."""
-    return (F.char_length(text) <= SHORT_CHARS) | (F.size(F.split(text, SPACE, FEW_WORDS)) < FEW_WORDS)
-
-
-def token_hashes(text: Column, chars: Column | None = None) -> Column:
-    """Hash of each token: characters where ``chars`` holds (by default as ``by_chars``), else words."""
-    chars = by_chars(text) if chars is None else chars
-    tokens = F.when(chars, F.filter(F.split(text, ""), lambda c: c != "")).otherwise(F.filter(F.split(text, SPACE, -1), lambda w: w != ""))
-    return F.transform(tokens, lambda t: F.xxhash64(t))
+def token_hashes(text: Column) -> Column:
+    """Hash of each token."""
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
 
 
 def inner_hashes(tokens: Column, s: int = S) -> Column:
@@ -77,10 +75,10 @@ def anchors(tokens: Column, inner: Column, k: int = K, s: int = S) -> Column:
     return F.when(last < 0, few).otherwise(F.transform(F.filter(F.sequence(F.lit(0), last), chosen), kmer))
 
 
-def with_anchors(df: DataFrame, text_col: str, out: str, k: int = K, s: int = S, chars: Column | None = None) -> DataFrame:
+def with_anchors(df: DataFrame, text_col: str, out: str, k: int = K, s: int = S) -> DataFrame:
     """``df`` with the array of 32-bit anchors of a text column that holds no nulls."""
     # each array is a column of its own before a lambda reads it
-    cut = df.withColumn("_tokens", token_hashes(F.col(text_col), chars))
+    cut = df.withColumn("_tokens", token_hashes(F.col(text_col)))
     inner = cut.withColumn("_inner", inner_hashes(F.col("_tokens"), s))
     return inner.withColumn(out, anchors(F.col("_tokens"), F.col("_inner"), k, s)).drop("_tokens", "_inner")
 
@@ -96,67 +94,59 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
-def neighbours(ids: DataFrame) -> DataFrame:
-    """(did, h, n, chars) to (did, h) with (prev_did, prev_h, prev_n, prev_chars) in descending order, the last before the first."""
-    spark = ids.sparkSession
-    order = [F.col("did").desc(), F.col("h").desc()]
-    parts = ids.dropDuplicates(["did", "h"]).repartitionByRange(shuffle_partitions(spark), *order).withColumn("part", F.spark_partition_id())
-    parts = save(parts, "document-order")
-    in_part = W.partitionBy("part").orderBy(*order)
-    linked = parts.withColumn("prev", F.lag(F.struct("did", "h", "n", "chars")).over(in_part))
-    tails = parts.groupBy("part").agg(F.min_by(F.struct("did", "h", "n", "chars"), F.struct("did", "h")).alias("tail"))
-    by_part = W.orderBy("part")
-    wrapped = F.last("tail").over(by_part.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    edges = tails.select("part", F.coalesce(F.lag("tail").over(by_part), wrapped).alias("before"))
-    return linked.join(edges, "part").withColumn("prev", F.coalesce("prev", "before")).select(
-        "did", "h", F.col("prev.did").alias("prev_did"), F.col("prev.h").alias("prev_h"), F.col("prev.n").alias("prev_n"), F.col("prev.chars").alias("prev_chars")
-    )
+def range_of(limits: list[tuple], place: Column, low: int = 0) -> Column:
+    """The number of the range that a document's place is in, by halving; ``limits`` are the last places of all ranges but one."""
+    if not limits:
+        return F.lit(low)
+    middle = len(limits) // 2
+    known, did, h = limits[middle]
+    limit = F.struct(F.lit(known), F.lit(did).cast("long"), F.lit(h).cast("long"))
+    # descending: a place at or above the limit is in the first half
+    return F.when(place >= limit, range_of(limits[:middle], place, low)).otherwise(range_of(limits[middle + 1 :], place, low + middle + 1))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document row: ``did`` (null id: FIRST_ID), ``text``, ``edited``, the anchors ``own_anchors``
-    and ``edited_anchors``, and the pairs to compare, each in one unit: ``with_edited`` and ``edited_pair``,
-    ``with_next`` and ``next_anchors``."""
+    """A row (did, text, edited, own_anchors, edited_anchors, next_anchors) per document row."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("did"), F.xxhash64(text).alias("h"), text.alias("text"))
-    order = save(neighbours(keyed.select("did", "h", F.char_length("text").alias("n"), by_chars(F.col("text")).alias("chars"))), "document-neighbours")
-    placed = keyed.repartition(shuffle_partitions(spark), "did", "h")
-    # a repeated row is one document: it gives its head once
-    givers = placed.groupBy("did", "h").agg(F.first("text").alias("text")).join(order.hint("merge"), ["did", "h"]).withColumn("chars", by_chars(F.col("text")))
-    heads = with_anchors(givers, "text", "next_anchors", chars=F.col("chars") | F.col("prev_chars")).select(
-        F.col("prev_did").alias("did"),
-        F.col("prev_h").alias("h"),
-        F.substring("text", F.lit(1), F.floor(F.col("prev_n") / 3).cast("int")).alias("head"),
-        F.col("chars").alias("next_chars"),
-        "next_anchors",
-    )
-    own = placed.withColumn("own_chars", by_chars(F.col("text")))
-    joined = with_anchors(own, "text", "own_anchors", chars=F.col("own_chars")).join(heads.hint("merge"), ["did", "h"])
-    n = F.char_length("text")
-    edited = F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 3)).cast("int")), F.col("head"))
-    both = joined.withColumn("edited", edited).withColumn("edited_chars", by_chars(F.col("edited")))
-    both = with_anchors(both, "edited", "edited_anchors", chars=F.col("edited_chars"))
-    # the longer text of a pair across the border once more in characters; others are left empty
-    again = F.when(~F.col("own_chars") & (F.col("edited_chars") | F.col("next_chars")), F.col("text")).otherwise("")
-    both = with_anchors(both.withColumn("_again", again), "_again", "_own_again", chars=F.lit(True))
-    again = F.when(F.col("own_chars") & ~F.col("edited_chars"), F.col("edited")).otherwise("")
-    both = with_anchors(both.withColumn("_again", again), "_again", "_edited_again", chars=F.lit(True))
-    crossed = lambda other: F.when(~F.col("own_chars") & F.col(other), F.col("_own_again")).otherwise(F.col("own_anchors"))
-    return both.select(
-        "did", "text", "edited", "own_anchors", "edited_anchors", "next_anchors", crossed("edited_chars").alias("with_edited"), crossed("next_chars").alias("with_next"),
-        F.when(F.col("own_chars") & ~F.col("edited_chars"), F.col("_edited_again")).otherwise(F.col("edited_anchors")).alias("edited_pair"),
+    did = F.col(id_col).cast("long")
+    keyed = docs.select(did.isNotNull().alias("known"), F.coalesce(did, F.lit(0)).alias("did"), F.xxhash64(text).alias("h"), text.alias("text"))
+    order = [F.col(c).desc() for c in PLACE]
+    ids = keyed.select(*PLACE).distinct().repartitionByRange(shuffle_partitions(spark), *order).withColumn("range", F.spark_partition_id())
+    place = F.struct(*PLACE)
+    ranges = save(ids.groupBy("range").agg(F.max(place).alias("first"), F.min(place).alias("last")), "document-ranges")
+    # a row per range: the number of shuffle partitions
+    found = sorted(ranges.collect(), key=lambda r: r["range"])
+    number = range_of([tuple(r["last"]) for r in found[:-1]], place)
+    once = keyed.withColumn("range", number).repartitionById(max(1, len(found)), F.col("range")).groupBy("range", *PLACE).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    own = with_anchors(once, "text", "own_anchors")
+    # the first document of each range, for the last one of the range before
+    heads = F.broadcast(spark.createDataFrame([((i - 1) % len(found), *r["first"]) for i, r in enumerate(found)], "range int, known boolean, did long, h long") if found else ids.limit(0))
+    firsts = keyed.join(heads, PLACE).groupBy("range").agg(F.first("text").alias("first_text"))
+    firsts = with_anchors(firsts, "first_text", "first_anchors")
+    # the grouping leaves each range in ascending order: the next document stands before
+    by_place = W.partitionBy("range").orderBy(*PLACE)
+    after = own.withColumn("next", F.lag(F.struct("text", "own_anchors")).over(by_place)).join(firsts.hint("merge"), "range")
+    joined = after.select(
+        F.when(F.col("known"), F.col("did")).alias("did"), "text", "copies", "own_anchors",
+        F.when(F.col("next").isNull(), F.col("first_text")).otherwise(F.col("next.text")).alias("next_text"),
+        F.when(F.col("next").isNull(), F.col("first_anchors")).otherwise(F.col("next.own_anchors")).alias("next_anchors"),
     )
+    n = F.char_length("text")
+    cut = F.floor(n / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
+    both = with_anchors(joined.withColumn("edited", edited).drop("next_text"), "edited", "edited_anchors")
+    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("did", "text", "edited", "own_anchors", "edited_anchors", "next_anchors")
 
 
 def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return fingerprint_edits(docs).select(
-        F.when(F.col("did") != FIRST_ID, F.col("did")).alias("doc_id"),
+        F.col("did").alias("doc_id"),
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("own_anchors")).alias("fingerprint"),
         fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("with_edited"), F.col("edited_pair")).alias("near_edited"),
-        likeness(F.col("with_next"), F.col("next_anchors")).alias("near_next"),
+        likeness(F.col("own_anchors"), F.col("edited_anchors")).alias("near_edited"),
+        likeness(F.col("own_anchors"), F.col("next_anchors")).alias("near_next"),
     )
