@@ -54,3 +54,28 @@ def test_empty_table_and_other_columns(spark):
 def test_against_sql(spark):
     where = "/root/testdata/sf0.001"
     assert assert_same(queries()["op1_line_dedup"](spark, where), oracle_sql()["op1_line_dedup"], connection(where)) == 200
+
+
+def test_each_key_stands_in_one_run(spark):
+    rows = spark.createDataFrame(documents(60, 3), SCHEMA)
+    found = line_dedup.occurrences(rows, "doc_id", "text", 20)
+    distinct = found.select("k1", "k2").distinct().count()
+    for batches, fanout in ((4, 2), (5, 10)):
+        store = line_dedup.build_runs(found, batches, fanout)
+        held = [spark.table(r).select("k1", "k2") for r in store.runs()]
+        assert sum(t.count() for t in held) == distinct
+        assert sum(spark.table(c).count() for c in store.counts) > 0
+        docs = sum(spark.table(t).agg({"docs": "sum"}).first()[0] for t in [*store.runs(), *store.counts])
+        assert docs == found.select("k1", "k2", "did").distinct().count()
+        plan = spark.table(store.runs()[0]).join(spark.table(store.runs()[-1]).hint("merge"), ["k1", "k2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        store.clear()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+
+
+def test_nulls_repeats_and_a_long_text(spark):
+    line = "a line that is long enough to count"
+    rows = [(None, line), (None, line), (None, line + "\n" + line), (1, line), (1, "x"), (2, None), (3, "\n".join([line] * 50_000)), (3, line), (-(2**63) + 1, " " + line.upper())]
+    rows = [(i, t, "en", "s", 0) for i, t in rows]
+    got = Counter(tuple(r) for r in line_dedup.op1_line_dedup(spark, folder(spark, rows)).collect())
+    assert got == brute(rows)

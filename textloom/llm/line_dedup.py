@@ -6,16 +6,19 @@ in lower case.  Keys of at least ``min_chars`` code points that occur in at leas
 id that holds them.
 
 The index is a small log-structured store.  Documents arrive in batches of
-descending id.  A batch is aggregated to one row per key, merge-anti-joined with
-every run on disk (a key that no run holds has its keeper in this batch), and
-added as a run of its own.  Runs are tables bucketed and sorted by key, so neither
-the anti-joins nor a compaction shuffles a run again.  ``fanout`` runs of a level
-are merged into one of the next.
+descending id, each aggregated to one row per key.  A batch is merge-anti-joined with
+every run on disk: the keys that no run holds are new, and this batch holds their
+keeper; they are added as a run of their own.  So a key stands in exactly one run, and a
+compaction, of ``fanout`` runs of a level into one of the next, only puts runs together.
+Documents of the other keys of the batch are counted apart.  Runs, batches and counts are
+tables bucketed and sorted by key, so neither the anti-joins nor a compaction shuffles
+a run again.  They are dropped, with their files, once the frequent keys are written.
 
 Keys are 128 bits: two xxhash64 values under different seeds.
 
 Edge cases: a null text is one empty line, as is an empty one.  A null id counts as
-the smallest id, and all rows with it as one document.  Rows that repeat an id count
+the smallest id (that of the least long, if there is one), and all rows with it as one
+document.  Rows that repeat an id count
 as one document for ``min_docs``; each row is cleaned by its own text.  Lines of one
 document that repeat a kept key all stay.  An empty table gives an empty result.
 Columns beside the id and the text are carried through whatever their names.
@@ -29,7 +32,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.storage import new_path, save, shuffle_partitions
+from textloom.llm.storage import new_path, remove, save, shuffle_partitions
 
 EDGE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,16 +64,17 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 
 @dataclass
 class SortedRuns:
-    """Levels of runs; a run holds (k1, k2, docs, keeper), bucketed and sorted by key.
+    """Levels of runs (k1, k2, docs, keeper), each key in one run only, and counts (k1, k2, docs) of keys met again.
 
-    ``docs`` counts the documents of one batch (or of those merged) that hold the
-    key; ``keeper`` is the largest such id, set in the first run that saw the key.
-    """
+    ``docs`` counts the documents of one batch that hold the key; ``keeper`` is the largest
+    id of the batch that brought the key."""
 
     spark: SparkSession
     fanout: int = 2
     buckets: int = 0
     levels: list[list[str]] = field(default_factory=list)
+    counts: list[str] = field(default_factory=list)
+    paths: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.buckets = self.buckets or shuffle_partitions(self.spark)
@@ -80,24 +84,36 @@ class SortedRuns:
 
     def _write(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = new_path(self.spark, name)
         (
             df.repartition(self.buckets, *KEY)
             .write.format("parquet")
             .bucketBy(self.buckets, *KEY)
             .sortBy(*KEY)
-            .option("path", new_path(self.spark, name))
+            .option("path", self.paths[name])
             .saveAsTable(name)
         )
         return name
 
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(self.spark, self.paths.pop(name))
+
     def ingest(self, batch: DataFrame) -> None:
         """``batch``: (k1, k2, docs, keeper), a row per key, ids below those of former batches."""
-        seen = batch.repartition(self.buckets, *KEY).withColumn("known", F.lit(False))
-        for i, run in enumerate(self.runs()):
-            held = self.spark.table(run).select(*KEY, F.lit(True).alias(f"in{i}"))
-            seen = seen.join(held.hint("merge"), KEY, "left").withColumn("known", F.col("known") | F.coalesce(F.col(f"in{i}"), F.lit(False))).drop(f"in{i}")
-        added = seen.select(*KEY, "docs", F.when(~F.col("known"), F.col("keeper")).alias("keeper"))
-        self._add(0, self._write(added))
+        held = self.runs()
+        whole = self._write(batch)
+        if not held:
+            self._add(0, whole)
+            return
+        new = self.spark.table(whole)
+        for run in held:
+            new = new.join(self.spark.table(run).select(*KEY).hint("merge"), KEY, "left_anti")
+        added = self._write(new)
+        again = self.spark.table(whole).join(self.spark.table(added).select(*KEY).hint("merge"), KEY, "left_anti")
+        self.counts.append(self._write(again.select(*KEY, "docs")))
+        self._drop(whole)
+        self._add(0, added)
 
     def _add(self, level: int, run: str) -> None:
         while len(self.levels) <= level:
@@ -105,19 +121,27 @@ class SortedRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             merged, self.levels[level] = self.levels[level], []
-            self._add(level + 1, self._write(self.merge(merged)))
+            self._add(level + 1, self._write(self._together(merged)))
             for name in merged:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                self._drop(name)
+
+    def _together(self, names: list[str]) -> DataFrame:
+        whole = self.spark.table(names[0])
+        for name in names[1:]:
+            whole = whole.unionByName(self.spark.table(name))
+        return whole
+
+    def keepers(self, min_docs: int) -> DataFrame:
+        """(k1, k2, keeper) of the keys in ``min_docs`` documents or more."""
+        keys = self._together(self.runs())
+        if self.counts:
+            more = self._together(self.counts).groupBy(*KEY).agg(F.sum("docs").alias("more"))
+            keys = keys.join(more.hint("merge"), KEY, "left").withColumn("docs", F.col("docs") + F.coalesce("more", F.lit(0)))
+        return keys.where(F.col("docs") >= min_docs).select(*KEY, "keeper")
 
-    def merge(self, names: list[str] | None = None) -> DataFrame:
-        """One row per key over the named runs (all by default)."""
-        tables = [self.spark.table(n) for n in (self.runs() if names is None else names)]
-        if not tables:
-            return self.spark.createDataFrame([], "k1 long, k2 long, docs long, keeper long")
-        whole = tables[0]
-        for t in tables[1:]:
-            whole = whole.unionByName(t)
-        return whole.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
+    def clear(self) -> None:
+        for name in list(self.paths):
+            self._drop(name)
 
 
 def build_runs(found: DataFrame, batches: int, fanout: int = 2) -> SortedRuns:
@@ -148,7 +172,8 @@ def dedup_lines(
     found = save(occurrences(docs, id_col, text_col, min_chars), "line-occurrences")
     store = build_runs(found, batches, fanout)
     # written, so that both sides of the join are shuffled and a key in very many documents can be split
-    frequent = save(store.merge().where(F.col("docs") >= min_docs).select(*KEY, "keeper"), "line-frequent")
+    frequent = save(store.keepers(min_docs), "line-frequent")
+    store.clear()
     drops = (
         found.join(frequent.hint("merge"), KEY)
         .where(F.col("did") != F.col("keeper"))
