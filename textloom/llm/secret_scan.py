@@ -7,8 +7,9 @@ exclusive): ``assign`` (a key word, a separator and a value of at least 6 charac
 The method looks at candidate values across the corpus: the values of base spans, and
 opaque tokens of at least 20 characters that mix cases and digits.  Their hashes are
 aggregated by distinct repositories (documents, by default) and distinct owners
-(sources).  A value that more than ``max_owners`` owners hold is a widely copied
-example; one that fewer hold looks live.  Opaque tokens that look live and touch no
+(sources).  A value that more than ``max_owners`` owners hold, or that stands in more than
+``max_repositories`` repositories for each owner, is a widely copied example; one that
+few repositories of few owners hold looks live.  Opaque tokens that look live and touch no
 base span are added as spans of kind ``live``; base spans always stay, and their
 verdicts are counted per document.
 
@@ -17,8 +18,9 @@ matches are exploded and summed by a window over the matches of one text and kin
 Texts without a trigger are passed over after one test.
 
 Edge cases: a null text has no spans.  Null ids count as one repository, null owners
-are no owner of their own.  Rows that repeat an id count as one repository; each row
-gets the spans of its own text, once.  An empty table gives an empty result.
+are no owner of their own (a value without any owner counts as one's).  Rows that repeat an
+id count as one repository; each row gets the spans of its own text, once.  Other columns
+than the three named are not read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -85,7 +87,7 @@ def ownership(candidates: DataFrame) -> DataFrame:
     )
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = 2) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = 2, max_repositories: int = 8) -> DataFrame:
     """A row (did, row, spans) for each text with spans; spans: sorted array of
     (start, kind_no, end, live, repositories, owners)."""
     found = save(
@@ -95,7 +97,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .drop("value"),
         "secret-candidates",
     )
-    judged = found.drop("owners").join(ownership(found).hint("merge"), ["v1", "v2"]).withColumn("live", F.col("n_owners") <= max_owners)
+    # written, so that both sides of the join are shuffled and a value in very many documents can be split
+    owned = save(ownership(found), "secret-ownership")
+    few = (F.col("n_owners") <= max_owners) & (F.col("repositories") <= max_repositories * F.greatest("n_owners", F.lit(1)))
+    judged = found.drop("owners").join(owned.hint("merge"), ["v1", "v2"]).withColumn("live", few)
     base = F.col("kind") < 3
     in_text = W.partitionBy(*ROW).orderBy("start")
     before = F.max(F.when(base, F.col("end"))).over(in_text.rangeBetween(W.unboundedPreceding, 0))
