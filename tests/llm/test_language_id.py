@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.util import SCHEMA, folder, prose
 from textloom.llm import language_id
@@ -23,21 +27,70 @@ def test_held_out_accuracy_and_edges(spark):
     assert by[None].lang_pred == "de" and 0 <= by[None].score <= 1
 
 
+def slow_logs(lattice, word, weight):
+    """Log of the sum over all segmentations, place by place in exact fractions of large powers."""
+    raw = (" " + word).encode()
+    pieces = {}
+    for last, (i, n) in lattice.machine.iter(raw.decode("latin-1")):
+        pieces.setdefault(last + 1, []).append((last + 1 - n, i))
+    alpha = [Fraction(1)]
+    for place in range(1, len(raw) + 1):
+        alpha.append(sum(alpha[b] * Fraction(weight[i]) for b, i in pieces[place]))
+    return math.log(alpha[-1].numerator) - math.log(alpha[-1].denominator)
+
+
 def test_forward_sums_all_segmentations():
+    """Words within a block, at its border (31, 32, 33 and 48, 49 bytes with the space) and far beyond, of pieces likely and not."""
+    lattice = language_id.load(language_id.default_vocabulary())
+    words = ["thin", "é", *[("overthelazydog" * 9)[:n] for n in (30, 31, 32, 33, 47, 48, 64, 65, 100)], "ありがとうございました" * 12, "x" * 300, "中文" * 40]
+    rng = np.random.default_rng(0)
+    for low in (1e-3, 1e-9):
+        weight = 10 ** rng.uniform(np.log10(low), -2, size=(lattice.n, 2))
+        length, at, begin, end, piece = lattice.edges(words)
+        assert length.tolist() == [len((" " + w).encode()) for w in words]
+        logs = lattice.likelihoods(length, *lattice.forward(length, at, begin, end, weight[piece]))
+        back = lattice.likelihoods(length, *lattice.backward(length, at, begin, end, weight[piece]))
+        assert np.isfinite(logs).all() and np.allclose(logs, back)
+        for i, word in enumerate(words):
+            assert math.isclose(logs[i, 0], slow_logs(lattice, word, weight[:, 0]), rel_tol=1e-9)
+        counts = lattice.expected(length, at, begin, end, weight[piece][:, :1])[:, 0]
+        # each byte is covered once, whatever the segmentation
+        assert np.allclose(np.bincount(at, counts * (end - begin)), length)
+
+
+def test_predictions_against_plain_sums(spark):
+    """The predicted language is the one of the highest sum of word likelihoods, by exact fractions."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, "de" if i % 2 else "en", 25), "de" if i % 2 else "en", "s", 0) for i in range(60)] + [(100, "Überaus" + "schön" * 12 + " 12 the", None, "s", 0), (101, "thing " + "x" * 400, None, "s", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    langs, model = language_id.train(df)
+    assert langs == ["de", "en"] and np.allclose(model.sum(axis=0), 1)
     lattice = language_id.load(language_id.default_vocabulary())
-    owner, length, at, begin, end, piece = lattice.edges(["thin", "é", "x" * 60])
-    assert owner.tolist() == [0, 1, 2, 2]  # a long word is scored in stretches
-    weight = np.random.default_rng(0).random((lattice.n, 2)) / 100
-    alpha = lattice.forward(length, at, begin, end, weight[piece])
-    beta = lattice.backward(length, at, begin, end, weight[piece])
-    edges = {(s, e): p for a, s, e, p in zip(at, begin, end, piece, strict=True) if a == 0}
-
-    def total(i):
-        if i == length[0]:
-            return np.ones(2)
-        return sum((weight[p] * total(e) for (s, e), p in edges.items() if s == i), np.zeros(2))
-
-    assert np.allclose(alpha[0, length[0]], total(0)) and np.allclose(beta[0, 0], total(0))
+    for r in language_id.predict(df, langs, model).collect()[::4] + language_id.predict(df.where("doc_id >= 100"), langs, model).collect():
+        total = [sum(slow_logs(lattice, w, model[:, k]) for w in lattice.words(r.text.lower())) for k in range(2)]
+        assert r.language.lang == langs[int(np.argmax(total))]
+        assert math.isclose(r.language.score, 1 / (1 + math.exp(-abs(total[0] - total[1]))), rel_tol=1e-6)
+
+
+def test_small_batches_change_nothing(monkeypatch):
+    words = ["a", "bb" * 40, "the", "c" * 200, "ü"]
+    lattice = language_id.load(language_id.default_vocabulary())
+    model = np.random.default_rng(1).random((lattice.n, 3)) / 1000
+    tables = []
+    for cells in (1, 4_000_000):
+        monkeypatch.setattr(language_id, "CELLS", cells)
+        scorer = language_id.Scorer(["x", "y", "z"], model, language_id.default_vocabulary())
+        scorer.learn(words)
+        tables.append(scorer.table)
+    assert np.allclose(*tables)
+
+
+def test_other_columns(spark):
+    df = spark.createDataFrame([(1, "some text", None, "s", 0)], SCHEMA).withColumn("language", F.lit("kept")).withColumn("score", F.lit(3))
+    with pytest.raises(ValueError):
+        language_id.predict(df, [], np.zeros((0, 0)))
+    got = language_id.predict(df, [], np.zeros((0, 0)), out="found").first()
+    assert (got.language, got.score, got.found.lang) == ("kept", 3, "und")
 
 
 def test_nothing_to_learn(spark):

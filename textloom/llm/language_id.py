@@ -14,12 +14,16 @@ the id; the bound is a parameter), of those whose id is not held out and whose l
 is known.  Word counts and expected counts are aggregated by Spark; what reaches the
 driver is one probability per language and piece.
 
-Words longer than ``MAX_BYTES`` bytes are scored in stretches of that many.
+Words are scored whole, whatever their length: the forward pass is scaled anew every
+``BLOCK`` bytes, and pieces across such a place count like others, so nothing underflows and
+no segmentation is left out.  Pieces with anything but a space before letters are not
+part of a word and are passed over.  Memory grows with the longest word of a batch.
 
 Edge cases: a text that is null or without a letter is ``und`` with score 0.  A null id
 is neither held out nor learnt from.  Ties go to the language that sorts first.  If
-nothing can be learnt, all is ``und``.  Rows that repeat are scored alike.  Columns beside
-the id, text and language are carried through by ``predict`` whatever their names.
+nothing can be learnt, all is ``und``.  Rows that repeat are scored alike.  Columns of
+``predict`` are carried through; one with the name of its output (a parameter) is refused.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +42,8 @@ from textloom.llm.storage import save, small_batches
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PER_LANGUAGE = 1000
 ROUNDS = 2
-MAX_BYTES = 48
+#: Bytes after which a forward pass is scaled anew, and numbers that its arrays may hold.
+BLOCK, CELLS = 32, 4_000_000
 #: Words whose scores a Python worker keeps; a cache, cleared when full.
 CACHE_WORDS = 200_000
 #: Expected count that every piece starts with.
@@ -64,14 +69,13 @@ class Lattice:
         self.n = len(pieces)
         self.machine = ahocorasick.Automaton()
         for i, piece in enumerate(pieces):
-            if len(piece) <= MAX_BYTES:
+            if not any(c < 128 and not chr(c).isalpha() for c in piece.removeprefix(b" ")):
                 self.machine.add_word(piece.decode("latin-1"), (i, len(piece)))
         self.machine.make_automaton()
         self.words = regex.compile(r"\p{L}+").findall
 
-    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The stretches of the words: owner and length of each; edges: stretch, start, end, piece."""
-        owner: list[int] = []
+    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The length of each word in bytes; edges: word, begin, end, piece."""
         length: list[int] = []
         at: list[int] = []
         begin: list[int] = []
@@ -79,32 +83,71 @@ class Lattice:
         piece: list[int] = []
         for w, word in enumerate(words):
             raw = (" " + word).encode().decode("latin-1")
-            for cut in range(0, len(raw), MAX_BYTES):
-                part = raw[cut : cut + MAX_BYTES]
-                s = len(owner)
-                owner.append(w)
-                length.append(len(part))
-                for last, (i, n) in self.machine.iter(part):
-                    at.append(s)
-                    begin.append(last + 1 - n)
-                    end.append(last + 1)
-                    piece.append(i)
-        return tuple(np.array(x, dtype=np.int32) for x in (owner, length, at, begin, end, piece))
-
-    def forward(self, length: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """alpha[stretch, place, language]; ``weight``: probability of each edge's piece by language."""
-        alpha = np.zeros((len(length), int(length.max(initial=0)) + 1, weight.shape[1]))
+            length.append(len(raw))
+            for last, (i, n) in self.machine.iter(raw):
+                at.append(w)
+                begin.append(last + 1 - n)
+                end.append(last + 1)
+                piece.append(i)
+        return tuple(np.array(x, dtype=np.int32) for x in (length, at, begin, end, piece))
+
+    def forward(self, length: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """alpha[word, place, language] and scale[word, block, language]: the log of what alpha was divided by there.
+
+        ``weight``: probability of each edge's piece by language.  Every byte is a piece, so no place is without a path."""
+        places = int(length.max(initial=0)) + 1
+        alpha = np.zeros((len(length), places, weight.shape[1]))
+        scale = np.zeros((len(length), _block(places) + 1, weight.shape[1]))
         alpha[:, 0] = 1.0
-        for place, edges in _by_place(end, 1, alpha.shape[1]):
-            np.add.at(alpha, (at[edges], place), alpha[at[edges], begin[edges]] * weight[edges])
-        return alpha
-
-    def backward(self, length: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        beta = np.zeros((len(length), int(length.max(initial=0)) + 1, weight.shape[1]))
-        beta[np.arange(len(length)), length] = 1.0
-        for place, edges in reversed(list(_by_place(begin, 0, beta.shape[1] - 1))):
-            np.add.at(beta, (at[edges], place), beta[at[edges], end[edges]] * weight[edges])
-        return beta
+        last = 0
+        for place, edges in _by_place(end, 1, places):
+            block = _block(place)
+            own, origin = at[edges], begin[edges]
+            if block > last:
+                before = alpha[:, block * BLOCK]
+                scale[:, block] = scale[:, last] + np.log(np.where(before > 0, before, 1.0))
+                last = block
+            part = alpha[own, origin]
+            if block:
+                across = np.flatnonzero(_block(origin) < block)
+                o = own[across]
+                part[across] = np.exp(np.log(part[across]) + scale[o, _block(origin[across])] - scale[o, block])
+            np.add.at(alpha, (own, place), part * weight[edges])
+        return alpha, scale
+
+    def backward(self, length: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the ends of the words: beta[word, bytes after the place, language] and its scale."""
+        return self.forward(length, at, length[at] - end, length[at] - begin, weight)
+
+    def likelihoods(self, length: np.ndarray, alpha: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """The log of the sum over all segmentations of each word, by language."""
+        each = np.arange(len(length))
+        return np.log(alpha[each, length]) + scale[each, _block(length)]
+
+    def expected(self, length: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """How often each edge is part of a segmentation drawn in proportion to its probability."""
+        alpha, a = self.forward(length, at, begin, end, weight)
+        beta, b = self.backward(length, at, begin, end, weight)
+        left = length[at] - end
+        log = np.log(alpha[at, begin]) + a[at, _block(begin)] + np.log(weight) + np.log(beta[at, left]) + b[at, _block(left)]
+        return np.exp(log - self.likelihoods(length, alpha, a)[at])
+
+
+def _block(place):
+    """The block of a place: 1..BLOCK are of the first, with place 0."""
+    return np.maximum(place - 1, 0) // BLOCK
+
+
+def batches(words: list[str], langs: int) -> Iterator[np.ndarray]:
+    """Places of the words by length, as many at once as CELLS allows."""
+    size = np.array([2 + 4 * len(w) for w in words])
+    order = np.argsort(size, kind="stable")
+    while len(order):
+        # the last is the longest
+        room = np.flatnonzero(np.arange(1, len(order) + 1) * size[order] * langs > CELLS)
+        n = max(1, int(room[0])) if len(room) else len(order)
+        yield order[:n]
+        order = order[n:]
 
 
 def _by_place(places: np.ndarray, low: int, high: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -163,17 +206,13 @@ def train(
         def expected(frames: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
             lattice = load(path)
             for frame in frames:
-                for part in np.array_split(np.arange(len(frame)), len(frame) // 5_000 + 1):
+                for part in batches(frame["word"].tolist(), len(langs)):
                     own = frame.iloc[part]
-                    owner, length, at, begin, end, piece = lattice.edges(own["word"].tolist())
-                    lang = own["lang"].map(number).to_numpy()[owner][at]
-                    count = own["n"].to_numpy(dtype=float)[owner][at]
+                    length, at, begin, end, piece = lattice.edges(own["word"].tolist())
+                    lang = own["lang"].map(number).to_numpy()[at]
+                    count = own["n"].to_numpy(dtype=float)[at]
                     if known.value is not None:
-                        weight = known.value[piece, lang][:, None]
-                        alpha = lattice.forward(length, at, begin, end, weight)
-                        beta = lattice.backward(length, at, begin, end, weight)
-                        whole = alpha[np.arange(len(length)), length, 0]
-                        count = count * alpha[at, begin, 0] * weight[:, 0] * beta[at, end, 0] / np.maximum(whole[at], 1e-300)
+                        count = count * lattice.expected(length, at, begin, end, known.value[piece, lang][:, None])[:, 0]
                     keys, place = np.unique(lang.astype(np.int64) * size + piece, return_inverse=True)
                     yield pd.DataFrame({"lang": keys // size, "piece": keys % size, "n": np.bincount(place, count)})
 
@@ -197,18 +236,13 @@ class Scorer:
         if len(self.known) + len(words) > CACHE_WORDS:
             self.known.clear()
             self.table = np.zeros((0, len(self.langs)))
-        rows = []
-        for part in range(0, len(words), 5_000):
-            own = words[part : part + 5_000]
-            owner, length, at, begin, end, piece = self.lattice.edges(own)
-            alpha = self.lattice.forward(length, at, begin, end, self.model[piece])
-            logs = np.log(np.maximum(alpha[np.arange(len(length)), length], 1e-300))
-            total = np.zeros((len(own), len(self.langs)))
-            np.add.at(total, owner, logs)
-            rows.append(total)
+        total = np.zeros((len(words), len(self.langs)))
+        for part in batches(words, len(self.langs)):
+            length, at, begin, end, piece = self.lattice.edges([words[i] for i in part])
+            total[part] = self.lattice.likelihoods(length, *self.lattice.forward(length, at, begin, end, self.model[piece]))
         first = len(self.table)
         self.known.update(zip(words, range(first, first + len(words)), strict=True))
-        self.table = np.concatenate([self.table, *rows])
+        self.table = np.concatenate([self.table, total])
 
     def score(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         group: list[list[str]] = []
@@ -240,6 +274,8 @@ class Scorer:
 
 def predict(docs: DataFrame, langs: list[str], model: np.ndarray, text_col: str = "text", out: str = "language", vocabulary: str | None = None) -> DataFrame:
     """``docs`` with a struct ``out`` of ``lang`` and ``score``."""
+    if out.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {out} already: name another for the output")
     path = vocabulary or default_vocabulary()
     small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast((langs, model))
