@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.util import SCHEMA, documents, folder, prose
 from textloom.llm import importance
@@ -70,3 +72,38 @@ def test_edge_rows_and_reruns(spark):
     assert {r.doc_id for r in a.where("log_weight is null").collect()} == {7, 8, 9}
     assert query(spark, rows, []).where("log_weight != 0").count() == 0
     assert query(spark, [], []).count() == 0
+
+
+def test_weights_keys_and_kept_against_plain_python(spark):
+    """Models, weights, Gumbel keys and the top share, document by document."""
+    rows, labels = corpus(60)
+    rows += [(None, "no id here", "en", "s", 0), (500, "", "en", "s", 0), (501, "word " * 30_000, "en", "s", 0), (2, rows[2][1], "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    hashes = [(r.doc_id, [np.asarray(r.words, dtype=np.int64)]) for r in importance.word_hashes(docs, "doc_id", "text").withColumnRenamed("did", "doc_id").collect()]
+    good = {i for i, q, t in labels if q == 1 and not t}
+    logs = []
+    for chosen in (good, None):
+        counts = np.full(importance.BUCKETS, 0.5)
+        for i, (w,) in hashes:
+            if chosen is None or i in chosen:
+                for b in importance.buckets_of(w).tolist():
+                    counts[b] += 1
+        logs.append(np.log(counts / counts.sum()))
+    ratio = logs[0] - logs[1]
+    u = {r.doc_id: ((r.h % 2**64 >> 11) + 0.5) / 2**53 for r in docs.select("doc_id", F.xxhash64(F.lit(4), "doc_id").alias("h")).collect()}
+    want = []
+    for i, (w,) in hashes:
+        weight = ratio[importance.buckets_of(w)].mean() * importance.UNIT if len(w) else None
+        want.append((i, weight, None if weight is None else weight - np.log(-np.log(u[i]))))
+    k = int(np.ceil(sum(q for _, q, _ in labels) / len(labels) * len(rows)))
+    order = sorted(range(len(want)), key=lambda n: (want[n][2] is None, -(want[n][2] or 0), want[n][0] is None, want[n][0] or 0))
+    kept = Counter((want[n][0], want[n][2] is not None) for n in order[:k])
+    got = query(spark, rows, labels).collect()
+    assert sorted((r.doc_id or -1, round(r.log_weight or 0, 6), round(r.key or 0, 6)) for r in got) == sorted((i or -1, round(w or 0, 6), round(x or 0, 6)) for i, w, x in want)
+    assert Counter((r.doc_id, r.key is not None) for r in got if r.kept) == kept
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c", 1, 2.0, True)], "doc_id long, text string, did int, key double, kept boolean")
+    labels = spark.createDataFrame([(1, 1, 0, "x")], LABELS + ", text string")
+    assert importance.resample(df, labels).columns == ["did", "log_weight", "key", "kept"]

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import defaultdict
 
@@ -47,6 +48,35 @@ def test_targets_and_words_taken(spark):
     assert abs(total - sum(want.values())) <= 0.02 * total + 10
 
 
+def test_each_source_comes_near_its_target(spark):
+    """Words taken by source against targets from plain Python, with one source of a third of all rows and one of few."""
+    rng = random.Random(5)
+    rows = [(i, " ".join("w" * rng.randrange(1, 9) for _ in range(rng.randrange(1, 120))), "en", f"s{i % 9}" if i % 3 else "hot", 0) for i in range(900)]
+    rows += [(1000, "one long " * 3000, "en", "few", 0), (1001, "a b c", "en", "few", 0), (1002, None, "en", "none", 0), (1003, "x y z", "en", None, 0)]
+    sizes, taken, target = defaultdict(int), defaultdict(int), {}
+    source = {r[0]: r[3] for r in rows}
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(words(t))
+    for r in mixing.op9_mixing(spark, folder(spark, rows)).collect():
+        s = source[r.doc_id]
+        taken[s] += r.taken
+        target[s] = r.target
+        assert r.source_size == sizes[s] and 0 <= r.taken <= 2 * r.size and r.taken == sum(d.words for d in r.draws)
+    want = brute_targets(sizes)
+    assert all(abs(target[s] - want[s]) < 1e-6 for s in want)
+    assert all(abs(taken[s] - want[s]) <= 0.02 * want[s] + 5 for s in want)
+
+
+def test_clashing_columns_and_a_long_text(spark):
+    names = ["size", "block", "h", "rank", "target", "draws", "draw", "row", "words"]
+    rows = [(i, f"text {i} " * (20_000 if i == 3 else 5), "s", *range(9)) for i in range(12)] + [(None, None, None, *range(9))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string" + "".join(f", {c} int" for c in names))
+    got = mixing.mixed(df)
+    assert got.columns == df.columns
+    assert all(tuple(r[n] for n in names) == tuple(range(9)) for r in got.collect())
+    assert {r.text for r in got.collect()} <= {r[1] for r in rows}
+
+
 def test_reruns_agree_and_shards_split_tokens(spark):
     path = folder(spark, documents(60, 1))
     a, b = mixing.op9_mixing(spark, path), mixing.op9_mixing(spark, path)

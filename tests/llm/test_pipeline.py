@@ -51,3 +51,22 @@ def test_run_is_the_stages_in_order(spark):
         docs = stage(spark, docs, path)
     assert docs.exceptAll(corpus_pipeline.run(spark, path)).count() == 0
     assert corpus_pipeline.run(spark, folder(spark, [])).count() == 0
+
+
+def test_nulls_repeats_a_long_text_and_other_columns(spark):
+    """Each stage over null ids, texts and sources, rows and ids that repeat, a very long text and columns of clashing names."""
+    rng = random.Random(15)
+    rows = [(i, prose(rng, "en", 60), "en", f"src{i % 3}", 0) for i in range(40)]
+    rows += [(None, prose(rng, "en", 50), "en", None, None), (None, prose(rng, "en", 50), None, "src1", 1), (3, prose(rng, "en", 50), "en", "src0", 0), rows[5], rows[5]]
+    rows += [(200, prose(rng, "de", 30_000), "de", "src2", 0), (201, None, None, None, None), (202, "", "en", "src0", 0)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], SCHEMA + ", t int, row int, language int")
+    docs, sizes = df, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == corpus_pipeline.COLUMNS
+        sizes[name] = docs.count()
+    letters = len(rows) - 2
+    assert sizes["language_id"] == sizes["line_dedup"] == letters
+    assert sizes["near_dedup"] == letters - 2  # the rows that repeat; ids that repeat with other texts stay
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert last.count() == sizes["mixing"] and last.where("n_tokens = 0").count() == 0

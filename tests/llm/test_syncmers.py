@@ -34,14 +34,15 @@ SPACES = set(" \t\n\x0b\x0c\r")
 
 
 def tokens_of(text):
-    """Pieces of words that end after certain characters or at eight, one character at a time."""
+    """Pieces of words that end after certain characters or after seven others, one character at a time."""
     out, now = [], ""
     for c in text:
-        if c in SPACES:
+        ends = c in ENDS or ord(c) > 127
+        if c in SPACES or (len(now) == syncmers.LONGEST - 1 and not ends):
             out, now = out + [now], ""
-            continue
-        now += c
-        if c in ENDS or ord(c) > 127 or len(now) == syncmers.LONGEST:
+        if c not in SPACES:
+            now += c
+        if ends:
             out, now = out + [now], ""
     return [t for t in [*out, now] if t]
 

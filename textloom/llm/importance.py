@@ -14,7 +14,9 @@ no task sorts all documents.
 
 Edge cases: a document without a word has no weight (null) and is not kept unless all
 are.  Ties go to the smaller id, null ids last.  Rows that repeat get the same key; each
-counts.  Without labels all weights are 0.  An empty table gives an empty result.
+counts.  Without labels all weights are 0.  A text of any length is weighed whole, by
+counts in a fixed number of buckets.  Other columns than the id and the text are not
+read, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -1,8 +1,8 @@
 """Document fingerprints of closed syncmers, in SQL functions only.
 
 A text is a sequence of tokens, short pieces of its words: a token ends after a vowel, a
-digit of 0 3 6 9, a mark, any character beyond ASCII, or where the word ends, and has at most
-``LONGEST`` characters.  So it is one unit at every length and in every script: about a
+digit of 0 3 6 9, a mark, any character beyond ASCII, where the word ends, or after
+``LONGEST`` - 1 other characters.  So it is one unit at every length and in every script: about a
 syllable in Latin letters, a character in others.  Where a token ends depends on the word
 up to there alone.  A k-mer of tokens is an anchor if, of its inner s-mers, the one with
 the smallest hash lies at its first or last place (a closed syncmer).  Whether a k-mer
@@ -16,8 +16,7 @@ Neighbours: documents in descending id, ties by text hash; the one after the las
 the first.  Ranges of ids come from a range partitioning of the ids alone, written to the
 shared folder; their limits (two numbers a partition) reach the driver.  Texts are then
 shuffled once, to the range of their id, and a document sees its neighbour through a
-window there.  The last of a range takes the first of the next one from a table of a
-row per range.
+window there; a copy of the first document of each range goes with the range before.
 
 Edge cases: a null text is an empty one.  Null ids come last, after every other id.  Rows
 that repeat an id and a text are one document with one neighbour, and each gives a row of
@@ -37,10 +36,9 @@ from textloom.llm.storage import save, shuffle_partitions
 
 K, S = 8, 3
 LONGEST = 8
-#: Characters that end a token, beside the end of the word.
-ENDS = "aeiouAEIOU0369!-/:-@\\[-`{-~[^\\x00-\\x7F]"
-INSIDE = "[\\x00-\\x7F&&[^\\x20\\x09-\\x0DaeiouAEIOU0369!-/:-@\\[-`{-~]]"
-TOKEN = f"{INSIDE}{{0,{LONGEST - 1}}}[{ENDS}]|{INSIDE}{{1,{LONGEST}}}"
+#: Characters inside a token, and all others but white space, which end one.
+INSIDE = "\\x00-\\x08\\x0E-\\x1F\\x7F124578b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z"
+TOKEN = f"[{INSIDE}]{{1,{LONGEST - 1}}}+[^{INSIDE}\\x20\\x09-\\x0D]?|[^{INSIDE}\\x20\\x09-\\x0D]"
 #: A document's place in the order: null ids last, then descending id, then descending hash.
 PLACE = ["known", "did", "h"]
 
@@ -118,20 +116,18 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # a row per range: the number of shuffle partitions
     found = sorted(ranges.collect(), key=lambda r: r["range"])
     number = range_of([tuple(r["last"]) for r in found[:-1]], place)
-    once = keyed.withColumn("range", number).repartitionById(max(1, len(found)), F.col("range")).groupBy("range", *PLACE).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    own = with_anchors(once, "text", "own_anchors")
-    # the first document of each range, for the last one of the range before
-    heads = F.broadcast(spark.createDataFrame([((i - 1) % len(found), *r["first"]) for i, r in enumerate(found)], "range int, known boolean, did long, h long") if found else ids.limit(0))
-    firsts = keyed.join(heads, PLACE).groupBy("range").agg(F.first("text").alias("first_text"))
-    firsts = with_anchors(firsts, "first_text", "first_anchors")
+    # the first document of each range stands in the range before too, ahead of all: it follows the last one there
+    heads = F.broadcast(spark.createDataFrame([((i - 1) % len(found), *r["first"]) for i, r in enumerate(found)], "range int, known boolean, did long, h long") if found else ids.select("range", *PLACE).limit(0))
+    placed = keyed.withColumn("range", number).withColumn("own", F.lit(1))
+    ahead = keyed.join(heads, PLACE).withColumn("own", F.lit(0)).select(*placed.columns)
+    dealt = placed.unionByName(ahead).repartitionById(max(1, len(found)), F.col("range"))
+    once = dealt.groupBy("range", "own", *PLACE).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     # the grouping leaves each range in ascending order: the next document stands before
-    by_place = W.partitionBy("range").orderBy(*PLACE)
-    after = own.withColumn("next", F.lag(F.struct("text", "own_anchors")).over(by_place)).join(firsts.hint("merge"), "range")
+    by_place = W.partitionBy("range").orderBy("own", *PLACE)
+    after = with_anchors(once, "text", "own_anchors").withColumn("next", F.lag(F.struct("text", "own_anchors")).over(by_place)).where("own = 1")
     joined = after.select(
-        F.when(F.col("known"), F.col("did")).alias("did"), "text", "copies", "own_anchors",
-        F.when(F.col("next").isNull(), F.col("first_text")).otherwise(F.col("next.text")).alias("next_text"),
-        F.when(F.col("next").isNull(), F.col("first_anchors")).otherwise(F.col("next.own_anchors")).alias("next_anchors"),
-    )
+        F.when(F.col("known"), F.col("did")).alias("did"), "text", "copies", "own_anchors", F.col("next.text").alias("next_text"), F.col("next.own_anchors").alias("next_anchors")
+    )
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
