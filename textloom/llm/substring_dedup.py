@@ -30,6 +30,7 @@ Columns of any name pass through ``drop_repeats``.  An empty table gives an empt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -61,7 +62,22 @@ def mixed(points: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+def values(points: np.ndarray, seed: int) -> np.ndarray:
+    """The same by a table, where no code point is beyond it."""
+    return _table(seed)[points] if points.max() < len(_table(seed)) else mixed(points, seed)
+
+
+@lru_cache(maxsize=2)
+def _table(seed: int) -> np.ndarray:
+    return mixed(np.arange(1 << 16), seed)
+
+
 def _powers(base: int, n: int) -> np.ndarray:
+    return _powers_upto(base, 1 << (n - 1).bit_length())[:n]
+
+
+@lru_cache(maxsize=8)
+def _powers_upto(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
     with np.errstate(over="ignore"):
@@ -92,7 +108,7 @@ def chunks(texts: list[str], lead: int = 0) -> tuple[np.ndarray, np.ndarray, np.
     n = len(points)
     if not n:
         return (np.zeros(0, dtype=np.int64),) * 6
-    gear, rolled = (mixed(points, 2) >> np.uint64(32)).astype(np.uint32), np.zeros(n, dtype=np.uint32)
+    gear, rolled = (values(points, 2) >> np.uint64(32)).astype(np.uint32), np.zeros(n, dtype=np.uint32)
     bits = 32 - WINDOW
     with np.errstate(over="ignore"):
         for age in range(min(WINDOW, n)):
@@ -111,20 +127,19 @@ def chunks(texts: list[str], lead: int = 0) -> tuple[np.ndarray, np.ndarray, np.
         # stretches without a cut, from one cut or text's end to the next
         bounds = np.unique(np.r_[np.flatnonzero(cut), ends_of_texts[lengths > 0] - 1])
         before = np.r_[-1, bounds[:-1]]
-        for i in np.flatnonzero(bounds - before > CLEAR).tolist():
-            text = int(np.searchsorted(ends_of_texts, bounds[i], side="right"))
-            begin, end = int(ends_of_texts[text] - lengths[text]), int(ends_of_texts[text])
-            low = int(before[i]) + 1 + (CLEAR if before[i] >= begin and cut[before[i]] else 0)
-            high = int(bounds[i]) - (CLEAR if cut[bounds[i]] else 1)
-            low = max(low, begin + lead)
-            if low < high:
-                places = smallest_places(rolled[begin:end], low - begin, high - begin, lead - 1 if lead else -NEAR)
-                cut[[begin + x for x in places]] = True
+        owner = np.searchsorted(ends_of_texts, bounds, side="right")
+        begin = (ends_of_texts - lengths)[owner]
+        low = np.maximum(before + 1 + np.where((before >= begin) & cut[before], CLEAR, 0), begin + lead)
+        high = bounds - np.where(cut[bounds], CLEAR, 1)
+        for i in np.flatnonzero(low < high).tolist():
+            first, end = int(begin[i]), int(ends_of_texts[owner[i]])
+            places = smallest_places(rolled[first:end], int(low[i]) - first, int(high[i]) - first, lead - 1 if lead else -NEAR)
+            cut[[first + x for x in places]] = True
         cut[offset < lead] = False
         cut[offset == lead - 1] = True
         ends = np.unique(np.r_[np.flatnonzero(cut) + 1, ends_of_texts[lengths > 0]])
         starts = np.r_[0, ends[:-1]]
-        value = mixed(points, 1)
+        value = values(points, 1)
         digests = []
         for base in _BASES:
             sums = np.r_[np.uint64(0), np.cumsum(value * _powers(base, n), dtype=np.uint64)]
