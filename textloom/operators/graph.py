@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,22 @@ def guarded_update(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return o.join(n, key, "full").select(
         key, F.when(held | F.col("status").isNull(), F.col("s")).otherwise(F.col("status")).alias("status"), F.when(held | F.col("status").isNull(), F.col("v")).otherwise(F.col("value")).alias("value")
     )
+
+
+def token_grams(text: Column, most: int) -> Column:
+    """Distinct runs of one to ``most`` tokens ([a-z0-9]+, in lower case) of a text, joined by spaces."""
+    words = F.split(F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
+
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    return F.array_distinct(F.flatten(F.array(*[runs(n) for n in range(1, most + 1)])))
+
+
+def mentions(texts: DataFrame, text_col: str, names: DataFrame, name_col: str, most: int = 4) -> DataFrame:
+    """Rows of ``texts`` joined with those of ``names`` that stand in them as whole tokens: an equi join on token runs.
+
+    Names of more than ``most`` tokens are not found."""
+    grams = texts.withColumn("_gram", F.explode(token_grams(F.col(text_col), most)))
+    keyed = names.withColumn("_gram", F.btrim(F.regexp_replace(F.lower(name_col), "[^a-z0-9]+", " "))).where("_gram != ''")
+    return grams.join(keyed, "_gram").drop("_gram")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import rules, text as T
 from textloom.operators import book, graph
+from textloom.plans import derived
 from textloom.plans.base import Literal, query, table
 from textloom.plans.scalars import CONTAINS, PAD, matches, n_of, strip_sql
 
@@ -57,6 +58,7 @@ def gen03(spark: SparkSession, sf_dir: str) -> DataFrame:
 AMOUNTS = Literal(
     "line_id long, text string",
     ((1, "He walked 12 miles and 3 hours."), (2, "two feet, ten pounds"), (3, "跑了三公里，用了20分钟"), (4, "no amounts"), (5, "1,500 kilometers in 2.5 days; 7 degrees"), (6, "房间宽五米，重10公斤")),
+    more=derived.AMOUNTS,
 )
 UNITS = Literal(
     "word string, unit string, family string",
@@ -72,8 +74,8 @@ AMOUNT_RE = r"(?:[0-9]+(?:[,.][0-9]+)*|one|two|three|four|five|six|seven|eight|n
 @query("gen04_quantities", f"SELECT line_id, m.surface, u.unit, u.family FROM (SELECT line_id, unnest(regexp_extract_all(text, '{AMOUNT_RE}')) AS surface, unnest(regexp_extract_all(text, '{AMOUNT_RE}', 1)) AS word FROM {AMOUNTS.sql()} a) m JOIN {UNITS.sql()} u ON u.word = m.word")
 def gen04(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(AMOUNT_RE), F.lit(0)).alias("surface"), F.regexp_extract_all("text", F.lit(AMOUNT_RE), F.lit(1)).alias("word"))
-    found = AMOUNTS.df(spark).select("line_id", F.inline(F.transform(pairs, lambda p: F.struct(p["surface"].alias("surface"), p["word"].alias("word")))))
-    return found.join(F.broadcast(UNITS.df(spark)), "word").select("line_id", "surface", "unit", "family")  # a fixed unit list
+    found = AMOUNTS.df(spark, sf_dir).select("line_id", F.inline(F.transform(pairs, lambda p: F.struct(p["surface"].alias("surface"), p["word"].alias("word")))))
+    return found.join(F.broadcast(UNITS.df(spark, sf_dir)), "word").select("line_id", "surface", "unit", "family")  # a fixed unit list
 
 
 @query("agg01_chapters", f"""WITH r AS (SELECT *, {DIALOGUE} AS d, row_number() OVER (PARTITION BY chapter ORDER BY segment) AS i, count(*) OVER (PARTITION BY chapter) AS k FROM {SEG}) SELECT chapter, count(*) AS segments, sum(length(text)) AS n_chars, count(*) FILTER (WHERE d) AS dialogues, min(segment) AS first, max(CASE WHEN i = (k - 1) // 2 + 1 THEN segment END) AS middle, max(segment) AS last FROM r GROUP BY chapter""")
@@ -168,15 +170,15 @@ def term_score(term, n):
     return F.when(term.rlike("^[A-Z]{2,6}$"), 1000 + size * 10).when(term.rlike("[A-Z]"), 500 + size * 10).otherwise(n + size).cast("long")
 
 
-SCORED = Literal("term string, n long", (("API", 1), ("HTTPS", 3), ("OpenSearch", 2), ("large model", 7), ("iPhone", 1), ("x", 1), ("TOOLONGX", 2)))
+SCORED = Literal("term string, n long", (("API", 1), ("HTTPS", 3), ("OpenSearch", 2), ("large model", 7), ("iPhone", 1), ("x", 1), ("TOOLONGX", 2)), more=derived.SCORED)
 
 
 @query("top12_term_scores", f"SELECT term, {SCORE} AS score FROM {SCORED.sql()} s")
 def top12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SCORED.df(spark).select("term", term_score(F.col("term"), F.col("n")).alias("score"))
+    return SCORED.df(spark, sf_dir).select("term", term_score(F.col("term"), F.col("n")).alias("score"))
 
 
-FULL_NAMES = Literal("name string", (("The King Rat",), ("Mr. Smith",), ("Dr Miss Lee",), ("And Then",), ("Al Bo",), ("Captain",), ("Anna",), ("The",), ("Lord Of",)))
+FULL_NAMES = Literal("name string", (("The King Rat",), ("Mr. Smith",), ("Dr Miss Lee",), ("And Then",), ("Al Bo",), ("Captain",), ("Anna",), ("The",), ("Lord Of",)), more=derived.FULL_NAMES)
 
 
 @query(
@@ -186,10 +188,10 @@ t AS (SELECT *, CASE WHEN len(pl) > 1 AND pl[1] IN ('the', 'a', 'an') THEN 1 ELS
 SELECT name, array_to_string(ws[lead + 1:], ' ') AS core, len(list_filter(pl[lead + 1:], lambda x: x IN ({", ".join(Q + w + Q for w in book.NAME_STOPS)}))) = 0 AND len(list_filter(ws[lead + 1:], lambda x: length(x) >= 3)) > 0 AS allowed FROM t""",
 )
 def flt10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FULL_NAMES.df(spark).select("name", book.name_core(F.col("name")).alias("core"), book.name_allowed(F.col("name")).alias("allowed"))
+    return FULL_NAMES.df(spark, sf_dir).select("name", book.name_core(F.col("name")).alias("core"), book.name_allowed(F.col("name")).alias("allowed"))
 
 
-NOISE = Literal("term string, total long, at_start boolean", (("results", 4, False), ("Boost", 1, True), ("Boost", 2, True), ("Kubernetes", 1, True), ("data lake", 3, False), ("analyses", 9, False), ("superlongwords", 1, False)))
+NOISE = Literal("term string, total long, at_start boolean", (("results", 4, False), ("Boost", 1, True), ("Boost", 2, True), ("Kubernetes", 1, True), ("data lake", 3, False), ("analyses", 9, False), ("superlongwords", 1, False)), more=derived.NOISE)
 
 
 @query("flt14_noise_terms", f"SELECT term, total, NOT contains(term, ' ') AND regexp_full_match(term, '[a-z]+s') AND length(term) <= 10 AS generic, NOT contains(term, ' ') AND regexp_full_match(term, '[A-Z][a-z]+') AND term NOT IN ('Kubernetes') AND total <= 1 AND at_start AS misread FROM {NOISE.sql()} n")
@@ -197,7 +199,7 @@ def flt14(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("term")
     generic = ~t.contains(" ") & t.rlike("^[a-z]+s$") & (F.char_length(t) <= 10)
     misread = ~t.contains(" ") & t.rlike("^[A-Z][a-z]+$") & ~t.isin("Kubernetes") & (F.col("total") <= 1) & F.col("at_start")
-    return NOISE.df(spark).select("term", "total", generic.alias("generic"), misread.alias("misread"))
+    return NOISE.df(spark, sf_dir).select("term", "total", generic.alias("generic"), misread.alias("misread"))
 
 
 @query("ext27_mid_sentence_names", f"SELECT word, count(*) AS n, count(DISTINCT segment) AS segments FROM (SELECT segment, unnest(regexp_extract_all(text, '[\\p{{Ll}},] (\\p{{Lu}}\\p{{Ll}}{{2,}})', 1)) AS word FROM {SEG}) GROUP BY word HAVING count(*) >= 2")
@@ -206,7 +208,7 @@ def ext27(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("segment").alias("segments")).where("n >= 2")
 
 
-COMPATIBLE = Literal("source string, alias string", (("Anna Karenina", "Anna"), ("The Duke", "duke"), ("Robert Smith", "Bob"), ("王小明", "小明"), ("Jon Snow", "Jonathan"), ("Anna's", "Ann"), ("Mary", "the lady")))
+COMPATIBLE = Literal("source string, alias string", (("Anna Karenina", "Anna"), ("The Duke", "duke"), ("Robert Smith", "Bob"), ("王小明", "小明"), ("Jon Snow", "Jonathan"), ("Anna's", "Ann"), ("Mary", "the lady")), more=derived.COMPATIBLE)
 IDENTITY = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: t NOT IN ('the', 'a', 'an', 'of', 's', 'lady', 'sir', 'lord', 'mr', 'mrs'))"
 
 
@@ -217,7 +219,7 @@ def ext01(spark: SparkSession, sf_dir: str) -> DataFrame:
     latin = lambda c: F.col(c).rlike("(?i)^[a-z0-9 ._'’-]+$")
     shared = F.exists(tokens("source"), lambda x: F.exists(tokens("alias"), lambda y: x.startswith(y) | y.startswith(x)))
     fits = F.when(~latin("source") | ~latin("alias"), True).when(F.size(tokens("alias")) == 0, False).otherwise(shared)
-    return COMPATIBLE.df(spark).withColumn("compatible", fits)
+    return COMPATIBLE.df(spark, sf_dir).withColumn("compatible", fits)
 
 
 ENTITIES = Literal(
@@ -226,6 +228,7 @@ ENTITIES = Literal(
         ("e1", ["Anna", "Annie"], "安娜", "confirmed"), ("e2", ["annie", "A. K."], "安妮", "candidate"), ("e3", ["Bob"], "鲍勃", "confirmed"), ("e4", ["Robert", "bob"], "鲍勃", "confirmed"),
         ("e5", ["King Rat"], "鼠王", "confirmed"), ("e6", ["a. k.", "Karenina"], None, "candidate"), ("e7", ["King Rat"], "老鼠王", "confirmed"),
     ),
+    more=derived.ENTITIES,
 )
 
 
@@ -235,19 +238,19 @@ ENTITIES = Literal(
 r AS (SELECT DISTINCT x AS node, x AS root FROM edges UNION SELECT e.y, r.root FROM r JOIN edges e ON e.x = r.node) SELECT node, min(root) AS component FROM r GROUP BY node""",
 )
 def gra01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.shared_name_components(ENTITIES.df(spark))
+    return graph.shared_name_components(ENTITIES.df(spark, sf_dir))
 
 
 @query("gra04_guarded_updates", f"WITH o AS (SELECT node AS key, status, target AS value FROM {ENTITIES.sql()} e WHERE node < 'e6'), n AS (SELECT 'e' || i AS key, 'auto' AS status, 'new' || i AS value FROM range(2, 9) t(i)) SELECT coalesce(o.key, n.key) AS key, CASE WHEN o.status IN ('confirmed', 'rejected') OR n.status IS NULL THEN o.status ELSE n.status END AS status, CASE WHEN o.status IN ('confirmed', 'rejected') OR n.status IS NULL THEN o.value ELSE n.value END AS value FROM o FULL JOIN n ON o.key = n.key")
 def gra04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = ENTITIES.df(spark).where("node < 'e6'").select(F.col("node").alias("key"), "status", F.col("target").alias("value"))
+    old = ENTITIES.df(spark, sf_dir).where("node < 'e6'").select(F.col("node").alias("key"), "status", F.col("target").alias("value"))
     new = spark.range(2, 9).select(F.concat(F.lit("e"), "id").alias("key"), F.lit("auto").alias("status"), F.concat(F.lit("new"), "id").alias("value"))
     held = F.coalesce(F.col("s").isin("confirmed", "rejected"), F.lit(False))
     o, n = old.select("key", F.col("status").alias("s"), F.col("value").alias("v")), new
     return o.join(n, "key", "full").select("key", F.when(held | F.col("status").isNull(), F.col("s")).otherwise(F.col("status")).alias("status"), F.when(held | F.col("status").isNull(), F.col("v")).otherwise(F.col("value")).alias("value"))
 
 
-EVIDENCE = Literal("fact long, item_id long, quote string", ((1, 0, None), (1, 1, None), (2, 5, "zzz not there"), (3, 99, "missing sample"), (4, 3, "ab"), (5, 7, None)))
+EVIDENCE = Literal("fact long, item_id long, quote string", ((1, 0, None), (1, 1, None), (2, 5, "zzz not there"), (3, 99, "missing sample"), (4, 3, "ab"), (5, 7, None)), more=derived.EVIDENCE)
 
 
 @query(
@@ -256,7 +259,7 @@ EVIDENCE = Literal("fact long, item_id long, quote string", ((1, 0, None), (1, 1
 j AS (SELECT fact, CASE WHEN text IS NULL THEN 'no-sample' WHEN length(trim(quote)) < 4 THEN 'short' WHEN NOT contains(lower(text), lower(quote)) THEN 'not-grounded' ELSE 'valid' END AS verdict FROM e) SELECT fact, verdict, count(*) AS n FROM j GROUP BY 1, 2""",
 )
 def gra05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = EVIDENCE.df(spark).join(table(spark, sf_dir, "benchmark"), "item_id", "left").withColumn("quote", F.coalesce("quote", F.substring("text", 1, 20)))
+    e = EVIDENCE.df(spark, sf_dir).join(table(spark, sf_dir, "benchmark"), "item_id", "left").withColumn("quote", F.coalesce("quote", F.substring("text", 1, 20)))
     verdict = F.when(F.col("text").isNull(), "no-sample").when(F.char_length(F.btrim("quote")) < 4, "short").when(~F.lower("text").contains(F.lower("quote")), "not-grounded").otherwise("valid")
     return e.groupBy("fact", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -267,7 +270,7 @@ def gra05(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT name, min(target) AS target, length(name) AS n FROM r WHERE priority = top GROUP BY name HAVING count(DISTINCT target) = 1""",
 )
 def gra12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exploded = ENTITIES.df(spark).where("target IS NOT NULL").select(F.explode("names").alias("name"), "target", F.when(F.col("status") == "confirmed", 2).otherwise(1).alias("priority")).withColumn("name", F.lower("name"))
+    exploded = ENTITIES.df(spark, sf_dir).where("target IS NOT NULL").select(F.explode("names").alias("name"), "target", F.when(F.col("status") == "confirmed", 2).otherwise(1).alias("priority")).withColumn("name", F.lower("name"))
     top = exploded.withColumn("top", F.max("priority").over(W.partitionBy("name"))).where("priority = top")
     return top.groupBy("name").agg(F.min("target").alias("target"), F.count_distinct("target").alias("k")).where("k = 1").select("name", "target", F.char_length("name").cast("long").alias("n"))
 
@@ -292,12 +295,13 @@ BOOK = Literal(
         ("s1", 1, "Anna met the King Rat at 12 miles.", "安娜在12英里处遇见了鼠王。"), ("s2", 2, "Annie waited three days.", "安妮等了三天。"), ("s3", 3, "Bob said nothing again.", "鲍勃什么也没说 again"), ("s4", 4, "It was 5 hours later.", "那是6小时以后。"),
         ("s5", 5, "The end of the story.", None), ("s6", 6, "King Rat, and so on and on.", "the rest of the story stays 英文"), ("s7", 7, "Two lines the same here.", "两行相同。"), ("s8", 8, "Two lines the same here.", "两行一样。"), ("s9", 9, "Robert left.", "  "),
     ),
+    more=derived.BOOK,
 )
 
 
 @query("aud01_missing", f"SELECT segment, 'missing-translation' AS type, 'must-fix' AS severity FROM {BOOK.sql()} b WHERE translation IS NULL OR trim(translation) = ''")
 def aud01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return BOOK.df(spark).where(F.col("translation").isNull() | (F.btrim("translation") == "")).select("segment", F.lit("missing-translation").alias("type"), F.lit("must-fix").alias("severity"))
+    return BOOK.df(spark, sf_dir).where(F.col("translation").isNull() | (F.btrim("translation") == "")).select("segment", F.lit("missing-translation").alias("type"), F.lit("must-fix").alias("severity"))
 
 
 NUMS = "array_to_string(list_transform(regexp_extract_all({0}, '[0-9]+(?:[,.][0-9]+)*'), lambda x: replace(x, ',', '')), ',')"
@@ -306,7 +310,7 @@ NUMS = "array_to_string(list_transform(regexp_extract_all({0}, '[0-9]+(?:[,.][0-
 @query("aud02_numeric_mismatch", f"SELECT segment, {NUMS.format('text')} AS source_numbers, {NUMS.format('translation')} AS target_numbers FROM {BOOK.sql()} b WHERE trim(translation) <> '' AND {NUMS.format('text')} <> {NUMS.format('translation')}")
 def aud02(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = lambda c: F.array_join(F.transform(F.regexp_extract_all(c, F.lit("[0-9]+(?:[,.][0-9]+)*"), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit(""))), ",")
-    rows = BOOK.df(spark).where(F.btrim("translation") != "").select("segment", numbers("text").alias("source_numbers"), numbers("translation").alias("target_numbers"))
+    rows = BOOK.df(spark, sf_dir).where(F.btrim("translation") != "").select("segment", numbers("text").alias("source_numbers"), numbers("translation").alias("target_numbers"))
     return rows.where("source_numbers != target_numbers")
 
 
@@ -322,7 +326,7 @@ SELECT segment, array_to_string(list_concat(list_filter(phrases, lambda p: len(s
 def aud03(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrases = F.filter(F.regexp_extract_all("translation", F.lit("[A-Za-z][A-Za-z'-]*(?: [A-Za-z][A-Za-z'-]*){2,}"), F.lit(0)), lambda p: F.size(F.split(p, " ")) >= 4)
     words = F.filter(F.regexp_extract_all("translation", F.lit("[A-Za-z][A-Za-z'-]*"), F.lit(0)), lambda w: F.lower(w).isin(*RESIDUE))
-    return BOOK.df(spark).where(F.btrim("translation") != "").select("segment", F.concat(phrases, words).alias("e")).where(F.size("e") > 0).select("segment", F.array_join("e", "|").alias("examples"))
+    return BOOK.df(spark, sf_dir).where(F.btrim("translation") != "").select("segment", F.concat(phrases, words).alias("e")).where(F.size("e") > 0).select("segment", F.array_join("e", "|").alias("examples"))
 
 
 MAPPINGS = f"(SELECT lower(unnest(names)) AS name, node, target FROM {ENTITIES.sql()} e WHERE status = 'confirmed')"
@@ -334,32 +338,24 @@ MAPPINGS = f"(SELECT lower(unnest(names)) AS name, node, target FROM {ENTITIES.s
 SELECT segment, name, target FROM s WHERE NOT contains(translation, target)""",
 )
 def aud04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = ENTITIES.df(spark).where("status = 'confirmed'").select(F.explode("names").alias("name"), "node", "target").withColumn("name", F.lower("name"))
+    m = ENTITIES.df(spark, sf_dir).where("status = 'confirmed'").select(F.explode("names").alias("name"), "node", "target").withColumn("name", F.lower("name"))
     clear = m.withColumn("k", F.size(F.collect_set("target").over(W.partitionBy("name")))).where("k = 1").select("name", "target")
-    # names of up to three tokens meet the text's n-grams in an equi join
-    words = F.split(F.btrim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ")
-
-    def of_length(n: int):
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-
-    grams = F.flatten(F.array(*[of_length(n) for n in (1, 2, 3)]))
-    key = F.btrim(F.regexp_replace("name", "[^a-z0-9]+", " "))
-    rows = BOOK.df(spark).where(F.btrim("translation") != "").select("segment", "translation", F.explode(F.array_distinct(grams)).alias("gram"))
-    return rows.join(clear.withColumn("gram", key), "gram").where(~F.col("translation").contains(F.col("target"))).select("segment", "name", "target")
+    rows = BOOK.df(spark, sf_dir).where(F.btrim("translation") != "").select("segment", "text", "translation")
+    return graph.mentions(rows, "text", clear, "name").where(~F.col("translation").contains(F.col("target"))).select("segment", "name", "target")
 
 
 @query("jon10_mapping_conflicts", f"WITH m AS {MAPPINGS}, c AS (SELECT name, string_agg(DISTINCT target, '|' ORDER BY target) AS targets FROM m GROUP BY name HAVING count(DISTINCT target) > 1) SELECT c.name, c.targets, count(*) AS segments FROM c JOIN {BOOK.sql()} b ON contains({PAD.format('b.text')}, {PAD.format('c.name')}) GROUP BY 1, 2")
 def jon10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = ENTITIES.df(spark).where("status = 'confirmed'").select(F.explode("names").alias("name"), "target").withColumn("name", F.lower("name"))
+    m = ENTITIES.df(spark, sf_dir).where("status = 'confirmed'").select(F.explode("names").alias("name"), "target").withColumn("name", F.lower("name"))
     c = m.groupBy("name").agg(F.sort_array(F.collect_set("target")).alias("t")).where(F.size("t") > 1).select("name", F.array_join("t", "|").alias("targets"))
-    hit = BOOK.df(spark).join(F.broadcast(c), rules.contains_name(F.col("text"), F.col("name")))  # conflicts of one glossary
+    hit = graph.mentions(BOOK.df(spark, sf_dir).select("text"), "text", c, "name")
     return hit.groupBy("name", "targets").agg(F.count(F.lit(1)).alias("segments"))
 
 
 @query("aud05_repeated_drift", f"SELECT lower(trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'))) AS words, count(*) AS n, count(DISTINCT trim(translation)) AS variants FROM {BOOK.sql()} b WHERE trim(translation) <> '' GROUP BY 1 HAVING count(*) > 1")
 def aud05(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.lower(F.btrim(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")))
-    return BOOK.df(spark).where(F.btrim("translation") != "").groupBy(words.alias("words")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.btrim("translation")).alias("variants")).where("n > 1")
+    return BOOK.df(spark, sf_dir).where(F.btrim("translation") != "").groupBy(words.alias("words")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.btrim("translation")).alias("variants")).where("n > 1")
 
 
 @query(
@@ -368,8 +364,8 @@ def aud05(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT node, min(root) AS component FROM r GROUP BY node) SELECT component, count(*) AS entities, string_agg(DISTINCT target, '|' ORDER BY target) AS targets FROM c JOIN {ENTITIES.sql()} e USING (node) GROUP BY component HAVING count(DISTINCT target) > 1""",
 )
 def aud06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = graph.shared_name_components(ENTITIES.df(spark))
-    by = c.join(ENTITIES.df(spark).select("node", "target"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("entities"), F.sort_array(F.collect_set("target")).alias("t"))
+    c = graph.shared_name_components(ENTITIES.df(spark, sf_dir))
+    by = c.join(ENTITIES.df(spark, sf_dir).select("node", "target"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("entities"), F.sort_array(F.collect_set("target")).alias("t"))
     return by.where(F.size("t") > 1).select("component", "entities", F.array_join("t", "|").alias("targets"))
 
 

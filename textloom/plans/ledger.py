@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import round_half_up
 from textloom.operators import ledger, segments
+from textloom.plans import derived
 from textloom.plans.base import Literal, query, table
 
 
@@ -138,12 +139,12 @@ def jon13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(by, "c_custkey", "left").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
-ALIASES = Literal("node string, names array<string>", (("n1", ["Anna", "Annie"]), ("n2", ["Bob", "annie"]), ("n3", ["Robert", "bob"]), ("n4", ["Zed"])))
+ALIASES = Literal("node string, names array<string>", (("n1", ["Anna", "Annie"]), ("n2", ["Bob", "annie"]), ("n3", ["Robert", "bob"]), ("n4", ["Zed"])), more=derived.ALIASES)
 
 
 @query("jon14_alias_lookup", f"SELECT name, arg_min(node, (node, pos)) AS node FROM (SELECT node, generate_subscripts(names, 1) AS pos, lower(unnest(names)) AS name FROM {ALIASES.sql()} a) GROUP BY name")
 def jon14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = ALIASES.df(spark).select("node", F.posexplode("names").alias("pos", "name"))
+    named = ALIASES.df(spark, sf_dir).select("node", F.posexplode("names").alias("pos", "name"))
     return named.groupBy(F.lower("name").alias("name")).agg(F.min_by("node", F.struct("node", "pos")).alias("node"))
 
 
@@ -444,21 +445,21 @@ def agg10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(n.alias("events"), high.alias("high"), (F.floor(high * 1000 / n + 0.5) / 10).alias("high_pct"))
 
 
-USAGE = Literal("turn long, input long, output long, cost double", ((1, 10, 5, None), (2, None, 7, 0.5), (3, 3, None, None)))
+USAGE = Literal("turn long, input long, output long, cost double", ((1, 10, 5, None), (2, None, 7, 0.5), (3, 3, None, None)), more=derived.USAGE)
 
 
 @query("agg12_usage_totals", f"SELECT sum(input) AS input, sum(output) AS output, sum(cost) AS cost, coalesce(sum(input), 0) + coalesce(sum(output), 0) AS total FROM {USAGE.sql()} u")
 def agg12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return USAGE.df(spark).agg(F.sum("input").alias("input"), F.sum("output").alias("output"), F.sum("cost").alias("cost"), (F.coalesce(F.sum("input"), F.lit(0)) + F.coalesce(F.sum("output"), F.lit(0))).alias("total"))
+    return USAGE.df(spark, sf_dir).agg(F.sum("input").alias("input"), F.sum("output").alias("output"), F.sum("cost").alias("cost"), (F.coalesce(F.sum("input"), F.lit(0)) + F.coalesce(F.sum("output"), F.lit(0))).alias("total"))
 
 
-CHECKS = Literal("run string, required double, terms double, repeated double, spoilers double, numeric_ok double", (("a", 1.0, 0.5, 1.0, 0.0, 0.75), ("b", 1.0, 1.0, 1.0, 1.0, 1.0), ("c", 0.333, 0.25, 0.0, 1.0, 0.5)))
+CHECKS = Literal("run string, required double, terms double, repeated double, spoilers double, numeric_ok double", (("a", 1.0, 0.5, 1.0, 0.0, 0.75), ("b", 1.0, 1.0, 1.0, 1.0, 1.0), ("c", 0.333, 0.25, 0.0, 1.0, 0.5)), more=derived.CHECKS)
 
 
 @query("agg13_weighted_score", f"SELECT run, floor((0.3 * required + 0.2 * terms + 0.2 * repeated + 0.15 * spoilers + 0.15 * numeric_ok) * 100 + 0.5) AS score FROM {CHECKS.sql()} c")
 def agg13(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    return CHECKS.df(spark).select("run", round_half_up((0.3 * c("required") + 0.2 * c("terms") + 0.2 * c("repeated") + 0.15 * c("spoilers") + 0.15 * c("numeric_ok")) * 100).alias("score"))
+    return CHECKS.df(spark, sf_dir).select("run", round_half_up((0.3 * c("required") + 0.2 * c("terms") + 0.2 * c("repeated") + 0.15 * c("spoilers") + 0.15 * c("numeric_ok")) * 100).alias("score"))
 
 
 @query("agg14_blind_review", "SELECT lang, count(*) FILTER (WHERE quality = 1 AND doc_id % 2 = 0) AS before_wins, count(*) FILTER (WHERE quality = 1 AND doc_id % 2 = 1) AS after_wins, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS ties, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS unjudged FROM labels JOIN documents USING (doc_id) GROUP BY lang")

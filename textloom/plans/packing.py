@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import splitting
 from textloom.operators import export, packing
+from textloom.plans import derived
 from textloom.plans.base import Literal, query, table
 from textloom.sources import files, html
 
@@ -75,7 +76,7 @@ def scl14(spark: SparkSession, sf_dir: str) -> DataFrame:
     def value(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: str(splitting.chinese_number(t)) if any(c in splitting.CHINESE or c in splitting.SCALES for c in t) else ",".join(map(str, splitting.english_numbers(t))))
 
-    return NUMBERS.df(spark).select("number_id", value("text").alias("value"))
+    return NUMBERS.df(spark, sf_dir).select("number_id", value("text").alias("value"))
 
 
 def sample_files() -> list[tuple[str, bytes]]:
@@ -103,12 +104,12 @@ def src17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.segments(rows)
 
 
-CUES = Literal("file_id long, cue long, start_at string, end_at string, text string, translated string", ((1, 1, "00:00:01.000", "00:00:02.000", "one", "eins"), (1, 2, "00:00:03.000", "00:00:04.000", "two", None), (2, 1, "00:00:09.500", "00:00:10.000", "x\ny", "z")))
+CUES = Literal("file_id long, cue long, start_at string, end_at string, text string, translated string", ((1, 1, "00:00:01.000", "00:00:02.000", "one", "eins"), (1, 2, "00:00:03.000", "00:00:04.000", "two", None), (2, 1, "00:00:09.500", "00:00:10.000", "x\ny", "z")), more=derived.CUES)
 
 
 @query("snk01_srt_export", f"SELECT file_id, string_agg(CAST(cue AS VARCHAR) || chr(10) || replace(start_at, '.', ',') || ' --> ' || replace(end_at, '.', ',') || chr(10) || text || coalesce(chr(10) || translated, ''), chr(10) || chr(10) ORDER BY cue) AS body FROM {CUES.sql()} c GROUP BY file_id")
 def snk01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.srt_body(CUES.df(spark), "file_id", "cue")
+    return export.srt_body(CUES.df(spark, sf_dir), "file_id", "cue")
 
 
 @query("snk01_text_export", "SELECT conv_id, md5(string_agg(CASE WHEN role = 'user' THEN text || chr(10) || upper(role) ELSE text END, chr(10) || chr(10) ORDER BY p)) AS body_md5 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p FROM conversations) GROUP BY conv_id")
@@ -118,12 +119,12 @@ def snk01b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.select("conv_id", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
-TITLES = Literal("title string, ending string", (("a/b:c*?", "txt"), ('q"<x>|y', "srt"), ("plain", "md"), ("back\\slash", "html")))
+TITLES = Literal("title string, ending string", (("a/b:c*?", "txt"), ('q"<x>|y', "srt"), ("plain", "md"), ("back\\slash", "html")), more=derived.TITLES)
 
 
 @query("snk10_file_names", f"SELECT regexp_replace(title, '[\\\\/:*?\"<>|]', '_', 'g') || '.' || ending AS name FROM {TITLES.sql()} t")
 def snk10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TITLES.df(spark).select(export.file_name(F.col("title"), F.col("ending")).alias("name"))
+    return TITLES.df(spark, sf_dir).select(export.file_name(F.col("title"), F.col("ending")).alias("name"))
 
 
 @query("snk08_feature_index", "SELECT doc_id, '{\"chars\":' || CAST(n_chars AS VARCHAR) || ',\"lang\":\"' || lang || '\",\"lines\":' || CAST(len(string_split(text, chr(10))) AS VARCHAR) || '}' AS features FROM documents")

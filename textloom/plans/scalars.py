@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import rules, text as T
 from textloom.functions.text import SPACE
+from textloom.plans import derived
 from textloom.plans.base import Literal, query, table
 
 
@@ -38,7 +39,7 @@ LANG_INPUT = f"(SELECT text_id, text, tag FROM {SCRIPTS.sql()} s UNION ALL SELEC
 
 
 def lang_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SCRIPTS.df(spark).unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("text_id"), "text", F.col("lang").alias("tag")))
+    return SCRIPTS.df(spark, sf_dir).unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("text_id"), "text", F.col("lang").alias("tag")))
 
 
 @query(
@@ -82,6 +83,7 @@ def scl04(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEYS = Literal(
     "key_id long, content string, source string, target string, provider string, style string, mode string, terms string",
     ((1, '[{"id":"b1","text":"Hello"}]', "en", "zh", None, None, None, None), (2, '[{"id":"b1","text":"Hello"}]', "en", "zh", "p", "s", None, None), (3, "x" * 300, "en", "ja", None, "s", "literary", "[\"a\"]"), (4, "", "auto", "zh", None, None, None, None), (5, "é中文", "fr", "zh", "p", None, "m", None)),
+    more=derived.KEYS,
 )
 EXTRA = "'v5|' || CASE WHEN provider IS NULL AND style IS NULL THEN '' ELSE coalesce(provider, '') || ':' || coalesce(style, '') END || CASE WHEN terms IS NULL THEN '' ELSE '|g' || CAST({terms} AS VARCHAR) END || CASE WHEN mode IS NULL THEN '' ELSE '|m' || mode END"
 
@@ -95,7 +97,7 @@ def scl05(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.when(c("provider").isNull() & c("style").isNull(), "").otherwise(F.concat(F.coalesce("provider", F.lit("")), F.lit(":"), F.coalesce("style", F.lit(""))))
     terms = F.when(c("terms").isNull(), "").otherwise(F.concat(F.lit("|g"), T.rolling_hash(c("terms")).cast("string")))
     extra = F.concat(F.lit("v5|"), named, terms, F.when(c("mode").isNull(), "").otherwise(F.concat(F.lit("|m"), "mode")))
-    e = KEYS.df(spark).withColumn("extra", extra)
+    e = KEYS.df(spark, sf_dir).withColumn("extra", extra)
     hashed = lambda x: T.rolling_hash(F.concat(x, "extra")).cast("string")
     return e.select("key_id", F.concat_ws("_", F.lit("translation"), "source", "target", hashed("content"), hashed(F.substring("content", 1, 200))).alias("cache_key"))
 
@@ -141,6 +143,7 @@ PAIRS = Literal(
         (1, "Short title", "一个很长的译文。" * 12), (2, "A normal sentence. And another one here.", "一句正常的话。还有一句。"), (3, "", "有译文"), (4, None, None), (5, "One. Two. Three. Four.", "一句"),
         (6, "A long original text that keeps going well past forty characters so that shortness counts.", "短"), (7, "Heading", "一。二。三。四。"), (8, "1. 2. 3.", "!!!"), (9, "Line one\nline two\nline three", "一行"), (10, "Same length here", "same length there"),
     ),
+    more=derived.PAIRS,
 )
 
 
@@ -168,7 +171,7 @@ def scl12(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, t = F.col("original"), F.col("translated")
     chars, sentences = rules.mapping_ratios(o, t)
     count = lambda c: T.count_sentences(F.coalesce(c, F.lit("")))
-    return PAIRS.df(spark).select(
+    return PAIRS.df(spark, sf_dir).select(
         "pair_id", T.solid_length(o).alias("orig_chars"), T.solid_length(t).alias("trans_chars"), count(o).alias("orig_sentences"), count(t).alias("trans_sentences"),
         F.round(chars, 6).alias("char_ratio"), F.round(sentences, 6).alias("sentence_ratio"), F.array_join(rules.mapping_reasons(o, t), ",").alias("reasons"),
     )
@@ -189,35 +192,36 @@ def scl16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]")).select("doc_id", F.array_join(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit(""))), ",").alias("numbers"))
 
 
-TERMS = Literal("term_id long, term string", ((1, "  'quoted' "), (2, "OpenGL's"), (3, "(Model)"), (4, "…dots…"), (5, "plain"), (6, "it’s"), (7, "--dash--"), (8, "James’"), (9, "\"double\",")))
+TERMS = Literal("term_id long, term string", ((1, "  'quoted' "), (2, "OpenGL's"), (3, "(Model)"), (4, "…dots…"), (5, "plain"), (6, "it’s"), (7, "--dash--"), (8, "James’"), (9, "\"double\",")), more=derived.TERMS)
 EDGE = r"""[\s"'“”‘’`.,;:!?()\[\]{}<>…—–-]+"""
 
 
 @query("scl20_clean_terms", f"SELECT term_id, regexp_replace(regexp_replace(term, '^{EDGE.replace(chr(39), chr(39) * 2)}|{EDGE.replace(chr(39), chr(39) * 2)}$', '', 'g'), '[''’]s$', '') AS cleaned FROM {TERMS.sql()} t")
 def scl20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TERMS.df(spark).select("term_id", F.regexp_replace(F.regexp_replace("term", f"^{EDGE}|{EDGE}$", ""), "['’]s$", "").alias("cleaned"))
+    return TERMS.df(spark, sf_dir).select("term_id", F.regexp_replace(F.regexp_replace("term", f"^{EDGE}|{EDGE}$", ""), "['’]s$", "").alias("cleaned"))
 
 
-PRODUCTS = Literal("line_id long, text string", ((1, "We use Acme Turbo 9 and Acme Rocket daily"), (2, "Globex Cloud X1 beats Initech"), (3, "nothing here"), (4, "Globex Cloud X1, again Globex Cloud X1")))
+PRODUCTS = Literal("line_id long, text string", ((1, "We use Acme Turbo 9 and Acme Rocket daily"), (2, "Globex Cloud X1 beats Initech"), (3, "nothing here"), (4, "Globex Cloud X1, again Globex Cloud X1")), more=derived.PRODUCTS)
 VENDOR = r"(?:Acme|Globex|Initech)(?: [A-Z0-9][A-Za-z0-9]*){0,3}"
 
 
 @query("scl21_product_names", f"SELECT line_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '{VENDOR}'), lambda x: length(x) >= 3))), '|') AS products FROM {PRODUCTS.sql()} p")
 def scl21(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.filter(F.regexp_extract_all("text", F.lit(VENDOR), F.lit(0)), lambda x: F.char_length(x) >= 3)
-    return PRODUCTS.df(spark).select("line_id", F.array_join(F.array_sort(F.array_distinct(found)), "|").alias("products"))
+    return PRODUCTS.df(spark, sf_dir).select("line_id", F.array_join(F.array_sort(F.array_distinct(found)), "|").alias("products"))
 
 
 ANSWERS = Literal(
     "answer_id long, raw string",
     ((1, "<think>hm\nhm</think>\n```json\n{\"a\": 1}\n```"), (2, "plain [1,2]"), (3, "```\ntext\n```"), (4, "<thinking>x</thinking>{\"b\":\"c\"}"), (5, "  {\"d\": 2}  ")),
+    more=derived.ANSWERS,
 )
 
 
 @query("scl22_strip_wrappers", f"SELECT answer_id, trim(regexp_replace(regexp_replace(regexp_replace(raw, '(?is)<think(ing)?>.*?</think(ing)?>', '', 'g'), '(?i)^\\s*```[a-z]*\\s*', ''), '\\s*```\\s*$', ''), ' ' || chr(10)) AS body FROM {ANSWERS.sql()} a")
 def scl22(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = F.regexp_replace("raw", "(?is)<think(ing)?>.*?</think(ing)?>", "")
-    return ANSWERS.df(spark).select("answer_id", F.btrim(F.regexp_replace(F.regexp_replace(bare, r"(?i)^\s*```[a-z]*\s*", ""), r"\s*```\s*$", ""), F.lit(" \n")).alias("body"))
+    return ANSWERS.df(spark, sf_dir).select("answer_id", F.btrim(F.regexp_replace(F.regexp_replace(bare, r"(?i)^\s*```[a-z]*\s*", ""), r"\s*```\s*$", ""), F.lit(" \n")).alias("body"))
 
 
 RESULTS = Literal(
@@ -227,8 +231,9 @@ RESULTS = Literal(
         (2, '{"translations":[{"id":"b1","translation":"same"},{"id":"b3","translated_text":"drei","text":"no"}]}'),
         (3, '{"translations":[]}'),
     ),
+    more=derived.RESULTS,
 )
-BLOCKS = Literal("chunk_id long, id string, source string", ((1, "b1", "one"), (1, "b2", "two"), (1, "b3", "three"), (1, "b4", "four"), (2, "b1", "same"), (2, "b3", "three"), (3, "b1", "one")))
+BLOCKS = Literal("chunk_id long, id string, source string", ((1, "b1", "one"), (1, "b2", "two"), (1, "b3", "three"), (1, "b4", "four"), (2, "b1", "same"), (2, "b3", "three"), (3, "b1", "one")), more=derived.BLOCKS)
 ANSWER_ROWS = f"""(SELECT chunk_id, generate_subscripts(rs, 1) AS pos, unnest(rs) AS r FROM (SELECT chunk_id, CAST(json_extract(raw, '$.translations') AS JSON[]) AS rs FROM {RESULTS.sql()} a))"""
 
 
@@ -242,7 +247,7 @@ FROM {BLOCKS.sql()} b FULL JOIN f ON b.chunk_id = f.chunk_id AND b.id = f.id""",
 def scl24(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.operators.results import answer_rows, judge_answers
 
-    return judge_answers(BLOCKS.df(spark), answer_rows(RESULTS.df(spark), "chunk_id", "raw"), "chunk_id")
+    return judge_answers(BLOCKS.df(spark, sf_dir), answer_rows(RESULTS.df(spark, sf_dir), "chunk_id", "raw"), "chunk_id")
 
 
 AGENTS = Literal(
@@ -252,6 +257,7 @@ AGENTS = Literal(
         (3, "Mozilla/5.0 (iPhone; CPU iPhone OS 17_1 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.1 Mobile/15E148 Safari/604.1"), (4, "Mozilla/5.0 (X11; Linux x86_64; rv:121.0) Gecko/20100101 Firefox/121.0"),
         (5, "Mozilla/5.0 (Linux; Android 14; Pixel 8) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/119.0.0.0 Mobile Safari/537.36"), (6, "curl/8.4.0"), (7, ""),
     ),
+    more=derived.AGENTS,
 )
 
 
@@ -267,12 +273,13 @@ def scl25(spark: SparkSession, sf_dir: str) -> DataFrame:
     browser = F.when(has("Edg/"), "Edge").when(has("Firefox/"), "Firefox").when(has("Chrome/"), "Chrome").when(has("Version/") & has("Safari/"), "Safari").otherwise("unknown")
     os = F.when(has("iPhone") | has("iPad"), "iOS").when(has("Android"), "Android").when(has("Windows"), "Windows").when(has("Mac OS X"), "macOS").when(has("Linux"), "Linux").otherwise("unknown")
     device = F.when(a.rlike("iPad|Tablet"), "tablet").when(a.rlike("Mobi|iPhone|Android"), "mobile").otherwise("desktop")
-    return AGENTS.df(spark).select("agent_id", browser.alias("browser"), F.regexp_extract(a, r"(?:Edg|Firefox|Version)/(\d+)", 1).alias("version"), os.alias("os"), device.alias("device"))
+    return AGENTS.df(spark, sf_dir).select("agent_id", browser.alias("browser"), F.regexp_extract(a, r"(?:Edg|Firefox|Version)/(\d+)", 1).alias("version"), os.alias("os"), device.alias("device"))
 
 
 ADDRESSES = Literal(
     "url_id long, url string",
     tuple(enumerate(["https://example.com/a", "http://localhost/x", "ftp://example.com", "https://10.0.0.1/", "http://172.16.5.4", "http://172.32.0.1", "https://example.com:8080/", "https://example.com:443/", "http://printer.local/", "http://x.internal", "http://169.254.169.254/latest", "nonsense", "http://192.0.2.9", "http://8.8.8.8", "https://user:pw@192.168.1.1/", "http://999.1.1.1", "http://localhost./", "https:///nohost", "http://100.100.1.1", "http://224.0.0.1"])),
+    more=derived.ADDRESSES,
 )
 URL_SQL = """WITH u AS (SELECT url_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^[^@]*@', '') AS authority FROM {0}),
 h AS (SELECT *, regexp_extract(authority, ':(\\d+)$', 1) AS port, regexp_replace(lower(regexp_replace(authority, ':\\d+$', '')), '\\.$', '') AS host FROM u),
@@ -284,7 +291,7 @@ OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b IN (18, 19)) OR (a = 19
 
 @query("flt04_public_url", URL_SQL.format(f"(SELECT * FROM {ADDRESSES.sql()} x UNION ALL SELECT 1000 + page_id AS url_id, url FROM pages)"))
 def flt04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urls = ADDRESSES.df(spark).unionByName(table(spark, sf_dir, "pages").select((F.col("page_id") + 1000).alias("url_id"), "url"))
+    urls = ADDRESSES.df(spark, sf_dir).unionByName(table(spark, sf_dir, "pages").select((F.col("page_id") + 1000).alias("url_id"), "url"))
     return urls.select("url_id", rules.url_refusal(F.col("url")).alias("refusal"))
 
 
@@ -293,15 +300,15 @@ def scl26(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = F.regexp_replace("url", "(?i)^https?://", "")
     host = F.regexp_extract(bare, "^([^/]*)", 1)
     dotted = F.when((host != "") & ~host.contains("."), F.concat(host, F.lit(".com"), F.regexp_replace(bare, "^[^/]*", ""))).otherwise(bare)
-    return ADDRESSES.df(spark).select("url_id", dotted.alias("url"))
+    return ADDRESSES.df(spark, sf_dir).select("url_id", dotted.alias("url"))
 
 
-CREDITS = Literal("model string, label string", (("a", "x0.11 credits"), ("b", "X2 credits"), ("c", "free"), ("d", None), ("e", "x1.5x credits"), ("f", "0.3 credits")))
+CREDITS = Literal("model string, label string", (("a", "x0.11 credits"), ("b", "X2 credits"), ("c", "free"), ("d", None), ("e", "x1.5x credits"), ("f", "0.3 credits")), more=derived.CREDITS)
 
 
 @query("scl27_parse_credits", f"SELECT model, TRY_CAST(regexp_extract(label, '(?i)^x?([0-9]+(?:\\.[0-9]+)?)\\s*credits?$', 1) AS DOUBLE) AS credits FROM {CREDITS.sql()} c")
 def scl27(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CREDITS.df(spark).select("model", F.regexp_extract("label", r"(?i)^x?([0-9]+(?:\.[0-9]+)?)\s*credits?$", 1).try_cast("double").alias("credits"))
+    return CREDITS.df(spark, sf_dir).select("model", F.regexp_extract("label", r"(?i)^x?([0-9]+(?:\.[0-9]+)?)\s*credits?$", 1).try_cast("double").alias("credits"))
 
 
 @query("scl28_extractive_summary", """WITH r AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
@@ -332,13 +339,13 @@ def scl32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", at.alias("at_ms"), (at + 604800000).alias("expires_ms"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
 
 
-BUDGETS = Literal("pool long, runs long, wanted long", ((8, 1, 4), (8, 3, 4), (2, 5, 4), (0, 1, 1), (16, 2, 100), (7, 2, 0)))
+BUDGETS = Literal("pool long, runs long, wanted long", ((8, 1, 4), (8, 3, 4), (2, 5, 4), (0, 1, 1), (16, 2, 100), (7, 2, 0)), more=derived.BUDGETS)
 
 
 @query("scl35_concurrency_budget", f"SELECT pool, runs, wanted, greatest(1, least(greatest(wanted, 1), greatest(pool, 1) // greatest(runs, 1))) AS workers FROM {BUDGETS.sql()} b")
 def scl35(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.floor(F.greatest("pool", F.lit(1)) / F.greatest("runs", F.lit(1))).cast("long")
-    return BUDGETS.df(spark).withColumn("workers", F.greatest(F.lit(1).cast("long"), F.least(F.greatest("wanted", F.lit(1)), share)))
+    return BUDGETS.df(spark, sf_dir).withColumn("workers", F.greatest(F.lit(1).cast("long"), F.least(F.greatest("wanted", F.lit(1)), share)))
 
 
 VALID = Literal(
@@ -352,21 +359,21 @@ VALID = Literal(
     f"WITH t AS (SELECT text_id, {strip_sql(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS s FROM (SELECT * FROM {VALID.sql()} v UNION ALL SELECT 1000 + doc_id, text FROM documents) i) SELECT text_id, length(s) >= 3 AND length(s) < 100000 AND NOT (length(s) < 25 AND {matches('s', '^[A-Z0-9' + chr(92) + 's]+$')} AND NOT {matches('s', '^[0-9' + chr(92) + 's]+$')}) AND {n_of('s', rules.TUPLE_RE)} < 8 AND NOT {matches('s', '^[A-Za-z0-9+/=_-]{200,}$')} AS valid FROM t",
 )
 def flt01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = VALID.df(spark).unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("text_id"), "text"))
+    rows = VALID.df(spark, sf_dir).unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("text_id"), "text"))
     return rows.select("text_id", rules.is_valid_text(F.col("text")).alias("valid"))
 
 
 @query("flt02_trim_invisible", f"SELECT text_id, {strip_sql('text', T.INVISIBLE)} AS text FROM {VALID.sql()} v")
 def flt02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return VALID.df(spark).select("text_id", T.strip(F.col("text"), T.INVISIBLE).alias("text"))
+    return VALID.df(spark, sf_dir).select("text_id", T.strip(F.col("text"), T.INVISIBLE).alias("text"))
 
 
-PROSE = Literal("text_id long, text string", tuple(enumerate(["https://a.b/c", "me@example.com", "deadbeefdeadbeef00", "2024-01-02 10:00", "#fff", "Real words", "12345", "日本", "  #abcdef  ", "a", "---"])))
+PROSE = Literal("text_id long, text string", tuple(enumerate(["https://a.b/c", "me@example.com", "deadbeefdeadbeef00", "2024-01-02 10:00", "#fff", "Real words", "12345", "日本", "  #abcdef  ", "a", "---"])), more=derived.PROSE)
 
 
 @query("flt03_prose_strings", f"WITH t AS (SELECT text_id, {strip_sql('text')} AS s FROM {PROSE.sql()} p) SELECT text_id, length(s) >= 1 AND {matches('s', chr(92) + 'p{L}')}" + "".join(f" AND NOT {matches('s', p)}" for p in rules.NOT_PROSE) + " AS prose FROM t")
 def flt03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PROSE.df(spark).select("text_id", rules.is_prose(F.col("text")).alias("prose"))
+    return PROSE.df(spark, sf_dir).select("text_id", rules.is_prose(F.col("text")).alias("prose"))
 
 
 PARKED = Literal(
@@ -387,7 +394,7 @@ SELECT page_id, CASE WHEN {matches("title", rules.PARKED_TITLE)} THEN 'title' WH
 WHEN length(body) < 5000 AND regexp_matches(body, '(?i)(^|\\W)related searches(\\W|$)') AND regexp_matches(body, '(?i)(^|\\W)privacy policy(\\W|$)') THEN 'template' END AS reason FROM p""",
 )
 def flt05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = PARKED.df(spark).unionByName(table(spark, sf_dir, "pages").select((F.col("page_id") + 1000).alias("page_id"), "html"))
+    rows = PARKED.df(spark, sf_dir).unionByName(table(spark, sf_dir, "pages").select((F.col("page_id") + 1000).alias("page_id"), "html"))
     return rows.select("page_id", rules.parking_reason(rules.page_title(F.col("html")), rules.page_words(F.col("html"))).alias("reason"))
 
 
@@ -398,19 +405,19 @@ def flt09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", T.quote_count(F.col("text")).alias("quotes"), rules.is_dialogue(F.col("text")).alias("dialogue"))
 
 
-NAMES = Literal("name_id long, text string, name string", ((1, "The King Rat spoke.", "king rat"), (2, "Ratking", "rat"), (3, "孙悟空来了", "悟空"), (4, "O'Neil said", "o'neil"), (5, "x y", "z"), (6, "anything", ""), (7, "A b c", "a"), (8, "Jean-Luc came", "jean luc")))
+NAMES = Literal("name_id long, text string, name string", ((1, "The King Rat spoke.", "king rat"), (2, "Ratking", "rat"), (3, "孙悟空来了", "悟空"), (4, "O'Neil said", "o'neil"), (5, "x y", "z"), (6, "anything", ""), (7, "A b c", "a"), (8, "Jean-Luc came", "jean luc")), more=derived.NAMES)
 PAD = "' ' || trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' ') || ' '"
 CONTAINS = f"""CASE WHEN trim(name) = '' THEN false WHEN regexp_matches(name, '(?i)^[a-z0-9 ._''’-]+$') THEN length({PAD.format("name")}) >= 4 AND contains({PAD.format("text")}, {PAD.format("name")}) ELSE contains({collapse_sql("lower(text)")}, {collapse_sql("lower(name)")}) END"""
 
 
 @query("flt11_name_containment", f"SELECT name_id, {CONTAINS} AS contained FROM {NAMES.sql()} n")
 def flt11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return NAMES.df(spark).select("name_id", rules.contains_name(F.col("text"), F.col("name")).alias("contained"))
+    return NAMES.df(spark, sf_dir).select("name_id", rules.contains_name(F.col("text"), F.col("name")).alias("contained"))
 
 
 @query("flt12_target_present", f"""SELECT name_id, CASE WHEN regexp_matches(name, '(?i)^[a-z0-9 ._''’-]+$') THEN {PAD.format("name")} = '  ' OR contains({PAD.format("text")}, {PAD.format("name")}) ELSE contains(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', '', 'g')) END AS present FROM {NAMES.sql()} n""")
 def flt12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return NAMES.df(spark).select("name_id", rules.target_present(F.col("text"), F.col("name")).alias("present"))
+    return NAMES.df(spark, sf_dir).select("name_id", rules.target_present(F.col("text"), F.col("name")).alias("present"))
 
 
 @query("flt13_grounded_quotes", "SELECT b.item_id, d.doc_id, contains(lower(d.text), lower(b.text)) AS grounded FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id WHERE length(b.text) >= 4")
@@ -425,12 +432,12 @@ def flt18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("missing", "is_retry").agg(F.count(F.lit(1)).alias("n"), F.every((F.col("missing") > 0) & ~F.col("is_retry")).alias("should_retry"))
 
 
-STYLES = Literal("style string, language string, target string", ((None, "ja", "zh"), ("default", "ja", "zh-CN"), ("formal", "ja", "zh"), (None, "en", "zh"), ("default", "ja", "ja-JP"), ("", "ja", "EN")))
+STYLES = Literal("style string, language string, target string", ((None, "ja", "zh"), ("default", "ja", "zh-CN"), ("formal", "ja", "zh"), (None, "en", "zh"), ("default", "ja", "ja-JP"), ("", "ja", "EN")), more=derived.STYLES)
 
 
 @query("flt19_source_style", f"SELECT style, language, target, coalesce(style, '') IN ('', 'default') AND language = 'ja' AND NOT starts_with(lower(target), 'ja') AS switched FROM {STYLES.sql()} s")
 def flt19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return STYLES.df(spark).withColumn("switched", F.coalesce("style", F.lit("")).isin("", "default") & (F.col("language") == "ja") & ~F.lower("target").startswith("ja"))
+    return STYLES.df(spark, sf_dir).withColumn("switched", F.coalesce("style", F.lit("")).isin("", "default") & (F.col("language") == "ja") & ~F.lower("target").startswith("ja"))
 
 
 HOSTS = Literal("rule_id long, host string, path string", ((1, "*.example.com", "^/p"), (2, "example.com", None), (3, "*.example.com", None), (4, "other.org", None), (5, "*", "never")))
@@ -475,7 +482,7 @@ def flt07(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("html")
     t, o = T.count_of(h, "bi-(?:inline-)?translation"), T.count_of(h, "bi-(?:inline-)?original")
     spans = F.regexp_extract_all(h, F.lit('class="[^"]*bi-(?:inline-)?translation[^"]*"[^>]*>([^<]*)<'), F.lit(1))
-    c = MARKED.df(spark).withColumns({"t": t, "o": o, "total": F.size(spans), "filled": F.size(F.filter(spans, lambda x: F.btrim(x) != ""))})
+    c = MARKED.df(spark, sf_dir).withColumns({"t": t, "o": o, "total": F.size(spans), "filled": F.size(F.filter(spans, lambda x: F.btrim(x) != ""))})
     verdict = (
         F.when(F.char_length(h) < 100, "short").when(~h.rlike("(?i)<!doctype html|<html"), "root").when(F.col("t") + F.col("o") == 0, "markers")
         .when((F.col("expected") > 0) & (F.col("t") < F.floor(F.col("expected") * 0.9)), "incomplete").when((F.col("total") > 0) & (F.col("filled") < 0.5 * F.col("total")), "empty").otherwise("healthy")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.text import SPACE
+from textloom.plans import derived
 from textloom.plans.base import Literal, query, table
 from textloom.sources import formats
 
@@ -22,6 +23,7 @@ FILES = Literal(
         ("f", "text/html; charset=utf-8"), ("g.docm", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"), ("h.xhtml", None),
         ("i.epub", ""), ("j.unknown", "text/markdown"), ("k.json", "application/json"), ("l", "image/png"), ("m.", "text/plain"), ("epub", None),
     ),
+    more=derived.FILES,
 )
 ENDINGS = " ".join(f"WHEN '{e}' THEN '{k}'" for e, k in formats.EXTENSIONS.items())
 MEDIA = " ".join(f"WHEN contains(lower(coalesce(media, '')), '{p}') THEN '{k}'" for p, k in formats.MEDIA)
@@ -29,7 +31,7 @@ MEDIA = " ".join(f"WHEN contains(lower(coalesce(media, '')), '{p}') THEN '{k}'"
 
 @query("src01_detect_format", f"SELECT name, media, coalesce(CASE lower(string_split(name, '.')[-1]) {ENDINGS} END, CASE {MEDIA} END) AS format FROM {FILES.sql()} f")
 def src01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FILES.df(spark).withColumn("format", formats.detect_format(F.col("name"), F.col("media")))
+    return FILES.df(spark, sf_dir).withColumn("format", formats.detect_format(F.col("name"), F.col("media")))
 
 
 PARAGRAPHS = f"""
@@ -60,7 +62,7 @@ CASE WHEN kind = 'list-item' THEN CASE WHEN regexp_matches(regexp_extract(line,
 {strip_sql("CASE kind WHEN 'heading' THEN regexp_extract(line, '^(#{1,6})\\s+(.*)$', 2) WHEN 'quote' THEN regexp_replace(line, '^>\\s?', '') WHEN 'list-item' THEN regexp_extract(line, '^\\s*([-*+]|\\d+[.)、])\\s+(.*)$', 2) ELSE line END")} AS text FROM k""",
 )
 def src03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = MD_LINES.df(spark).unionByName(table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000).alias("line_no"), F.col("text").alias("line")))
+    lines = MD_LINES.df(spark, sf_dir).unionByName(table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000).alias("line_no"), F.col("text").alias("line")))
     kind, level, marker, text = formats.classify_markdown(F.col("line"))
     return lines.select("line_no", kind.alias("kind"), level.alias("level"), marker.alias("marker"), text.alias("text"))
 
@@ -72,6 +74,7 @@ SRT = Literal(
         (2, "7\r\n01:02.5 --> 01:03.5\r\nshort form\r\n\r\n8\r\n00:00:09,000 --> 00:00:10,000\r\n\r\n9\r\n100:00:00.000 --> 100:00:01.000\r\nlast  "),
         (3, ""),
     ),
+    more=derived.SRT,
 )
 TIME_SQL = formats.TIME
 
@@ -89,7 +92,7 @@ FROM u WHERE regexp_matches(line, '{TIME_SQL}') AND words <> ''""",
 )
 def src04(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.row_number().over(W.partitionBy("file_id").orderBy("block")).cast("long")
-    return formats.srt_cues(SRT.df(spark)).select("file_id", place.alias("cue"), F.coalesce("own_number", place).alias("number"), "start_at", "end_at", "text")
+    return formats.srt_cues(SRT.df(spark, sf_dir)).select("file_id", place.alias("cue"), F.coalesce("own_number", place).alias("number"), "start_at", "end_at", "text")
 
 
 VTT = Literal(
@@ -98,6 +101,7 @@ VTT = Literal(
         (1, "WEBVTT - title\n\nNOTE a comment\nspanning\n\nintro\n00:01.000 --> 00:02.000\nFirst cue\n\nSTYLE\n::cue {}\n\n00:00:03.000 --> 00:00:04.000 align:start\nSecond\ncue"),
         (2, "﻿WEBVTT\n\n00:05.000 --> 00:06.000\n\nNOTES are fine\n00:07.000 --> 00:08.000\nkept"),
     ),
+    more=derived.VTT,
 )
 
 
@@ -113,7 +117,7 @@ replace(regexp_extract(line, '{TIME_SQL}', 2), ',', '.') AS end_at, words AS tex
 )
 def src05(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.row_number().over(W.partitionBy("file_id").orderBy("block")).cast("long")
-    return formats.vtt_cues(VTT.df(spark)).select("file_id", place.alias("cue"), "start_at", "end_at", "text")
+    return formats.vtt_cues(VTT.df(spark, sf_dir)).select("file_id", place.alias("cue"), "start_at", "end_at", "text")
 
 
 @query("src07_json_leaves", "SELECT event_id, '$.' || k AS path, json_extract_string(props, '$.' || k) AS text FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
@@ -196,7 +200,7 @@ SELECT d.stream_id, coalesce(string_agg(json_extract_string(payload, '$.choices[
 FROM d LEFT JOIN e ON d.stream_id = e.stream_id WHERE payload <> '[DONE]' AND (stop IS NULL OR n < stop) GROUP BY d.stream_id""",
 )
 def src21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = SSE.df(spark).select("stream_id", F.posexplode(F.split("body", "\n", -1)).alias("n", "line")).where(F.col("line").startswith("data: "))
+    lines = SSE.df(spark, sf_dir).select("stream_id", F.posexplode(F.split("body", "\n", -1)).alias("n", "line")).where(F.col("line").startswith("data: "))
     data = lines.select("stream_id", "n", F.btrim(F.substring("line", 7, 1_000_000_000)).alias("payload"))
     done = F.min(F.when(F.col("payload") == "[DONE]", F.col("n"))).over(W.partitionBy("stream_id"))
     live = data.withColumn("stop", done).where((F.col("payload") != "[DONE]") & (F.col("stop").isNull() | (F.col("n") < F.col("stop"))))
@@ -214,6 +218,7 @@ def src22(spark: SparkSession, sf_dir: str) -> DataFrame:
 CATALOG = Literal(
     "layer long, model string, credits double, label string",
     ((1, "alpha", 1.0, "env"), (1, "beta", None, "env"), (2, "alpha", 0.5, "user"), (2, "gamma", 2.0, None), (3, "beta", 0.25, "project"), (3, "gamma", None, "project"), (3, "delta", None, None)),
+    more=derived.CATALOG,
 )
 
 
@@ -223,7 +228,7 @@ CATALOG = Literal(
 )
 def src23(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("layer"))).alias(c)
-    return CATALOG.df(spark).groupBy("model").agg(newest("credits"), newest("label"), F.max("layer").alias("layer"))
+    return CATALOG.df(spark, sf_dir).groupBy("model").agg(newest("credits"), newest("label"), F.max("layer").alias("layer"))
 
 
 @query(
