@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.ledger import checkpointed
+
 
 def shared_name_components(nodes: DataFrame, max_rounds: int = 30) -> DataFrame:
     """(node, names) to (node, component): nodes that share a lower-cased name, transitively.
@@ -18,7 +20,7 @@ def shared_name_components(nodes: DataFrame, max_rounds: int = 30) -> DataFrame:
         by_name = named.join(label, "node").groupBy("name").agg(F.min("component").alias("component"))
         lower = named.join(by_name, "name").groupBy("node").agg(F.min("component").alias("lower"))
         new = label.join(lower, "node", "left").select("node", F.least("component", F.coalesce("lower", "component")).alias("component"), (F.col("lower") < F.col("component")).alias("moved"))
-        new = new.checkpoint()
+        new = checkpointed(new)
         if new.where("moved").limit(1).count() == 0:
             return new.drop("moved")
         hop = new.select(F.col("node").alias("component"), F.col("component").alias("further"))

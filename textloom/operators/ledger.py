@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,3 +44,31 @@ def run_outcome(pending: Column, candidates: Column, failed: Column, accepted: C
         .when(failed > 0, "failed")
         .otherwise("completed")
     )
+
+
+def ranked(rows: DataFrame, group: list[str], order: list[str], out: str = "rank") -> DataFrame:
+    """``rows`` with their rank from 1 in their group, by counts per range of (group, order) and ranks within a range.
+
+    No task holds a group: ranges are of equal size, and what goes through a window per group is a
+    row per range.  The ranges are written as a checkpoint, since both steps must see the same."""
+    keys = [*group, *order]
+    placed = checkpointed(rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    counts = placed.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(W.partitionBy(*group, "_range").orderBy(*order))
+    named = counts.select(*[F.col(c).alias(f"_of_{c}") for c in group], F.col("_range").alias("_of"), "_before")
+    on = F.col("_range") == F.col("_of")
+    for c in group:
+        on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return placed.withColumn("_inside", inside).join(named, on).select(*rows.columns, (F.col("_inside") + F.col("_before")).alias(out))
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that ``spark.checkpoint.dir`` names; only a local session without one gets its own."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir") or rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='spark-textloom-', dir='/tmp')}")
+    return rows.checkpoint()

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import rules, text as T
-from textloom.operators import book, graph
+from textloom.operators import book, graph, ledger, passages
 from textloom.plans import derived
 from textloom.plans.base import Literal, query, table
 from textloom.plans.scalars import CONTAINS, PAD, matches, n_of, strip_sql
@@ -278,8 +278,9 @@ def gra12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("gra13_disposition", "SELECT source, doc_id, CASE WHEN n_chars < 200 THEN 'no-evidence' WHEN count(*) FILTER (WHERE n_chars >= 200) OVER (PARTITION BY source ORDER BY doc_id) > 10 THEN 'limit' ELSE 'persist' END AS disposition FROM documents")
 def gra13(spark: SparkSession, sf_dir: str) -> DataFrame:
     fine = F.col("n_chars") >= 200
-    used = F.count_if(fine).over(W.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select("source", "doc_id", F.when(~fine, "no-evidence").when(used > 10, "limit").otherwise("persist").alias("disposition"))
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    persisted = ledger.ranked(d.where(fine), ["source"], ["doc_id"]).select("source", "doc_id", F.when(F.col("rank") > 10, "limit").otherwise("persist").alias("disposition"))
+    return persisted.unionByName(d.where(~fine).select("source", "doc_id", F.lit("no-evidence").alias("disposition")))
 
 
 @query("gra10_graph_read", "WITH n AS (SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 500) SELECT n.p_partkey, n.p_name, count(l.l_orderkey) AS evidence, min(l.l_orderkey) AS first_seen FROM n LEFT JOIN lineitem l ON l.l_partkey = n.p_partkey GROUP BY ALL")
@@ -383,22 +384,18 @@ def aud09(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "aud11_finding_totals",
+    "agg11_finding_totals",
     "SELECT type, count(*) AS n FROM (SELECT CASE WHEN n_chars < 100 THEN 'short' WHEN regexp_matches(text, '[A-Z]{8,}') THEN 'shouting' WHEN contains(text, '@') THEN 'mail' END AS type FROM documents) WHERE type IS NOT NULL GROUP BY type",
 )
-def aud11(spark: SparkSession, sf_dir: str) -> DataFrame:
+def agg11(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("n_chars") < 100, "short").when(F.col("text").rlike("[A-Z]{8,}"), "shouting").when(F.col("text").contains("@"), "mail")
     return table(spark, sf_dir, "documents").select(kind.alias("type")).where("type IS NOT NULL").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("jon08_first_occurrence", "SELECT b.item_id, min(d.doc_id) AS first_doc, count(*) AS docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def jon08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages in texts: both sides meet in an equi join on the hash of the passage's first six words, then the passage is looked for."""
-    b = table(spark, sf_dir, "benchmark").withColumn("words", F.split("text", " ")).select("item_id", F.col("text").alias("passage"), F.xxhash64(F.array_join(F.slice("words", 2, 5), " ")).alias("k"))
-    # a passage may begin inside a word of the text, so the key starts at its second word
-    words = F.split("text", r"\s")
-    d = table(spark, sf_dir, "documents").withColumn("w", words).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " "))))).alias("k"))
-    return d.join(F.broadcast(b), "k").where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("docs"))
+    found = passages.holding(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark"), "item_id")
+    return found.groupBy("item_id").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("docs"))
 
 
 @query(

@@ -160,14 +160,17 @@ def jon15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "jon16_example_candidates",
-    f"""SELECT a.o_custkey, a.o_orderkey, CASE WHEN c.c_mktsegment = 'BUILDING' THEN 0 WHEN a.o_orderkey > 9000 THEN 1 ELSE 2 END AS tier FROM {ACCEPTED} a JOIN customer c ON c.c_custkey = a.o_custkey
-WHERE a.o_orderkey < 12000 AND (a.o_orderkey >= 11750 OR c.c_mktsegment = 'BUILDING' OR contains(lower(a.o_orderpriority), 'urgent')) ORDER BY tier, o_orderkey DESC, o_custkey LIMIT 200""",
+    f"""SELECT a.o_custkey, a.o_orderkey, CASE WHEN c.c_mktsegment = 'BUILDING' THEN 0 WHEN 4 * a.o_orderkey > 3 * m.top THEN 1 ELSE 2 END AS tier FROM {ACCEPTED} a JOIN customer c ON c.c_custkey = a.o_custkey, (SELECT max(o_orderkey) AS top FROM orders) m
+WHERE a.o_orderkey < m.top AND (a.o_orderkey >= m.top - 250 OR c.c_mktsegment = 'BUILDING' OR contains(lower(a.o_orderpriority), 'urgent')) ORDER BY tier, o_orderkey DESC, o_custkey LIMIT 200""",
 )
 def jon16(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     same = F.col("c_mktsegment") == "BUILDING"
-    found = accepted(spark, sf_dir).join(c, "o_custkey").where((F.col("o_orderkey") < 12000) & ((F.col("o_orderkey") >= 11750) | same | F.lower("o_orderpriority").contains("urgent")))
-    tier = F.when(same, 0).when(F.col("o_orderkey") > 9000, 1).otherwise(2)
+    # those before the newest order, a single row
+    newest = F.broadcast(table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("top")))
+    key, top = F.col("o_orderkey"), F.col("top")
+    found = accepted(spark, sf_dir).join(c, "o_custkey").join(newest).where((key < top) & ((key >= top - 250) | same | F.lower("o_orderpriority").contains("urgent")))
+    tier = F.when(same, 0).when(4 * key > 3 * top, 1).otherwise(2)
     return found.select("o_custkey", "o_orderkey", tier.alias("tier")).orderBy("tier", F.col("o_orderkey").desc(), "o_custkey").limit(200)
 
 
@@ -212,10 +215,10 @@ def jon23(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "win02_preceding_context",
-    "SELECT conv_id, turn, role, array_to_string(coalesce(list(left(text, 30)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []), '|') AS before FROM conversations",
+    "SELECT conv_id, turn, role, array_to_string(coalesce(list(left(text, 900)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []), '|') AS before FROM conversations",
 )
 def win02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").withColumn("head", F.substring("text", 1, 30))
+    c = table(spark, sf_dir, "conversations").withColumn("head", F.substring("text", 1, 900))
     return segments.preceding(c, ["conv_id"], ["turn", "role", "text"], "head", 3).select("conv_id", "turn", "role", F.array_join("before", "|").alias("before"))
 
 
@@ -228,7 +231,7 @@ def win03(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("win08_fixed_groups", "SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 4 AS grp, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def win08(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
-    return d.select("doc_id", F.floor((F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1) / 4).alias("grp"), "source")
+    return ledger.ranked(d, ["source"], ["doc_id"]).select("doc_id", F.floor((F.col("rank") - 1) / 4).alias("grp"), "source")
 
 
 @query("win10_duplicate_ids", "WITH r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem) SELECT l_orderkey, count(*) FILTER (WHERE n = 1) AS kept, count(*) FILTER (WHERE n > 1) AS repeated FROM r GROUP BY l_orderkey")
@@ -283,16 +286,16 @@ def top04(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("top05_evict_oldest", "SELECT user_id, first_seen FROM (SELECT user_id, min(event_id) AS first_seen FROM events GROUP BY 1) ORDER BY first_seen DESC LIMIT (SELECT CAST(floor(count(DISTINCT user_id) * 0.8) AS BIGINT) FROM events)")
 def top05(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("first_seen"))
-    bounds = seen.agg(F.floor(F.count(F.lit(1)) * 0.8).alias("keep"))
-    # a single row with the number to keep; the rank runs over one row per user
-    ranked = seen.withColumn("n", F.row_number().over(W.orderBy(F.col("first_seen").desc())))
-    return ranked.join(F.broadcast(bounds), F.col("n") <= F.col("keep")).select("user_id", "first_seen")
+    bounds = seen.agg(F.floor(F.count(F.lit(1)) * 0.8).alias("keep"))  # a single row with the number to keep
+    newest = ledger.ranked(seen.withColumn("age", -F.col("first_seen")), [], ["age"])
+    return newest.join(F.broadcast(bounds), F.col("rank") <= F.col("keep")).select("user_id", "first_seen")
 
 
 @query("top07_even_sample", "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, doc_id FROM r WHERE EXISTS (SELECT 1 FROM range(4) k(j) WHERE i = (k.j * (n - 1)) // 3)")
 def top07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.partitionBy("source")
-    r = table(spark, sf_dir, "documents").select("source", "doc_id", (F.row_number().over(w.orderBy("doc_id")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
+    d = table(spark, sf_dir, "documents").select("source", "doc_id")
+    sizes = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    r = ledger.ranked(d, ["source"], ["doc_id"]).join(sizes, "source").withColumn("i", (F.col("rank") - 1).cast("int"))
     wanted = F.array(*[F.floor(F.lit(j) * (F.col("n") - 1) / 3).cast("int") for j in range(4)])
     return r.where(F.array_contains(wanted, F.col("i"))).select("source", "doc_id")
 
@@ -480,11 +483,15 @@ def agg16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("total"), F.ceil(F.count(F.lit(1)) / 20).alias("pages"))
 
 
-@query("agg18_source_fingerprint", "SELECT source, sha256(string_agg('[' || CAST(doc_id AS VARCHAR) || ',' || sha256(text) || ']', ',' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source")
+@query("agg18_source_fingerprint", "WITH b AS (SELECT source, doc_id // 1000 AS block, sha256(string_agg('[' || CAST(doc_id AS VARCHAR) || ',' || sha256(text) || ']', ',' ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2), c AS (SELECT source, block // 1000 AS part, sha256(string_agg(h, ',' ORDER BY block)) AS h FROM b GROUP BY 1, 2) SELECT source, sha256(string_agg(h, ',' ORDER BY part)) AS fingerprint FROM c GROUP BY source")
 def agg18(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit(","), F.sha2("text", 256), F.lit("]"))
-    rows = table(spark, sf_dir, "documents").select("source", F.struct("doc_id", item.alias("x")).alias("s"))
-    return rows.groupBy("source").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]), ","), 256).alias("fingerprint"))
+    # of blocks of a thousand ids, then of a thousand blocks, then of those: no array holds a source
+    joined = lambda order, h: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(h).alias("x")))), lambda s: s["x"]), ","), 256)
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", item.alias("h"))
+    blocks = rows.groupBy("source", F.floor(F.col("doc_id") / 1000).alias("block")).agg(joined("doc_id", "h").alias("h"))
+    parts = blocks.groupBy("source", F.floor(F.col("block") / 1000).alias("part")).agg(joined("block", "h").alias("h"))
+    return parts.groupBy("source").agg(joined("part", "h").alias("fingerprint"))
 
 
 @query("str04_rate_limit", "SELECT event_id, user_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 SECOND, true) AS spaced FROM events")

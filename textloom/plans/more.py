@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import repair, text as T
-from textloom.operators import book, graph, sampling
+from textloom.operators import book, graph, ledger, sampling
 from textloom.plans import derived
 from textloom.plans.base import Literal, query, table
 from textloom.plans.corpus import BOOK, ENTITIES, NAME_ROWS, segments
@@ -294,14 +294,16 @@ def gra02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("name").agg(F.count_distinct("node").alias("nodes"), first.alias("target"), F.some(F.col("status") == "confirmed").alias("confirmed"))
 
 
-@query("gra08_batch_context", "WITH f AS (SELECT l_partkey, max(l_orderkey) AS last_seen, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT * FROM (VALUES (1, 15000), (2, 30000), (3, 60000)) v(batch, boundary)) SELECT batch, l_partkey, n FROM b JOIN f ON last_seen < boundary QUALIFY row_number() OVER (PARTITION BY batch ORDER BY n DESC, l_partkey) <= 8")
+@query("gra08_batch_context", "WITH b AS (SELECT i AS batch, max(l_orderkey) * i // 4 AS boundary FROM lineitem, (VALUES (1), (2), (3)) v(i) GROUP BY i) SELECT batch, l_partkey, count(*) AS n FROM lineitem JOIN b ON l_orderkey < boundary GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY batch ORDER BY count(*) DESC, l_partkey) <= 8")
 def gra08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.max("l_orderkey").alias("last_seen"), F.count(F.lit(1)).alias("n"))
-    b = spark.createDataFrame([(1, 15000), (2, 30000), (3, 60000)], "batch long, boundary long")
-    seen = f.join(F.broadcast(b), F.col("last_seen") < F.col("boundary"))  # three batches
+    """The nodes of most evidence before each of three batches, which begin at the quarters of the orders."""
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey")
+    top = F.broadcast(rows.agg(F.max("l_orderkey").alias("top")))  # a single row
+    quarters = F.filter(F.array(*[F.lit(i) for i in (1, 2, 3)]), lambda i: F.col("l_orderkey") < F.floor(F.col("top") * i / 4))
+    f = rows.join(top).select("l_partkey", F.explode(quarters).alias("batch")).groupBy("batch", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
     # the best of each hashed part first, then the best of those
     part = W.partitionBy("batch", F.pmod(F.xxhash64("l_partkey"), F.lit(32))).orderBy(F.col("n").desc(), "l_partkey")
-    few = seen.withColumn("r", F.row_number().over(part)).where("r <= 8")
+    few = f.withColumn("r", F.row_number().over(part)).where("r <= 8")
     return few.withColumn("r", F.row_number().over(W.partitionBy("batch").orderBy(F.col("n").desc(), "l_partkey"))).where("r <= 8").select("batch", "l_partkey", "n")
 
 
@@ -361,11 +363,13 @@ def sta08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(hit, "node", "left").select("node", status.alias("status"))
 
 
-@query("sta09_cache_aware_run", "WITH c AS (SELECT sha256(text) AS k, min(doc_id) AS first FROM documents WHERE doc_id < 500 GROUP BY 1), n AS (SELECT doc_id, c.first FROM documents d LEFT JOIN c ON c.k = sha256(d.text) WHERE doc_id >= 500) SELECT doc_id, CASE WHEN first IS NULL THEN 'provider' ELSE 'cache' END AS origin, first FROM n")
+@query("sta09_cache_aware_run", "SELECT doc_id, CASE WHEN first < doc_id THEN 'cache' ELSE 'provider' END AS origin, CASE WHEN first < doc_id THEN first END AS first FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents)")
 def sta09(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("k"))
-    cache = d.where("doc_id < 500").groupBy("k").agg(F.min("doc_id").alias("first"))
-    return d.where("doc_id >= 500").join(cache, "k", "left").select("doc_id", F.when(F.col("first").isNull(), "provider").otherwise("cache").alias("origin"), "first")
+    # a text is sent once, by the first document that holds it; the others read it from the cache
+    cache = d.groupBy("k").agg(F.min("doc_id").alias("first"))
+    held = F.col("first") < F.col("doc_id")
+    return d.join(cache, "k").select("doc_id", F.when(held, "cache").otherwise("provider").alias("origin"), F.when(held, F.col("first")).alias("first"))
 
 
 @query("sta10_retry_pass", "WITH a AS (SELECT doc_id, doc_id % 7 <> 0 AS ok FROM documents), b AS (SELECT doc_id, doc_id % 14 <> 0 AS ok FROM a WHERE NOT ok) SELECT a.doc_id, CASE WHEN a.ok THEN 1 WHEN b.ok THEN 2 END AS pass FROM a LEFT JOIN b USING (doc_id)")
@@ -389,8 +393,8 @@ def ext32(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("snk07_revision_rows", "SELECT source AS revision, doc_id AS segment, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ordinal, sha256(text) AS source_hash FROM documents")
 def snk07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("revision"), F.col("doc_id").alias("segment"), n.alias("ordinal"), F.sha2("text", 256).alias("source_hash"))
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2("text", 256).alias("source_hash"))
+    return ledger.ranked(d, ["source"], ["doc_id"]).select(F.col("source").alias("revision"), F.col("doc_id").alias("segment"), (F.col("rank") - 1).alias("ordinal"), "source_hash")
 
 
 @query("scl19_decoded_entities", "SELECT page_id, replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&') AS title FROM pages")

@@ -132,11 +132,11 @@ def snk08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.col("n_chars").alias("chars"), "lang", F.size(F.split("text", "\n", -1)).alias("lines"))).alias("features"))
 
 
-@query("snk05_session_merge", "SELECT conv_id, string_agg(k || '=' || v, ';' ORDER BY k) AS translations FROM (SELECT conv_id, role AS k, arg_max(left(text, 20), (turn, role, text)) AS v FROM conversations GROUP BY 1, 2) WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 ORDER BY max(turn) DESC, conv_id LIMIT 30) GROUP BY conv_id")
+@query("snk05_session_merge", "SELECT conv_id, string_agg(k || '=' || v, ';' ORDER BY k) AS translations FROM (SELECT conv_id, role AS k, arg_max(text, (turn, role, text)) AS v FROM conversations GROUP BY 1, 2) WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 ORDER BY max(turn) DESC, conv_id LIMIT 30) GROUP BY conv_id")
 def snk05(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     newest = c.groupBy("conv_id").agg(F.max("turn").alias("t")).orderBy(F.col("t").desc(), "conv_id").limit(30).select("conv_id")
-    last = c.join(newest, "conv_id", "left_semi").groupBy("conv_id", F.col("role").alias("k")).agg(F.max_by(F.substring("text", 1, 20), F.struct("turn", "role", "text")).alias("v"))
+    last = c.join(newest, "conv_id", "left_semi").groupBy("conv_id", F.col("role").alias("k")).agg(F.max_by("text", F.struct("turn", "role", "text")).alias("v"))
     return last.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "k", "v"))), ";").alias("translations"))
 
 

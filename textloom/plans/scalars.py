@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import rules, text as T
 from textloom.functions.text import SPACE
+from textloom.operators import passages
 from textloom.plans import derived
 from textloom.plans.base import Literal, query, table
 
@@ -420,10 +421,13 @@ def flt12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NAMES.df(spark, sf_dir).select("name_id", rules.target_present(F.col("text"), F.col("name")).alias("present"))
 
 
-@query("flt13_grounded_quotes", "SELECT b.item_id, d.doc_id, contains(lower(d.text), lower(b.text)) AS grounded FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id WHERE length(b.text) >= 4")
+@query("flt13_grounded_quotes", "SELECT b.item_id, count(d.doc_id) > 0 AS grounded, count(d.doc_id) AS documents FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) >= 4 GROUP BY b.item_id")
 def flt13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, d = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "quote"), table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    return d.join(b, "item_id").where(F.char_length("quote") >= 4).select("item_id", "doc_id", F.lower("text").contains(F.lower("quote")).alias("grounded"))
+    """Every quote against every document."""
+    quotes = table(spark, sf_dir, "benchmark").where(F.char_length("text") >= 4)
+    found = passages.holding(table(spark, sf_dir, "documents"), "doc_id", quotes, "item_id").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return quotes.join(found, "item_id", "left").select("item_id", (n > 0).alias("grounded"), n.alias("documents"))
 
 
 @query("flt18_retry_missing", "SELECT o_orderkey % 7 AS missing, o_orderstatus = 'F' AS is_retry, count(*) AS n, bool_and(o_orderkey % 7 > 0 AND o_orderstatus <> 'F') AS should_retry FROM orders GROUP BY 1, 2")
