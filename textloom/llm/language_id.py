@@ -44,7 +44,7 @@ PER_LANGUAGE = 1000
 ROUNDS = 2
 #: Bytes after which a forward pass is scaled anew, and numbers that its arrays may hold.
 BLOCK, CELLS = 32, 4_000_000
-#: Words whose scores a Python worker keeps; a cache, cleared when full.
+#: Words whose scores a Python worker keeps before those not met lately are let go.
 CACHE_WORDS = 200_000
 #: Expected count that every piece starts with.
 SMOOTHING = 0.01
@@ -61,35 +61,54 @@ class Lattice:
     """All segmentations of words into pieces of a vocabulary of byte strings."""
 
     def __init__(self, path: str):
-        import ahocorasick
         import regex
 
         with open(path, "rb") as f:
-            pieces = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
-        self.n = len(pieces)
-        self.machine = ahocorasick.Automaton()
-        for i, piece in enumerate(pieces):
-            if not any(c < 128 and not chr(c).isalpha() for c in piece.removeprefix(b" ")):
-                self.machine.add_word(piece.decode("latin-1"), (i, len(piece)))
-        self.machine.make_automaton()
+            lines = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
+        self.n = len(lines)
+        self.pieces = {piece: i for i, piece in enumerate(lines) if not any(c < 128 and not chr(c).isalpha() for c in piece.removeprefix(b" "))}
+        # the pieces of each length, by hash
+        self.by_length: list[tuple[np.ndarray, np.ndarray]] = []
+        for size in range(1, max(map(len, self.pieces)) + 1):
+            own = [p for p in self.pieces if len(p) == size]
+            rows = np.frombuffer(b"".join(own), dtype=np.uint8).reshape(len(own), size)
+            rolled = np.zeros(len(own), dtype=np.uint64)
+            for j in range(size):
+                rolled = _longer(rolled, rows[:, j])
+            keys = _mixed(rolled)
+            order = np.argsort(keys)
+            if len(np.unique(keys)) < len(own):
+                raise ValueError("two pieces have one hash")
+            self.by_length.append((keys[order], np.array([self.pieces[own[i]] for i in order], dtype=np.int32)))
         self.words = regex.compile(r"\p{L}+").findall
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The length of each word in bytes; edges: word, begin, end, piece."""
-        length: list[int] = []
-        at: list[int] = []
-        begin: list[int] = []
-        end: list[int] = []
-        piece: list[int] = []
-        for w, word in enumerate(words):
-            raw = (" " + word).encode().decode("latin-1")
-            length.append(len(raw))
-            for last, (i, n) in self.machine.iter(raw):
-                at.append(w)
-                begin.append(last + 1 - n)
-                end.append(last + 1)
-                piece.append(i)
-        return tuple(np.array(x, dtype=np.int32) for x in (length, at, begin, end, piece))
+        """The length of each word in bytes; edges: word, begin, end, piece.
+
+        All substrings of a length are looked up at once, by hash."""
+        raw = [(" " + word).encode() for word in words]
+        length = np.array([len(x) for x in raw], dtype=np.int32)
+        points = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        word = np.repeat(np.arange(len(raw), dtype=np.int32), length)
+        place = np.arange(len(points)) - np.repeat(np.cumsum(length) - length, length)
+        left = length[word] - place
+        at, rolled = np.arange(len(points)), np.zeros(len(points), dtype=np.uint64)
+        begins, sizes, pieces = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int32)]
+        for size, (keys, numbers) in enumerate(self.by_length, 1):
+            fits = left[at] >= size
+            at = at[fits]
+            rolled = _longer(rolled[fits], points[at + size - 1])
+            if not len(keys):
+                continue
+            h = _mixed(rolled)
+            i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[i] == h
+            begins.append(at[hit])
+            sizes.append(np.full(int(hit.sum()), size, dtype=np.int32))
+            pieces.append(numbers[i[hit]])
+        from_ = np.concatenate(begins)
+        begin = place[from_].astype(np.int32)
+        return length, word[from_], begin, begin + np.concatenate(sizes), np.concatenate(pieces)
 
     def forward(self, length: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """alpha[word, place, language] and scale[word, block, language]: the log of what alpha was divided by there.
@@ -133,6 +152,17 @@ class Lattice:
         return np.exp(log - self.likelihoods(length, alpha, a)[at])
 
 
+def _longer(rolled: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Hashes of strings that are one byte longer."""
+    with np.errstate(over="ignore"):
+        return rolled * np.uint64(0x9E3779B97F4A7C15) + points + np.uint64(1)
+
+
+def _mixed(rolled: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (rolled ^ (rolled >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+
+
 def _block(place):
     """The block of a place: 1..BLOCK are of the first, with place 0."""
     return np.maximum(place - 1, 0) // BLOCK
@@ -233,9 +263,7 @@ class Scorer:
         self.table = np.zeros((0, len(langs)))
 
     def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-            self.table = np.zeros((0, len(self.langs)))
+        """Add the words' log likelihoods to the table."""
         total = np.zeros((len(words), len(self.langs)))
         for part in batches(words, len(self.langs)):
             length, at, begin, end, piece = self.lattice.edges([words[i] for i in part])
@@ -258,7 +286,10 @@ class Scorer:
         distinct = set().union(*group)
         new = distinct - self.known.keys()
         if len(self.known) + len(new) > CACHE_WORDS:
-            new = distinct
+            # keep what this group asks for
+            held = list(distinct & self.known.keys())
+            self.table = self.table[[self.known[w] for w in held]]
+            self.known = {w: i for i, w in enumerate(held)}
         if new:
             self.learn(list(new))
         known, table = self.known, self.table
