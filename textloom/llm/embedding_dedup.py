@@ -43,11 +43,13 @@ from pyspark.sql import functions as F
 
 from textloom.llm.blocks import in_blocks, local_roots, runs
 from textloom.llm.components import connected_components
-from textloom.llm.storage import save
+from textloom.llm.storage import save, shuffle_partitions
 
 PIVOTS, NEAREST, SHARED, AGREE = 128, 6, 3, 7
 THRESHOLD = 0.93
 BLOCK = 512
+#: Rows of a list that is compared together with other lists rather than in blocks of its own.
+FEW = 32
 #: Vectors that reference points are chosen from, and the cosine that any two stay below.
 SAMPLE, APART = 2048, 0.6
 CLASS = ["g", "e1", "e2"]
@@ -130,31 +132,61 @@ def inverted_lists(classes: DataFrame, points: dict[int, np.ndarray], nearest: i
     return classes.select("g", "node", "vector").mapInPandas(describe, "g long, list long, node long, order binary, top long")
 
 
+def judged_pairs(first: np.ndarray, second: np.ndarray, top: np.ndarray, shared: int, agree: int) -> np.ndarray:
+    """Which pairs of permutations, one of ``first`` with one of ``second``, agree and count in their list.
+
+    A point at places i and j is common to all prefixes longer than both: it adds q - max(i, j)."""
+    q = first.shape[-1]
+    weights = q - np.maximum.outer(np.arange(q), np.arange(q))
+    agreement, smaller = 0, 0
+    for i in range(q):
+        for j in range(q):
+            same = first[..., i] == second[..., j]
+            agreement = agreement + same * np.uint8(weights[i, j])
+            smaller = smaller + (same & (first[..., i] <= top)).view(np.uint8)
+    # a pair counts in the list of its smallest shared points; few points allow less
+    return (agreement >= min(agree, q * (q + 1) // 2)) & (smaller <= min(shared, q))
+
+
 def candidate_pairs(orders: list[bytes], top: int, shared: int, agree: int) -> np.ndarray:
-    """Which pairs of a list agree in their permutations and count in this list."""
+    """Which pairs of a list are candidates, as a matrix."""
     permutation = np.frombuffer(b"".join(orders), dtype=np.uint8).reshape(len(orders), -1)
-    q = permutation.shape[1]
-    rows = np.arange(len(orders))
-    prefix = np.zeros((len(orders), 256), dtype=np.float32)
-    agreement = np.zeros((len(orders), len(orders)), dtype=np.float32)
-    for j in range(q):
-        prefix[rows, permutation[:, j]] = 1
-        agreement += prefix @ prefix.T
-    # a pair counts in the list of its smallest shared points
-    below = prefix[:, : top + 1]
-    # few points allow less
-    found = (agreement >= min(agree, q * (q + 1) // 2)) & (below @ below.T <= min(shared, q))
+    found = judged_pairs(permutation[:, None], permutation[None, :], np.uint8(top), shared, agree)
     np.fill_diagonal(found, False)
     return found
 
 
+def small_lists(frame: pd.DataFrame, ends: np.ndarray, most: int, shared: int, agree: int) -> np.ndarray:
+    """Rows that are part of a candidate, of the lists of at most ``most`` rows that end at ``ends``; all at once."""
+    starts = np.r_[0, ends[:-1]]
+    sizes = ends - starts
+    has = np.zeros(len(frame), dtype=bool)
+    order, top = frame["order"].tolist(), frame["top"].to_numpy()
+    for n in np.unique(sizes[(sizes > 1) & (sizes <= most)]).tolist():
+        i, j = np.triu_indices(n, 1)
+        begin = starts[sizes == n]
+        for part in range(0, len(begin), max(1, 200_000 // len(i))):
+            rows = begin[part : part + max(1, 200_000 // len(i))][:, None] + np.arange(n)
+            # lists of vectors of another length have permutations of another size
+            width = np.array([len(order[r]) for r in rows[:, 0].tolist()])
+            for q in np.unique(width).tolist():
+                own = rows[width == q]
+                p = np.frombuffer(b"".join([order[r] for r in own.ravel().tolist()]), dtype=np.uint8).reshape(len(own), n, q)
+                a, b = np.nonzero(judged_pairs(p[:, i], p[:, j], top[own[:, :1]], shared, agree))
+                has[own[a, i[b]]] = True
+                has[own[a, j[b]]] = True
+    return has
+
+
 def with_candidates(lists: DataFrame, shared: int, agree: int, block: int) -> DataFrame:
     """The entries (g, list, node, order, top, in_list) that are part of a candidate."""
     counts = save(lists.groupBy(*LIST).agg(F.count(F.lit(1)).alias("in_list")).where(F.col("in_list") > 1), "vector-lists")
     # written, so that both sides of the join are shuffled and a long list can be split
     met = lists.join(counts.hint("merge"), LIST)
 
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [*LIST, "node", "order", "top"]
+
+    def compare_large(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in runs(frames, [*LIST, "left", "right"]):
             side = group["side"].to_numpy()
             crossed = group["left"].iat[0] != group["right"].iat[0]
@@ -165,9 +197,28 @@ def with_candidates(lists: DataFrame, shared: int, agree: int, block: int) -> Da
                 found &= side[:, None] != side[None, :]
             has = found.any(axis=1)
             if has.any():
-                yield group.loc[has, [*LIST, "node", "order", "top"]]
+                yield group.loc[has, columns]
 
-    found = in_blocks(met, LIST, "node", block, counted="in_list").mapInPandas(compare, "g long, list long, node long, order binary, top long")
+    def compare_small(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carry: pd.DataFrame | None = None
+        for frame in frames:
+            whole = frame if carry is None else pd.concat([carry, frame], ignore_index=True)
+            k = whole[LIST].to_numpy()
+            ends = np.r_[np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, len(whole)]
+            last = int(ends[-2]) if len(ends) > 1 else 0
+            carry = whole.iloc[last:]
+            done = whole.iloc[:last]
+            if last:
+                yield done.loc[small_lists(done, ends[:-1], FEW, shared, agree), columns]
+        if carry is not None and len(carry):
+            carry = carry.reset_index(drop=True)
+            yield carry.loc[small_lists(carry, np.array([len(carry)]), FEW, shared, agree), columns]
+
+    schema = "g long, list long, node long, order binary, top long"
+    key = F.col("in_list") <= FEW
+    few = met.where(key).repartition(shuffle_partitions(lists.sparkSession), *LIST).sortWithinPartitions(*LIST, "node").mapInPandas(compare_small, schema)
+    many = in_blocks(met.where(~key), LIST, "node", block, counted="in_list").mapInPandas(compare_large, schema)
+    found = few.unionByName(many)
     entries = save(found.dropDuplicates([*LIST, "node"]), "vector-candidates")
     again = save(entries.groupBy(*LIST).agg(F.count(F.lit(1)).alias("in_list")), "vector-lists")
     return entries.join(again.hint("merge"), LIST)
