@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.rules import is_dialogue
 from textloom.functions.text import bare_words, sentence_units, strip
+from textloom.operators import ledger
 
 NAME = r"\p{Lu}\p{Ll}{2,}(?:[’'-]\p{Lu}?\p{Ll}+)*"
 TOKEN = r"[\p{L}\p{N}_]+(?:[’'-][\p{L}\p{N}_]+)*"
@@ -90,9 +91,11 @@ def repeated_passages(units: DataFrame, top: int = 80, ids: int = 16) -> DataFra
 
 def chapters(segments: DataFrame) -> DataFrame:
     """A row per chapter in order of first appearance, with its first, middle and last segment."""
-    w = W.partitionBy("chapter")
-    placed = segments.select("chapter", "segment", F.char_length("text").alias("n"), is_dialogue(F.col("text")).alias("d"), F.row_number().over(w.orderBy("segment")).alias("i"), F.count(F.lit(1)).over(w).alias("k"))
-    return placed.groupBy("chapter").agg(
-        F.count(F.lit(1)).alias("segments"), F.sum("n").alias("n_chars"), F.count_if("d").alias("dialogues"), F.min("segment").alias("first"),
-        F.max(F.when(F.col("i") == F.floor((F.col("k") - 1) / 2) + 1, F.col("segment"))).alias("middle"), F.max("segment").alias("last"),
-    )
+    slim = segments.select("chapter", "segment", F.char_length("text").alias("n"), is_dialogue(F.col("text")).alias("d"))
+    whole = slim.groupBy("chapter").agg(
+        F.count(F.lit(1)).alias("segments"), F.sum("n").alias("n_chars"), F.count_if("d").alias("dialogues"), F.min("segment").alias("first"), F.max("segment").alias("last")
+    )
+    ranks = ledger.ranked(segments.select("chapter", "segment"), ["chapter"], ["segment"])
+    sizes = whole.select(F.col("chapter").alias("of"), "segments")
+    middle = ranks.join(sizes, F.col("chapter").eqNullSafe(F.col("of"))).where(F.col("rank") == F.floor((F.col("segments") - 1) / 2) + 1).select("of", F.col("segment").alias("middle"))
+    return whole.join(middle, F.col("chapter").eqNullSafe(F.col("of"))).select("chapter", "segments", "n_chars", "dialogues", "first", "middle", "last")

@@ -126,7 +126,7 @@ def ext10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ext25_review_retry_groups", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 4 AS grp FROM (SELECT item_id AS doc_id FROM benchmark WHERE item_id % 3 = 1)")
 def ext25(spark: SparkSession, sf_dir: str) -> DataFrame:
     missing = table(spark, sf_dir, "benchmark").where("item_id % 3 = 1").select(F.col("item_id").alias("doc_id"))
-    return missing.select("doc_id", F.floor((F.row_number().over(W.orderBy("doc_id")) - 1) / 4).alias("grp"))  # a row per missing item of one batch
+    return ledger.ranked(missing, [], ["doc_id"]).select("doc_id", F.floor((F.col("rank") - 1) / 4).alias("grp"))
 
 
 @query("ext33_terms_of_site", "SELECT page_id, list_transform([1, 2], lambda i: 'term' || CAST(i AS VARCHAR)) || CASE WHEN page_id % 2 = 0 THEN ['site'] ELSE [] END AS terms FROM pages")
