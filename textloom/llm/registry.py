@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, embedding_dedup, importance, language_id, line_dedup, mixing, order_minhash, secret_scan, substring_dedup, syncmers
+from textloom.llm import bpe, embedding_dedup, importance, language_id, line_dedup, merkle, mixing, order_minhash, secret_scan, substring_dedup, syncmers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": language_id.op8_language_id,
         "op9_mixing": mixing.op9_mixing,
         "op10_bpe": bpe.op10_bpe,
+        "op11_manifest": merkle.op11_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.ORACLE_SQL,
+        "op11_manifest": merkle.ORACLE_SQL,
     }
