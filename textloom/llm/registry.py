@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, embedding_dedup, importance, language_id, line_dedup, merkle, mixing, order_minhash, secret_scan, substring_dedup, syncmers
+from textloom.llm import bpe, embedding_dedup, importance, language_id, line_dedup, merkle, mixing, order_minhash, prefix_tokens, secret_scan, substring_dedup, syncmers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": mixing.op9_mixing,
         "op10_bpe": bpe.op10_bpe,
         "op11_manifest": merkle.op11_manifest,
+        "op12_token_counts": prefix_tokens.op12_token_counts,
     }
 
 
