@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, embedding_dedup, importance, language_id, line_dedup, merkle, mixing, order_minhash, prefix_tokens, secret_scan, substring_dedup, syncmers
+from textloom.llm import bpe, collocations, embedding_dedup, importance, language_id, line_dedup, merkle, mixing, order_minhash, prefix_tokens, secret_scan, substring_dedup, syncmers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_bpe": bpe.op10_bpe,
         "op11_manifest": merkle.op11_manifest,
         "op12_token_counts": prefix_tokens.op12_token_counts,
+        "op13_collocations": collocations.op13_collocations,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.ORACLE_SQL,
         "op11_manifest": merkle.ORACLE_SQL,
+        "op13_collocations": collocations.ORACLE_SQL,
     }
