@@ -44,9 +44,11 @@ OUT_ROWS = 100_000
 #: Words of the longest phrase.
 WORDS = 3
 #: Bits of the bitmap for each key, and the keys up to which there is one (64 MB).
-KEY_BITS = 32
+KEY_BITS = 16
 MOST_KEYS = 1 << 27
 MOST_BITS = 1 << 29
+#: Bits of a stretch of the bitmap that one group of keys makes (a power of two).
+CHUNK_BITS = 1 << 19
 UNKNOWN = "und"
 #: Parts of a language's phrases that are ranked on their own before its first ``most`` are.
 RANK_PARTS = 32
@@ -189,37 +191,41 @@ def _keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"h": h[i : i + OUT_ROWS], "c": c[i : i + OUT_ROWS]})
 
 
-def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(bits - 1)
-    return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
-
-
 class Bitmap:
     """Membership of hashes, with false hits but no misses."""
 
     def __init__(self, bits: int, packed: np.ndarray):
         self.bits, self.packed = bits, packed
 
+    def _set(self, slot: np.ndarray) -> np.ndarray:
+        return self.packed[slot >> 3] >> (slot & 7).astype(np.uint8) & 1
+
     def has(self, h: np.ndarray) -> np.ndarray:
-        a, b = _slots(h, self.bits)
-        one = np.uint64(1)
-        return ((self.packed[a >> 6] >> (a & 63).astype(np.uint64)) & (self.packed[b >> 6] >> (b & 63).astype(np.uint64)) & one).astype(bool)
+        mask = np.uint64(self.bits - 1)
+        return (self._set((h & mask).astype(np.int64)) & self._set(((h >> np.uint64(32)) & mask).astype(np.int64))).astype(bool)
 
 
 def bitmap(keys: DataFrame) -> Bitmap | None:
     """The hashes of column ``h`` as a bitmap; none where they are too many for it to help.
 
-    At most ``MOST_BITS`` bits come to the driver, aggregated to words of 64."""
+    Stretches of it are made by groups of keys; at most ``MOST_BITS`` bits come to the driver."""
     n = keys.count()
     if n > MOST_KEYS:
         return None
-    bits = min(MOST_BITS, max(1 << 12, 1 << (n * KEY_BITS - 1).bit_length() if n else 0))
+    bits = min(MOST_BITS, max(CHUNK_BITS, 1 << (n * KEY_BITS - 1).bit_length() if n else 0))
     mask = F.lit(bits - 1)
-    both = keys.select(F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask))).alias("slot"))
-    words = both.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("word"))
-    packed = np.zeros(bits >> 6, dtype=np.uint64)
-    found = words.toPandas()
-    packed[found["at"].to_numpy(dtype=np.int64)] = found["word"].to_numpy(dtype=np.int64).view(np.uint64)
+    slots = keys.select(F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask))).alias("slot"))
+
+    def stretch(chunk: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(CHUNK_BITS, dtype=np.uint8)
+        held[frame["slot"].to_numpy() & (CHUNK_BITS - 1)] = 1
+        return pd.DataFrame({"chunk": [int(chunk[0])], "bits": [np.packbits(held, bitorder="little").tobytes()]})
+
+    chunks = slots.withColumn("chunk", (F.col("slot") / CHUNK_BITS).cast("int")).groupBy("chunk").applyInPandas(stretch, "chunk int, bits binary")
+    packed = np.zeros(bits >> 3, dtype=np.uint8)
+    size = CHUNK_BITS >> 3
+    for row in chunks.toLocalIterator():
+        packed[row.chunk * size : (row.chunk + 1) * size] = np.frombuffer(row.bits, dtype=np.uint8)
     return Bitmap(bits, packed)
 
 
