@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from textloom.llm.storage import save, shuffle_partitions, small_batches
 
 #: Words of a shard.
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 800_000
 #: Bytes of text whose words are told apart together.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 #: Rows that leave a task together.
-OUT_ROWS = 100_000
+OUT_ROWS = 50_000
 #: Words of the longest phrase.
 WORDS = 3
 #: Bits of the bitmap for each key, and the keys up to which there is one (64 MB).
@@ -114,8 +114,9 @@ def shards(frames: Iterator[pd.DataFrame]) -> Iterator[Shard]:
                 shard.add(lang, raw[at:stop])
                 at = stop
                 if shard.size >= SHARD_WORDS:
-                    yield shard
-                    shard = Shard()
+                    full, shard = shard, Shard()
+                    yield full
+                    del full
     if shard.size:
         yield shard
 
@@ -125,19 +126,18 @@ def suffix_array(ids: np.ndarray, rest: np.ndarray, words: int) -> tuple[np.ndar
 
     Prefix doubling: the rank by 2h words is that of the pair of ranks by h words, here and h words on; a
     piece that ends before counts as the lowest."""
-    ranks = [ids.astype(np.int64)]
+    ranks = [ids]
     h = 1
     order = np.argsort(ranks[0], kind="stable")
     while h < words:
         own = ranks[-1]
-        beyond = np.zeros(len(own), dtype=np.int64)
+        key = own.astype(np.int64) * (int(own.max()) + 2)
         inside = np.flatnonzero(rest > h)
-        beyond[inside] = own[inside + h] + 1
-        key = own * (int(own.max()) + 2) + beyond
+        key[inside] += own[inside + h] + 1
         order = np.argsort(key, kind="stable")
         fresh = key[order]
-        rank = np.empty(len(own), dtype=np.int64)
-        rank[order] = np.cumsum(np.r_[False, fresh[1:] != fresh[:-1]])
+        rank = np.empty(len(own), dtype=np.int32)
+        rank[order] = np.cumsum(np.r_[False, fresh[1:] != fresh[:-1]], dtype=np.int32)
         ranks.append(rank)
         h *= 2
     return order, ranks
@@ -179,16 +179,21 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """First pass: (h, c) of the words and pairs of words of each shard."""
     for shard in shards(frames):
-        ids, rest = np.concatenate(shard.ids), np.concatenate(shard.rest)
-        own = _hashes(shard)
-        order, ranks = suffix_array(ids, rest, 2)
-        shared = shared_words(order, ranks, rest, 2)
-        one, times = intervals(order, shared, rest, 1)
-        two, pair_times = intervals(order, shared, rest, 2)
-        h = np.concatenate([own[ids[one]], _pair(own[ids[two]], own[ids[two + 1]])]).view(np.int64)
-        c = np.concatenate([times, pair_times])
-        for i in range(0, len(h), OUT_ROWS):
-            yield pd.DataFrame({"h": h[i : i + OUT_ROWS], "c": c[i : i + OUT_ROWS]})
+        yield from _keys_of(shard)
+        del shard
+
+
+def _keys_of(shard: Shard) -> Iterator[pd.DataFrame]:
+    ids, rest = np.concatenate(shard.ids), np.concatenate(shard.rest)
+    own = _hashes(shard)
+    order, ranks = suffix_array(ids, rest, 2)
+    shared = shared_words(order, ranks, rest, 2)
+    one, times = intervals(order, shared, rest, 1)
+    two, pair_times = intervals(order, shared, rest, 2)
+    h = np.concatenate([own[ids[one]], _pair(own[ids[two]], own[ids[two + 1]])]).view(np.int64)
+    c = np.concatenate([times, pair_times])
+    for i in range(0, len(h), OUT_ROWS):
+        yield pd.DataFrame({"h": h[i : i + OUT_ROWS], "c": c[i : i + OUT_ROWS]})
 
 
 class Bitmap:
@@ -233,33 +238,39 @@ def _phrases(frames: Iterator[pd.DataFrame], frequent: Bitmap | None) -> Iterato
     """Second pass: (lang, n, phrase, c) of the n-grams of each shard whose words and pairs are all
     frequent by the bitmap; n = 0 has the number of all words."""
     for shard in shards(frames):
-        ids, rest = np.concatenate(shard.ids), np.concatenate(shard.rest)
-        langs, spelt = shard.words()
-        lang_of = np.array(langs, dtype=object)
-        words = np.array([w.decode() for w in spelt], dtype=object)
-        order, ranks = suffix_array(ids, rest, WORDS)
-        shared = shared_words(order, ranks, rest, WORDS)
+        yield from _phrases_of(shard, frequent)
+        del shard
+
+
+def _phrases_of(shard: Shard, frequent: Bitmap | None) -> Iterator[pd.DataFrame]:
+    ids, rest = np.concatenate(shard.ids), np.concatenate(shard.rest)
+    langs, spelt = shard.words()
+    lang_of = np.array(langs, dtype=object)
+    words = np.array([w.decode() for w in spelt], dtype=object)
+    order, ranks = suffix_array(ids, rest, WORDS)
+    shared = shared_words(order, ranks, rest, WORDS)
+    del ranks
+    if frequent is not None:
+        own = _hashes(shard)
+        good = frequent.has(own)[ids]
+        pair = np.zeros(len(ids), dtype=bool)
+        at = np.flatnonzero((rest > 1) & good)
+        at = at[good[at + 1]]
+        pair[at] = frequent.has(_pair(own[ids[at]], own[ids[at + 1]]))
+    for n in range(1, WORDS + 1):
+        place, times = intervals(order, shared, rest, n)
+        if n == 1:
+            for lang in shard.numbers:
+                yield pd.DataFrame({"lang": [lang], "n": [0], "phrase": [""], "c": [int(times[lang_of[ids[place]] == lang].sum())]})
         if frequent is not None:
-            own = _hashes(shard)
-            good = frequent.has(own)[ids]
-            pair = np.zeros(len(ids), dtype=bool)
-            at = np.flatnonzero((rest > 1) & good)
-            at = at[good[at + 1]]
-            pair[at] = frequent.has(_pair(own[ids[at]], own[ids[at + 1]]))
-        for n in range(1, WORDS + 1):
-            place, times = intervals(order, shared, rest, n)
-            if n == 1:
-                for lang in shard.numbers:
-                    yield pd.DataFrame({"lang": [lang], "n": [0], "phrase": [""], "c": [int(times[lang_of[ids[place]] == lang].sum())]})
-            if frequent is not None:
-                keep = good[place] if n == 1 else np.logical_and.reduce([pair[place + k] for k in range(n - 1)])
-                place, times = place[keep], times[keep]
-            for i in range(0, len(place), OUT_ROWS):
-                p = place[i : i + OUT_ROWS]
-                phrase = words[ids[p]]
-                for k in range(1, n):
-                    phrase = phrase + " " + words[ids[p + k]]
-                yield pd.DataFrame({"lang": lang_of[ids[p]], "n": np.full(len(p), n, dtype=np.int32), "phrase": phrase, "c": times[i : i + OUT_ROWS]})
+            keep = good[place] if n == 1 else np.logical_and.reduce([pair[place + k] for k in range(n - 1)])
+            place, times = place[keep], times[keep]
+        for i in range(0, len(place), OUT_ROWS):
+            p = place[i : i + OUT_ROWS]
+            phrase = words[ids[p]]
+            for k in range(1, n):
+                phrase = phrase + " " + words[ids[p + k]]
+            yield pd.DataFrame({"lang": lang_of[ids[p]], "n": np.full(len(p), n, dtype=np.int32), "phrase": phrase, "c": times[i : i + OUT_ROWS]})
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10) -> DataFrame:
