@@ -11,11 +11,14 @@ from textloom.functions.text import SPACE, collapse, count_of, count_sentences,
 SPEECH = "said|asked|replied|answered|whispered|shouted|murmured|called|cried|snapped|remarked|wondered|added|insisted|began|continued|laughed|sighed|told"
 SPEECH_RE = f"(?i)(^|[^A-Za-z0-9_])({SPEECH})($|[^A-Za-z0-9_])"
 DASH_RE = rf"(^|[{SPACE}])[—–][{SPACE}]*\p{{Lu}}"
+# fixed values: a pair of a quoted name and a number, as bundlers list their parts
 TUPLE_RE = r"""\[\s*['"][^'"]+['"]\s*,\s*-?\d+(?:\.\d+)?\s*\]"""
 # fixed values: strings that are no prose (addresses, mail, hex, dates, colours)
 NOT_PROSE = [r"(?i)^https?://", r"^[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]+$", r"(?i)^[a-f0-9]{16,}$", r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?)?", r"(?i)^#[0-9a-f]{3,8}$"]
+# fixed values: titles and phrases of parked domains
 PARKED_TITLE = r"(?i)^\s*[^<>]{1,160}\s[-|·–—]\s[^<>]{1,100}\s+resources and information\.?\s*$"
 PARKED_BODY = r"(?i)(^|[^A-Za-z0-9_])(this domain (is|may be) for sale|domain (is|has been) parked|buy this domain|this web page is parked|domain name.{0,80}for sale)($|[^A-Za-z0-9_])"
+# fixed values: elements whose content is no text of a page
 STRONG = r"(?i)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)\s*>"
 
 

@@ -13,6 +13,7 @@ EXTENSIONS = {
     "srt": "srt", "vtt": "vtt", "json": "json", "pdf": "pdf", "docx": "docx", "epub": "epub",
 }
 MEDIA = [("pdf", "pdf"), ("epub", "epub"), ("wordprocessingml", "docx"), ("html", "html"), ("markdown", "md"), ("text/plain", "txt")]
+# fixed values: the time line of a subtitle
 TIME = r"(\d{1,3}:\d{2}:\d{2}[,.]\d{1,3}|\d{2}:\d{2}[,.]\d{1,3})\s*-->\s*(\d{1,3}:\d{2}:\d{2}[,.]\d{1,3}|\d{2}:\d{2}[,.]\d{1,3})"
 
 
