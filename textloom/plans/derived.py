@@ -82,5 +82,4 @@ SRT = "SELECT conv_id * 100 + turn + 1000 AS file_id, '1' || chr(10) || '00:00:0
 VTT = "SELECT conv_id * 100 + turn + 1000 AS file_id, 'WEBVTT' || chr(10) || chr(10) || '00:01.000 --> 00:02.000' || chr(10) || text AS text FROM {conversations}"
 CATALOG = "SELECT 1 + p_partkey % 3 AS layer, p_brand AS model, CAST(min(p_retailprice) AS DOUBLE) AS credits, min(p_type) AS label FROM {part} GROUP BY 1 + p_partkey % 3, p_brand"
 JSONS = "SELECT conv_id * 100 + turn + 1000 AS row_id, 'Sure: ' || " + braced("'\"t\":\"' || " + PLAIN + " || '\"'") + " || ' done' AS raw FROM {conversations} UNION ALL SELECT conv_id * 100 + turn + 1000000, chr(123) || '\"t\":[\"' || " + PLAIN + " FROM {conversations}"
-ISLANDS = "SELECT item_id + 1000 AS page_id, '<script type=\"application/json\">' || " + braced("'\"title\":\"' || " + PLAIN + " || '\"'") + " || '</script>' AS html FROM {benchmark}"
 SPACED = "SELECT p_partkey + 100 AS row_id, 'A B C D ' || p_name AS text FROM {part}"

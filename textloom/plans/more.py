@@ -39,41 +39,6 @@ def scl23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JSONS.df(spark, sf_dir).select("row_id", fixed("raw").alias("json"))
 
 
-@query("gen06_json_walk", "SELECT row_id, path, text FROM (VALUES (6, '$.deep[''it\\''s''][0]', 'a'), (6, '$.deep[''it\\''s''][1].k', 'v')) v(row_id, path, text)")
-def gen06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.pandas_udf("array<struct<path:string,text:string>>")
-    def walked(raw: pd.Series) -> pd.Series:
-        return pd.Series([[{"path": p, "text": t} for p, t in repair.leaves(x)] for x in raw], dtype=object)
-
-    return JSONS.df(spark, sf_dir).where("row_id = 6").select("row_id", F.inline(walked("raw")))
-
-
-@query("snk02_json_write_back", "SELECT row_id, json FROM (VALUES (6, '{\"deep\":{\"it''s\":[\"a\",{\"k\":\"new\"}]},\"n\":3}')) v(row_id, json)")
-def snk02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.pandas_udf("string")
-    def written(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda x: repair.with_path(x, "$.deep['it\\'s'][1].k", "new"))
-
-    return JSONS.df(spark, sf_dir).where("row_id = 6").select("row_id", written("raw").alias("json"))
-
-
-ISLANDS = Literal(
-    "page_id long, html string",
-    ((1, '<script id="app" type="application/json">{"title":"A title that is long enough to be kept as text of this page","n":1,"url":"https://x.y"}</script>'), (2, '<script type="application/json">not json</script>'), (3, "<p>none</p>")),
-    more=derived.ISLANDS,
-)
-
-
-@query("src20_data_islands", "SELECT page_id, path, text FROM (VALUES (1, '$.title', 'A title that is long enough to be kept as text of this page')) v(page_id, path, text)" + f" UNION ALL SELECT item_id + 1000, '$.title', {PLAIN} FROM benchmark WHERE length({PLAIN}) >= 50")
-def src20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.pandas_udf("array<struct<path:string,text:string>>")
-    def walked(raw: pd.Series) -> pd.Series:
-        return pd.Series([[{"path": p, "text": t} for p, t in repair.leaves(x) if len(t) >= 50] for x in raw], dtype=object)
-
-    body = F.explode(F.regexp_extract_all("html", F.lit('(?s)<script[^>]*type="application/json"[^>]*>(.*?)</script>'), F.lit(1)))
-    return ISLANDS.df(spark, sf_dir).select("page_id", body.alias("body")).select("page_id", F.inline(walked("body")))
-
-
 @query("agg17_capped_features", f"WITH n AS (SELECT segment, name FROM {NAME_ROWS}) SELECT segment, name, (SELECT count(*) > 5000 FROM n) AS truncated FROM n ORDER BY segment, name LIMIT 5000")
 def agg17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.capped(book.name_mentions(segments(spark, sf_dir)).select("segment", "name"), ["segment", "name"], 5000)
