@@ -72,3 +72,18 @@ def checkpointed(rows: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='spark-textloom-', dir='/tmp')}")
     return rows.checkpoint()
+
+
+def running_sum(rows: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows before them in their group.
+
+    A scan in two steps, as in ``ranked``: within ranges, and over a row per range and group."""
+    placed = checkpointed(rows.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()))
+    before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sums = placed.groupBy(*group, "_range").agg(F.sum(value).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    named = sums.select(*[F.col(x).alias(f"_of_{x}") for x in group], F.col("_range").alias("_of"), "_before")
+    on = F.col("_range") == F.col("_of")
+    for x in group:
+        on = on & F.col(x).eqNullSafe(F.col(f"_of_{x}"))
+    inside = F.coalesce(F.sum(value).over(W.partitionBy(*group, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn("_inside", inside).join(named, on).select(*rows.columns, (F.col("_inside") + F.col("_before")).alias(out))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.plans.base import query, table
-from textloom.streaming import events
+from textloom.streaming import events, frames
 
 
 @query("str02_cursor_batches", "SELECT event_id // 1000 AS batch, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")
@@ -35,3 +35,23 @@ def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return events.sessions(e).withColumns({"begins": F.col("begins").cast("timestamp_ntz"), "ends": F.col("ends").cast("timestamp_ntz")})
+
+
+#: Bytes of a chunk: no line and no character ends where one does.
+CHUNK = 37
+
+
+@query(
+    "str01_framed_lines",
+    """WITH s AS (SELECT conv_id, string_split(string_agg('data: ' || text || CASE WHEN turn % 3 = 0 THEN '' ELSE chr(10) END, '' ORDER BY turn), chr(10)) AS parts FROM conversations GROUP BY conv_id)
+SELECT conv_id AS stream_id, i - 1 AS line, parts[i] AS text, CASE WHEN parts[i] LIKE 'data:%' THEN trim(parts[i][6:], ' ' || chr(13)) END AS data FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM s)""",
+)
+def str01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as lines of an event stream, of which some run on into the next turn, cut into chunks of bytes."""
+    sent = F.encode(F.concat(F.lit("data: "), "text", F.when(F.col("turn") % 3 == 0, "").otherwise("\n")), "UTF-8")
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", sent.alias("sent"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.octet_length("sent") - 1), F.lit(CHUNK))
+    chunks = turns.select("conv_id", "turn", "sent", F.explode(starts).alias("at")).select(
+        F.col("conv_id").alias("stream_id"), F.struct("turn", "at").alias("seq"), F.substring("sent", F.col("at") + 1, F.lit(CHUNK)).alias("chunk")
+    )
+    return frames.lines(chunks).withColumn("data", frames.event_data(F.col("text")))
