@@ -48,9 +48,12 @@ def token_grams(text: Column, most: int) -> Column:
 
 
 def mentions(texts: DataFrame, text_col: str, names: DataFrame, name_col: str, most: int = 4) -> DataFrame:
-    """Rows of ``texts`` joined with those of ``names`` that stand in them as whole tokens: an equi join on token runs.
+    """Rows of ``texts`` joined with those of ``names`` that stand in them as whole tokens.
 
-    Names of more than ``most`` tokens are not found."""
+    An equi join on runs of up to ``most`` tokens, by the first ones of longer names; those are compared whole afterwards."""
+    plain = lambda x: F.btrim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
     grams = texts.withColumn("_gram", F.explode(token_grams(F.col(text_col), most)))
-    keyed = names.withColumn("_gram", F.btrim(F.regexp_replace(F.lower(name_col), "[^a-z0-9]+", " "))).where("_gram != ''")
-    return grams.join(keyed, "_gram").drop("_gram")
+    keyed = names.withColumn("_whole", plain(name_col)).where("_whole != ''").withColumn("_gram", F.array_join(F.slice(F.split("_whole", " "), 1, most), " "))
+    padded = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    found = (F.col("_gram") == F.col("_whole")) | padded(plain(text_col)).contains(padded(F.col("_whole")))
+    return grams.join(keyed, "_gram").where(found).drop("_gram", "_whole")
