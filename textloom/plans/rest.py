@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.operators import article, graph, ledger
+from textloom.operators import article, graph, ledger, page_tree
 from textloom.plans import derived
 from textloom.plans.base import Literal, query, table
 from textloom.plans.corpus import BOOK, ENTITIES, EVIDENCE
 from textloom.plans.scalars import PAD
-from textloom.sources import formats, html
+from textloom.sources import formats, html, tree
 
 PATHS = Literal("page long, anchor long, path array<string>", ((1, 1, ["html", "body", "main", "article", "p1"]), (1, 2, ["html", "body", "main", "article", "div", "p2"]), (1, 3, ["html", "body", "main", "article", "div", "p3"]), (2, 1, ["html", "body", "div", "p"]), (2, 2, ["html", "body", "aside", "p"])), more=derived.PATHS)
 
@@ -48,7 +48,8 @@ def htm11(spark: SparkSession, sf_dir: str) -> DataFrame:
     density = article.article_roots(n).select("page_id", "node_id", F.lit("density").alias("provider"))
     selector = htm08(spark, sf_dir).select("page_id", "node_id", F.lit("selector").alias("provider"))
     body = n.where("tag = 'body'").groupBy("page_id").agg(F.min("node_id").alias("node_id")).withColumn("provider", F.lit("body"))
-    both = density.unionByName(selector).unionByName(body).join(n, ["page_id", "node_id"])
+    risen = page_tree.readability_roots(tree.tree(pages)).select("page_id", "node_id", F.lit("readability").alias("provider"))
+    both = density.unionByName(selector).unionByName(body).unionByName(risen).join(n, ["page_id", "node_id"])
     c = F.col
     quality = article.quality_score({"text_len": c("text_len"), "readable": F.greatest(c("readable_len"), F.lit(1)), "link_len": c("link_len"), "noise_len": c("noise_len"), "h1": c("h1"), "h2": c("h2"), "paragraphs": c("paragraphs"), "named": F.lower("class").rlike("article-(body|content)|post-content|entry-content"), "prior": F.lit(0.0)})
     return both.select("page_id", "provider", "node_id", F.round(quality, 6).alias("confidence"), F.row_number().over(W.partitionBy("page_id").orderBy(quality.desc(), "provider")).alias("rank"))
