@@ -104,3 +104,30 @@ def test_diverse_and_sides(spark):
     assert sorted((r["g"], r["o"]) for r in sampling.diverse(rows, "g", "o", "t", 5).collect()) == [(1, 1), (1, 3), (2, 1)]
     sides = sampling.stable_sides(spark.range(500), "id", 3)
     assert 150 < sides.where("swapped").count() < 350
+
+
+def test_packing_reads_a_hot_group_as_a_stream(spark):
+    """Batches of a group that spans many Arrow frames, and of null groups, as a plain loop gives them."""
+    rng = random.Random(9)
+    rows = [(1 if i % 3 else (None if i % 2 else i), i, rng.randrange(1, 60)) for i in range(4000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {r.i: r.batch for r in packing.pack(spark.createDataFrame(rows, "g long, i long, n long"), ["g"], ["i"], "n", 100, 6).collect()}
+        picks = spark.createDataFrame([(g, i, [str(n % 7), str(n % 3), str(n % 2)]) for g, i, n in rows], "g long, o long, t array<string>")
+        kept = sorted((r.g is not None, r.g or 0, r.o) for r in sampling.diverse(picks, "g", "o", "t", 5).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, sets = {}, {}
+    state: dict = {}
+    for g, i, n in rows:
+        batch, held, total = state.get(g, (0, 0, 0))
+        if held == 0 or held >= 6 or total + n > 100:
+            batch, held, total = batch + 1, 0, 0
+        state[g] = batch, held + 1, total + n
+        want[i] = batch
+        own = {str(n % 7), str(n % 3), str(n % 2)}
+        chosen = sets.setdefault(g, [])
+        if len(chosen) < 5 and all(len(own & k) < 0.85 * len(own | k) for _, k in chosen):
+            chosen.append((i, own))
+    assert got == want
+    assert kept == sorted((g is not None, g or 0, i) for g, chosen in sets.items() for i, _ in chosen)

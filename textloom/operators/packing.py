@@ -1,11 +1,13 @@
 """Greedy packing of ordered items under budgets.
 
-The packing of a document depends on its order alone, so documents are grouped and
-each is packed in its own group; no order crosses documents.
+The packing of a document depends on its order alone: documents are dealt to partitions, sorted there and read as a
+stream, of which only the open batch is held; so one document with very many items costs time in one task, not memory.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,21 +20,34 @@ def pack(rows: DataFrame, group: list[str], order: list[str], size: str, most_si
     """``rows`` with ``batch`` from 1: a new batch when the size or the number of items would pass its
     limit or, if given, the context changes; ``isolate`` closes a batch after an item above the limit."""
 
-    def packed(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        batch, held, total, was = 0, 0, 0, None
-        out = []
-        contexts = frame[context] if context else [None] * len(frame)
-        for n, c in zip(frame[size], contexts, strict=True):
-            if held == 0 or held >= most_items or total + n > most_size or (context and c != was):
-                batch, held, total = batch + 1, 0, 0
-            held, total, was = held + 1, total + n, c
-            out.append(batch)
-            if isolate and n > most_size:
-                held = 0
-        return frame.assign(batch=out)
-
-    return rows.groupBy(*group).applyInPandas(packed, _with(rows, "batch long"))
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, batch, held, total, was = None, 0, 0, 0, None
+        for frame in frames:
+            out = []
+            contexts = frame[context] if context else [None] * len(frame)
+            for own, n, c in zip(group_keys(frame, group), frame[size], contexts, strict=True):
+                if own != key:
+                    key, batch, held, total, was = own, 0, 0, 0, None
+                if held == 0 or held >= most_items or total + n > most_size or (context and c != was):
+                    batch, held, total = batch + 1, 0, 0
+                held, total, was = held + 1, total + n, c
+                out.append(batch)
+                if isolate and n > most_size:
+                    held = 0
+            yield frame.assign(batch=out)
+
+    return in_order(rows, group, order).mapInPandas(packed, _with(rows, "batch long"))
+
+
+def in_order(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with each group in one partition and in order there, for a pass that reads it as a stream."""
+    return rows.repartition(*group).sortWithinPartitions(*group, *order)
+
+
+def group_keys(frame: pd.DataFrame, group: list[str]) -> list[tuple]:
+    """The group of each row, with null keys equal to each other."""
+    columns = [frame[g].astype(object).where(frame[g].notna(), None) for g in group]
+    return list(zip(*columns, strict=True))
 
 
 def _with(rows: DataFrame, more: str) -> str:

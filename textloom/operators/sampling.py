@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.operators.packing import group_keys, in_order
+
 
 def planned_sample(candidates: DataFrame, segment: str, quotas: dict[str, int]) -> DataFrame:
     """(segment, reasons): candidates (segment, phase, rank) by phases in order; a phase adds new segments
@@ -27,17 +31,25 @@ def planned_sample(candidates: DataFrame, segment: str, quotas: dict[str, int])
 
 
 def diverse(rows: DataFrame, group: str, order: str, tokens: str, most: int, redundant: float = 0.85) -> DataFrame:
-    """Of each group's rows in order, those whose token sets are below ``redundant`` Jaccard to all kept before."""
+    """Of each group's rows in order, those whose token sets are below ``redundant`` Jaccard to all kept before.
+
+    A stream over sorted groups, of which the token sets of the ``most`` kept rows are held."""
 
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, set]] = []
-        for i, words in enumerate(frame.sort_values(order)[tokens]):
-            own = set(words)
-            if len(kept) < most and all(len(own & k) < redundant * len(own | k) for _, k in kept):
-                kept.append((i, own))
-        return frame.sort_values(order).iloc[[i for i, _ in kept]]
+    def greedy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key: tuple | None = None
+        kept: list[set] = []
+        for frame in frames:
+            picks = []
+            for i, (own_key, words) in enumerate(zip(group_keys(frame, [group]), frame[tokens], strict=True)):
+                if own_key != key:
+                    key, kept = own_key, []
+                own = set(words)
+                if len(kept) < most and all(len(own & k) < redundant * len(own | k) for k in kept):
+                    kept.append(own)
+                    picks.append(i)
+            yield frame.iloc[picks]
 
-    return rows.groupBy(group).applyInPandas(greedy, rows.schema)
+    return in_order(rows, [group], [order]).mapInPandas(greedy, rows.schema)
 
 
 def stable_sides(rows: DataFrame, key: str, seed: int) -> DataFrame:
