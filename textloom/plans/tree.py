@@ -23,7 +23,12 @@ def bodies(nodes: DataFrame) -> DataFrame:
 
 @query("htm01_removed_nodes")
 def htm01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_tree.marks(nodes(spark, sf_dir)).where("removed").select("page_id", "node_id", "tag", "class", "path")
+    """Per page how many elements are marked for removal, and the characters in them (what stands in several counts once)."""
+    marked = page_tree.marks(nodes(spark, sf_dir))
+    outer = F.col("removed") & ~page_tree.below(F.col("removed"))
+    return marked.select("page_id", "removed", F.when(outer, F.col("text_chars")).otherwise(0).alias("n")).groupBy("page_id").agg(
+        F.count_if("removed").alias("removed_nodes"), F.sum("n").alias("removed_chars"), F.count(F.lit(1)).alias("nodes")
+    )
 
 
 @query("flt16_node_marks")
