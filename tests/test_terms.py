@@ -12,7 +12,7 @@ from textloom.operators import graph, terms
 
 TERMS = [("King Rat", "王鼠"), ("the King Rat of the Old Northern Town", "Rattenkönig"), ("king", "König"), ("中村", "Nakamura"), ("中村先生", "Herr Nakamura"), ("O'Neil-Smith", "ON"), ("Élan", "Schwung"), ("Иван", "Ivan"), ("...", "dots"), (None, "x")]
 TEXTS = [
-    "The King Rat of the Old Northern Town met King Rat and a king, kings, viking.", "昨日、中村先生と中村が来た", "O'Neil-Smith saw élan; Élan's ÉLAN", "Иван и Ивановна", "", None, "no such thing", "KING RAT king rat King  Rat", "__VSA_TERM_001__ king",
+    "The King Rat of the Old Northern Town met King Rat and a king, kings, viking.", "昨日、中村先生と中村が来た", "O'Neil-Smith saw élan; Élan's ÉLAN", "Иван и Ивановна", "", None, "no such thing", "KING RAT king rat King  Rat", "__TERM_001__ king",
     "xKing King9 King中村 中村King",
 ]
 

@@ -19,7 +19,7 @@ from textloom.sources import json_tree
 
 c = F.col
 # fixed values: how a mask looks, and its pattern
-MARK, MARKS = "__VSA_TERM_{:03d}__", r"__VSA_TERM_[0-9]+__"
+MARK, MARKS = "__TERM_{:03d}__", r"__TERM_[0-9]+__"
 #: Tokens of a term that a text is asked for before the whole term is compared.
 KEY_TOKENS = 4
 #: Scripts that put no spaces between words.
