@@ -37,23 +37,20 @@ def guarded_update(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     )
 
 
-def token_grams(text: Column, most: int) -> Column:
-    """Distinct runs of one to ``most`` tokens ([a-z0-9]+, in lower case) of a text, joined by spaces."""
-    words = F.split(F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
-
-    def runs(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-
-    return F.array_distinct(F.flatten(F.array(*[runs(n) for n in range(1, most + 1)])))
+def _runs(words: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
 def mentions(texts: DataFrame, text_col: str, names: DataFrame, name_col: str, most: int = 4) -> DataFrame:
-    """Rows of ``texts`` joined with those of ``names`` that stand in them as whole tokens.
+    """Rows of ``texts`` joined with those of ``names`` that stand in them as whole tokens ([a-z0-9]+, in lower case).
 
     An equi join on runs of up to ``most`` tokens, by the first ones of longer names; those are compared whole afterwards."""
     plain = lambda x: F.btrim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
-    grams = texts.withColumn("_gram", F.explode(token_grams(F.col(text_col), most)))
+    # a column each: within a lambda a text would be normalised and split again for each run, and beside the join for each match
+    cut = texts.withColumn("_plain", plain(text_col)).withColumn("_words", F.split("_plain", " "))
+    runs = cut.withColumn("_grams", F.array_distinct(F.concat(*[_runs(F.col("_words"), n) for n in range(1, most + 1)]))).drop("_words")
+    grams = runs.select("*", F.explode_outer("_grams").alias("_gram")).drop("_grams")
     keyed = names.withColumn("_whole", plain(name_col)).where("_whole != ''").withColumn("_gram", F.array_join(F.slice(F.split("_whole", " "), 1, most), " "))
     padded = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
-    found = (F.col("_gram") == F.col("_whole")) | padded(plain(text_col)).contains(padded(F.col("_whole")))
-    return grams.join(keyed, "_gram").where(found).drop("_gram", "_whole")
+    found = (F.col("_gram") == F.col("_whole")) | padded(F.col("_plain")).contains(padded(F.col("_whole")))
+    return grams.join(keyed, "_gram").where(found).drop("_gram", "_whole", "_plain")

@@ -38,7 +38,13 @@ COMPATIBLE = f"SELECT {TWO.format('text', 1, 2)} AS source, {WORD.format('text',
 ENTITIES = f"""SELECT 'b' || CAST(item_id AS STRING) AS node, LIST({TWO.format('text', 1, 2)}, {TWO.format('text', 3, 4)}) AS names, {WORD.format('text', 5)} AS target,
 CASE WHEN item_id % 3 = 0 THEN 'candidate' ELSE 'confirmed' END AS status FROM {{benchmark}}"""
 EVIDENCE = "SELECT item_id + 100 AS fact, item_id + item_id % 3 AS item_id, substr(text, 5, 12) AS quote FROM {benchmark}"
-BOOK = f"SELECT {TURN.format('u.')} AS segment, u.conv_id * 1000 + u.turn AS ordinal, u.text, a.text AS translation FROM {PAIR}"
+#: A text put into another script letter by letter, so that what a translation must keep and must change is known.
+LETTERS, SIGNS = "abcdefghijklmnopqrstuvwxyz", "的一是不了人我在有他这中大来上个国和也子时道说出得心"
+DRAFT = f"translate(lower(text), '{LETTERS}', '{SIGNS}')"
+#: Revisions with planted faults, dealt by a hash of the text and its place: none, blank, wrong numbers, a rest in the source's words, the source itself, other wording.
+REVISED = f"""CASE substr(md5(concat(text, '-', CAST(doc_id AS STRING))), 1, 1) WHEN '0' THEN NULL WHEN '1' THEN ' ' WHEN '2' THEN translate({DRAFT}, '0123456789', '1234567890')
+WHEN '3' THEN concat({DRAFT}, ' ', text) WHEN '4' THEN text WHEN '5' THEN translate({DRAFT}, '的', '地') ELSE {DRAFT} END"""
+BOOK = f"SELECT 'd' || CAST(doc_id AS STRING) AS segment, doc_id + 100 AS ordinal, text, {REVISED} AS translation FROM {{documents}}"
 ALIASES = "SELECT 'p' || CAST(p_partkey AS STRING) AS node, LIST(p_name, p_brand) AS names FROM {part}"
 USAGE = "SELECT event_id + 10 AS turn, CAST(user_id AS BIGINT) AS input, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(floor(value) AS BIGINT) END AS output, CASE WHEN user_id % 3 = 0 THEN NULL ELSE value END AS cost FROM {events}"
 CHECKS = "SELECT 'd' || CAST(doc_id AS STRING) AS run, CAST(quality AS DOUBLE) AS required, CAST(1 - toxic AS DOUBLE) AS terms, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 0.5 END AS repeated, CAST(toxic AS DOUBLE) AS spoilers, 0.75 AS numeric_ok FROM {labels}"
@@ -50,8 +56,11 @@ WINDOWS = "SELECT 'p' || CAST(p_partkey AS STRING) AS model, LIST(CAST(p_size AS
 GATES = "SELECT 'o' || CAST(o_orderkey AS STRING) AS graph, CASE o_orderstatus WHEN 'F' THEN 'completed' ELSE 'running' END AS status, CAST(2 + o_custkey % 2 AS BIGINT) AS revision, 'v2' AS version, 'en' AS source, 'zh' AS target FROM {orders}"
 GLOSSARY = f"SELECT item_id + 1000 AS entry, CASE WHEN item_id % 2 = 0 THEN {TWO.format('text', 1, 2)} ELSE NULL END AS term, {TWO.format('text', 6, 7)} AS source, {WORD.format('text', 3)} AS target, CASE WHEN item_id % 5 = 0 THEN 'rejected' ELSE NULL END AS state FROM {{benchmark}}"
 DELTAS = f"SELECT conv_id + 10 AS batch, conv_id * 100 + turn + 100 AS first_ordinal, {WORD.format('text', 1)} AS name, {WORD.format('text', 2)} AS target, LIST('c' || CAST(conv_id AS STRING), {TURN.format('')}) AS segments FROM {{conversations}}"
-ASKED = f"SELECT 'q' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS check_id, CASE conv_id % 3 WHEN 0 THEN 'term' WHEN 1 THEN 'required' ELSE 'forbidden' END AS kind, {TURN.format('')} AS segment, {WORD.format('text', 2)} AS expected FROM {{conversations}}"
-FINDINGS = f"SELECT {TURN.format('')} AS finding, conv_id % 2 = 0 AS repairable, LIST({TURN.format('')}, 's77') AS segments, conv_id % 3 > 0 AS chosen FROM {{conversations}}"
+#: Each document must have a translation that keeps its first number and not its second word.
+ASKED = f"""SELECT 'r' || CAST(doc_id AS STRING) AS check_id, 'required' AS kind, 'd' || CAST(doc_id AS STRING) AS segment, '' AS expected FROM {{documents}}
+UNION ALL SELECT 't' || CAST(doc_id AS STRING), 'term', 'd' || CAST(doc_id AS STRING), regexp_extract(text, '[0-9]+', 0) FROM {{documents}} WHERE regexp_extract(text, '[0-9]+', 0) <> ''
+UNION ALL SELECT 'f' || CAST(doc_id AS STRING), 'forbidden', 'd' || CAST(doc_id AS STRING), {WORD.format('text', 2)} FROM {{documents}}"""
+FINDINGS = "SELECT 'd' || CAST(doc_id AS STRING) AS finding, quality > 0 AS repairable, LIST('d' || CAST(doc_id AS STRING), 's77') AS segments, toxic = 0 AS chosen FROM {labels}"
 MENTIONS = f"SELECT {TURN.format('')} AS segment, lower({WORD.format('text', 1)}) AS entity, {TWO.format('text', 1, 2)} AS surface FROM {{conversations}}"
 CUES = "SELECT conv_id + 10 AS file_id, CAST(turn + 1 AS BIGINT) AS cue, '00:00:0' || CAST(turn % 9 AS STRING) || '.000' AS start_at, '00:00:0' || CAST(turn % 9 AS STRING) || '.900' AS end_at, text, CASE WHEN role = 'user' THEN NULL ELSE 'In other words: ' || text END AS translated FROM {conversations}"
 TITLES = "SELECT c_name || '/' || c_mktsegment || '?' AS title, CASE WHEN c_custkey % 2 = 0 THEN 'txt' ELSE 'srt' END AS ending FROM {customer}"
@@ -64,7 +73,7 @@ FOUND = "SELECT page_id + 10 AS page, 'b' || CAST(page_id AS STRING) AS block, u
 LIVE = "SELECT page_id + 10 AS page, CASE WHEN page_id % 2 = 0 THEN 'b' || CAST(page_id AS STRING) ELSE NULL END AS dom_id, url AS path, page_id AS node FROM {pages} WHERE page_id % 5 > 0"
 MEMORY = "SELECT item_id + 10 AS doc, " + braced("'\"entities\":[' || chr(123) || '\"source\":\"' || " + WORD.format(PLAIN, 1) + " || '\",\"target\":\"' || " + WORD.format(PLAIN, 2) + " || '\"' || chr(125) || ']'") + " AS raw FROM {benchmark}"
 KEYS = "SELECT doc_id + 100 AS key_id, text AS content, lang AS source, 'zh' AS target, source AS provider, NULL AS style, CASE WHEN doc_id % 2 = 0 THEN 'literary' ELSE NULL END AS mode, NULL AS terms FROM {documents}"
-PAIRS = f"SELECT u.conv_id * 100 + u.turn + 1000 AS pair_id, u.text AS original, a.text AS translated FROM {PAIR}"
+PAIRS = f"SELECT doc_id + 1000 AS pair_id, text AS original, {REVISED} AS translated FROM {{documents}}"
 TERMS = f"SELECT doc_id + 100 AS term_id, {WORD.format('text', 2)} AS term FROM {{documents}}"
 PRODUCTS = "SELECT p_partkey + 100 AS line_id, 'Acme ' || p_type || ' and Globex ' || p_brand AS text FROM {part}"
 ANSWERS = "SELECT conv_id * 100 + turn + 1000 AS answer_id, '<think>' || role || '</think>' || text AS raw FROM {conversations}"
