@@ -44,13 +44,17 @@ def _runs(words: Column, n: int) -> Column:
 def mentions(texts: DataFrame, text_col: str, names: DataFrame, name_col: str, most: int = 4) -> DataFrame:
     """Rows of ``texts`` joined with those of ``names`` that stand in them as whole tokens ([a-z0-9]+, in lower case).
 
-    An equi join on runs of up to ``most`` tokens, by the first ones of longer names; those are compared whole afterwards."""
+    An equi join on runs of up to ``most`` tokens, by the first ones of longer names; those are compared whole afterwards.  Only keys of rows meet the
+    names; texts come back to the few that were found.  Repeated rows share a key and each keep their matches."""
+    c = F.col
     plain = lambda x: F.btrim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
-    # a column each: within a lambda a text would be normalised and split again for each run, and beside the join for each match
-    cut = texts.withColumn("_plain", plain(text_col)).withColumn("_words", F.split("_plain", " "))
-    runs = cut.withColumn("_grams", F.array_distinct(F.concat(*[_runs(F.col("_words"), n) for n in range(1, most + 1)]))).drop("_words")
-    grams = runs.select("*", F.explode_outer("_grams").alias("_gram")).drop("_grams")
-    keyed = names.withColumn("_whole", plain(name_col)).where("_whole != ''").withColumn("_gram", F.array_join(F.slice(F.split("_whole", " "), 1, most), " "))
     padded = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
-    found = (F.col("_gram") == F.col("_whole")) | padded(F.col("_plain")).contains(padded(F.col("_whole")))
-    return grams.join(keyed, "_gram").where(found).drop("_gram", "_whole", "_plain")
+    keyed = texts.withColumns({"_k1": F.xxhash64(*texts.columns), "_k2": F.xxhash64(F.lit("row"), *texts.columns)})
+    named = names.withColumn("_whole", plain(name_col)).where("_whole != ''")
+    asked = named.select("_whole", F.array_join(F.slice(F.split("_whole", " "), 1, most), " ").alias("_gram")).distinct()
+    # the words have a column of their own: within a lambda a text would be split again for each run
+    words = keyed.select("_k1", "_k2", F.split(plain(text_col), " ").alias("_words"))
+    runs = words.select("_k1", "_k2", F.array_distinct(F.concat(*[_runs(c("_words"), n) for n in range(1, most + 1)])).alias("_grams"))
+    met = runs.select("_k1", "_k2", F.explode_outer("_grams").alias("_gram")).join(asked, "_gram").select("_k1", "_k2", "_whole").distinct()
+    held = keyed.withColumn("_plain", plain(text_col)).join(met, ["_k1", "_k2"]).where(padded(c("_plain")).contains(padded(c("_whole"))))
+    return held.drop("_k1", "_k2", "_plain").join(named, "_whole").drop("_whole")
