@@ -6,7 +6,7 @@ import importlib
 
 from textloom.plans.base import REGISTERED, Query
 
-MODULES = ["sources", "scalars", "ledger", "corpus", "pages", "tree", "json", "terms", "guarded", "entities", "briefs", "packing", "more", "streams", "rest"]
+MODULES = ["sources", "scalars", "ledger", "corpus", "pages", "tree", "json", "terms", "guarded", "entities", "briefs", "exports", "packing", "more", "streams", "rest"]
 
 
 def registered() -> dict[str, tuple[Query, str | None]]:
