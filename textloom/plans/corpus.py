@@ -325,7 +325,8 @@ RESIDUE = (
 @query("aud03_english_residue", f"""WITH w AS (SELECT segment, regexp_extract_all(translation, '[A-Za-z][A-Za-z''-]*(?: [A-Za-z][A-Za-z''-]*){{2,}}') AS phrases, list_filter(regexp_extract_all(translation, '[A-Za-z][A-Za-z''-]*'), lambda x: lower(x) IN ({", ".join(Q + w + Q for w in RESIDUE)})) AS words FROM {BOOK.sql()} b WHERE trim(translation) <> '')
 SELECT segment, array_to_string(list_concat(list_filter(phrases, lambda p: len(string_split(p, ' ')) >= 4), words), '|') AS examples FROM w WHERE len(words) > 0 OR len(list_filter(phrases, lambda p: len(string_split(p, ' ')) >= 4)) > 0""")
 def aud03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phrases = F.filter(F.regexp_extract_all("translation", F.lit("[A-Za-z][A-Za-z'-]*(?: [A-Za-z][A-Za-z'-]*){2,}"), F.lit(0)), lambda p: F.size(F.split(p, " ")) >= 4)
+    # without backtracking, which would overflow the stack on a long text
+    phrases = F.filter(F.regexp_extract_all("translation", F.lit("[A-Za-z][A-Za-z'-]*+(?: [A-Za-z][A-Za-z'-]*+){2,}+"), F.lit(0)), lambda p: F.size(F.split(p, " ")) >= 4)
     words = F.filter(F.regexp_extract_all("translation", F.lit("[A-Za-z][A-Za-z'-]*"), F.lit(0)), lambda w: F.lower(w).isin(*RESIDUE))
     return BOOK.df(spark, sf_dir).where(F.btrim("translation") != "").select("segment", F.concat(phrases, words).alias("e")).where(F.size("e") > 0).select("segment", F.array_join("e", "|").alias("examples"))
 
