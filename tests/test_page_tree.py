@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from textloom.operators import page_tree as pt
 from textloom.plans.catalog import registered
-from textloom.sources import tree
+from textloom.sources import html, tree
 
 FOLDER = "/root/testdata/sf0.001"
 LONG = "A sentence of plain prose, with enough words in it to count as one. "
@@ -385,3 +386,29 @@ def test_queries_equal_the_plain_walk(spark, name):
         want |= {(r.page_id, i, *v) for i, v in verdicts.items()} if name.startswith("htm14") else {(r.page_id, *b) for b in blocks}
     got = {(r.page_id, r.node_id, r.kind, r.reason) if name.startswith("htm14") else (r.page_id, r.node_id, r.text, r.outline) for r in rows}
     assert got == want and len(rows) == len(want)
+
+
+@pytest.mark.parametrize("name", ["ext28_refined_roots", "ext29_walk_facts", "flt16_node_marks", "htm06_readability_roots", "htm11_provider_union", "htm14_walk_verdicts", "htm16_walk_blocks"])
+def test_pages_are_parsed_once(spark, name):
+    plan = registered()[name][0](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    # those that read the elements more than once read them from a table
+    assert plan.count("MapIn") == (1 if name in ("ext29_walk_facts", "flt16_node_marks") else 0)
+
+
+def test_counts_of_the_parser():
+    doc = document(page(f"<header><h1>a</h1></header><div><p>{LONG}<a>in <a>nested</a></a></p><blockquote><p>x</p></blockquote><ul><li>y</li></ul></div><aside></aside>"))
+    for e in doc:
+        below = [x.tag for x in e.all()]
+        assert e.row["headings"] == sum(t in pt.HEADINGS for t in below)
+        assert e.row["direct_inside"] == sum(t in tree.DIRECT for t in below)
+        assert e.row["structure_inside"] == sum(t in ("p", "li", "blockquote", *pt.HEADINGS) for t in below)
+        assert e.row["link_chars"] == sum(x.row["text_chars"] for x in e.all() if x.tag == "a")
+
+
+def test_small_pages_share_a_batch():
+    frames = [pa.RecordBatch.from_arrays([pa.array([7] * 100), pa.array(["<p>x</p>"] * 100)], ["page_id", "html"])] * 3
+    schema = pa.schema([("page_id", pa.int64()), ("tag", pa.string())])
+    found = list(html.batched(iter(frames), lambda text: [("p",), ("b",)], schema))
+    assert [b.num_rows for b in found] == [600]
+    many = list(html.batched(iter(frames[:1]), lambda text: [("p",)] * 120, schema))
+    assert max(b.num_rows for b in many) <= html.BATCH_ROWS and sum(b.num_rows for b in many) == 12000

@@ -2,7 +2,8 @@
 
 All are windows and equi joins by page.  A rule about ancestors is a running maximum of
 their last descendants; a rule about descendants the difference of a running count between
-an element and its last descendant, which one join by page and number fetches.
+an element and its last descendant, which one join by page and number fetches.  Counts
+that only the tags below decide come with the tree.
 """
 
 from __future__ import annotations
@@ -156,7 +157,6 @@ def consent() -> Column:
 
 def marks(nodes: DataFrame) -> DataFrame:
     """Flags of every element: hidden, overlay, low_priority, noise, metadata, consent, removed."""
-    counted = with_counts(nodes, {"headings": c("tag").isin(*HEADINGS)})
     in_article = below(c("tag") == "article")
     style = F.lower("style")
     named_fixed = low().rlike(r"\b(fixed|sticky)\b")
@@ -165,14 +165,14 @@ def marks(nodes: DataFrame) -> DataFrame:
     shared = F.lower(F.concat_ws(" ", "class", "dom_id")).rlike(SHARE) & (named_fixed | style.rlike(r"\b(fixed|sticky)\b"))
     removed = below(c("tag") == "body") & ((c("tag").isin("aside", "dialog") & ~in_article) | ((named_fixed | held) & bottom) | shared)
     metadata = low().rlike(META_WORDS) & ~c("tag").isin("article", "main") & ~(c("tag").isin("section", "div") & low().rlike(CONTENT_WORDS))
-    return counted.withColumns({
+    return nodes.withColumns({
         "is_hidden": hidden(), "overlay": overlay(), "low_priority": ~overlay() & low_priority(), "noise": noise_by_class(), "metadata": metadata, "consent": consent(), "removed": removed,
     })
 
 
 def walk_facts(nodes: DataFrame) -> DataFrame:
     """What the rules of the walk ask about ancestors, siblings and descendants, besides ``marks``."""
-    counted = with_counts(marks(nodes), {"direct_inside": direct_tag(), "structure_inside": c("tag").isin("p", "li", "blockquote", *HEADINGS)})
+    counted = marks(nodes)
     articles = c("tag").isin("article") | c("role").isin("article", "main") | low().rlike(_named(ARTICLE_CLASSES))
     region = c("tag").isin("article", "main") | c("role").isin("main", "article") | low().rlike(CONTENT_WORDS)
     siblings = F.count_if(c("tag").isin(*PROSE_FLOW)).over(W.partitionBy(PAGE, "parent_id"))
@@ -301,7 +301,7 @@ def within() -> Column:
 def refined_roots(nodes: DataFrame, picks: DataFrame) -> DataFrame:
     """(page_id, node_id): a body element gives way to the article around it, and another pick to the body element
     in it, unless a heading of the article stands outside the body element: then the article is the root."""
-    side = _on_page(nodes, picks)
+    side = _on_page(nodes.select(PAGE, "node_id", "parent_id", "last", "tag", "class"), picks)
     rank = F.coalesce(*[F.when(_is([k]), F.lit(i)) for i, k in enumerate(BODY_CLASSES)])
     near = side.groupBy(PAGE, "pick_id", "pick_last", "pick_tag", "pick_is_body").agg(
         F.max(F.when(around() & (c("tag") == "article"), F.struct("node_id", "last"))).alias("article"),
@@ -320,25 +320,23 @@ def refined_roots(nodes: DataFrame, picks: DataFrame) -> DataFrame:
     return said.select(PAGE, F.when(c("inside").isNull(), c("outer.node_id")).when(c("outer").isNull() | ~up, c("inside.node_id")).otherwise(c("outer.node_id")).alias("node_id"))
 
 
-def _jumped(steps: DataFrame, more: DataFrame) -> DataFrame:
-    """Pointers of ``steps`` followed by those of ``more``."""
-    return steps.join(more.select(PAGE, c("node_id").alias("to"), c("to").alias("_on")), [PAGE, "to"]).select(PAGE, "node_id", c("_on").alias("to"))
-
-
 def unwrapped_roots(nodes: DataFrame, picks: DataFrame) -> DataFrame:
-    """(page_id, node_id): up through at most ``WRAPPERS`` elements that add no text, by pointer jumping (4 + 2 steps)."""
-    up = nodes.select(PAGE, c("node_id").alias("parent_id"), c("trimmed_chars").alias("around"), (~c("tag").isin("body", "html") & ~F.concat_ws(" ", "class", "dom_id").rlike(f"(?i){NO_WRAPPER}")).alias("passes"))
-    one = nodes.join(up, [PAGE, "parent_id"], "left").select(PAGE, "node_id", F.when(c("passes") & (c("around") <= c("trimmed_chars")), c("parent_id")).otherwise(c("node_id")).alias("to"))
-    two = _jumped(one, one)
-    six = _jumped(_jumped(two, two), two)
-    # an element of the article's body stays
-    own = nodes.select(PAGE, "node_id", _is(BODY_CLASSES).alias("body")).join(picks.select(PAGE, "node_id"), [PAGE, "node_id"])
-    return own.join(six, [PAGE, "node_id"]).select(PAGE, F.when(c("body"), c("node_id")).otherwise(c("to")).alias("node_id"))
+    """(page_id, node_id): up through at most ``WRAPPERS`` elements that add no text; only a pick's ancestors are looked at."""
+    passes = ~c("tag").isin("body", "html") & ~F.concat_ws(" ", "class", "dom_id").rlike(f"(?i){NO_WRAPPER}")
+    slim = nodes.select(PAGE, "node_id", "parent_id", "last", "tag", "class", "trimmed_chars", passes.alias("passes"))
+    line = _on_page(slim, picks).where(around() | (c("node_id") == c("pick_id")))
+    up = W.partitionBy(PAGE).orderBy(c("node_id").desc())
+    step = (c("node_id") == c("pick_id")) | (c("passes") & (c("trimmed_chars") <= F.lag("trimmed_chars").over(up)) & ~c("pick_is_body"))
+    # an element of the article's body stays; of the others the way ends at the first step that is none
+    steps = line.withColumns({"step": step, "up": F.row_number().over(up) - 1}).where(c("up") <= WRAPPERS)
+    whole = F.min(c("step").cast("int")).over(up.rowsBetween(W.unboundedPreceding, 0)) == 1
+    return steps.withColumn("whole", whole).where("whole").groupBy(PAGE).agg(F.min("node_id").alias("node_id"))
 
 
 def best_roots(nodes: DataFrame, picks: DataFrame) -> DataFrame:
     """(page_id, node_id): the element or the ancestor, up to the first with a headline, that scores best; the nearest of equal ones."""
-    side = _on_page(container_scores(headline_below(nodes)), picks)
+    slim = nodes.select(PAGE, "node_id", "parent_id", "last", "tag", "class", "rel", "trimmed_chars")
+    side = _on_page(container_scores(headline_below(slim)), picks)
     line = side.where((around() | (c("node_id") == c("pick_id"))) & ~c("tag").isin("body", "html"))
     stop = F.max(F.when(c("headline"), c("node_id"))).over(W.partitionBy(PAGE))
     asked = line.withColumn("stop", F.coalesce(stop, F.lit(-1))).where(c("node_id") >= c("stop"))
@@ -348,11 +346,11 @@ def best_roots(nodes: DataFrame, picks: DataFrame) -> DataFrame:
 
 def with_headers(nodes: DataFrame, picks: DataFrame) -> DataFrame:
     """(page_id, node_id, expanded): the parent of a root without an h1 that a header with a heading precedes."""
-    counted = with_counts(nodes, {"h1s": c("tag") == "h1", "headings": c("tag").isin(*HEADINGS)})
-    side = _on_page(counted, picks)
+    slim = nodes.select(PAGE, "node_id", "parent_id", "last", "tag", "class", "headings")
+    side = _on_page(slim, picks)
     header = ((c("tag") == "header") | low().rlike(HEADER_LIKE)) & (c("headings") > 0)
     said = side.groupBy(PAGE, "pick_id", "pick_parent").agg(
-        F.bool_or((c("node_id") == c("pick_id")) & (c("h1s") > 0)).alias("titled"), F.bool_or((c("parent_id") == c("pick_parent")) & (c("node_id") < c("pick_id")) & header).alias("headed")
+        F.bool_or(within() & (c("tag") == "h1")).alias("titled"), F.bool_or((c("parent_id") == c("pick_parent")) & (c("node_id") < c("pick_id")) & header).alias("headed")
     )
     grown = ~c("titled") & c("headed") & (c("pick_parent") >= 0)
     return said.select(PAGE, F.when(grown, c("pick_parent")).otherwise(c("pick_id")).alias("node_id"), grown.alias("expanded"))
@@ -395,7 +393,6 @@ def risen_scores(nodes: DataFrame) -> DataFrame:
     A paragraph of ``PARAGRAPH`` characters has a point, one for each comma and one for each hundred characters up to
     three; its parent gets all, its grandparent ``DAMPED`` of it.  Class and id add or take 25, and the share of text
     that is in links takes its part."""
-    links = nodes.where(c("tag") == "a").select(PAGE, c("node_id").alias("a"), c("text_chars").alias("link"))
     commas = F.char_length("text") - F.char_length(F.regexp_replace("text", "[,，、]", ""))
     said = nodes.where(c("tag").isin("p", "pre", "td") & (c("trimmed_chars") >= PARAGRAPH)).select(
         PAGE, "node_id", "parent_id", (1 + F.coalesce(commas, F.lit(0)) + F.least(F.lit(3), F.floor(c("trimmed_chars") / 100))).alias("points")
@@ -405,10 +402,7 @@ def risen_scores(nodes: DataFrame) -> DataFrame:
         PAGE, F.explode(F.array(F.struct(c("parent_id").alias("node_id"), c("points").cast("double").alias("points")), F.struct(c("grandparent").alias("node_id"), (c("points") * DAMPED).alias("points")))).alias("s")
     )
     risen = both.select(PAGE, "s.node_id", "s.points").where(c("node_id") >= 0).groupBy(PAGE, "node_id").agg(F.sum("points").alias("points"))
-    # characters of links, summed over each subtree like its counts
-    linked = nodes.join(links.select(PAGE, c("a").alias("node_id"), "link"), [PAGE, "node_id"], "left").withColumn("_upto", F.coalesce(F.sum("link").over(upto()), F.lit(0)))
-    ends = linked.select(PAGE, c("node_id").alias("last"), c("_upto").alias("_end"))
-    dense = linked.join(ends, [PAGE, "last"]).withColumn("density", F.when(c("text_chars") > 0, (c("_end") - c("_upto")) / c("text_chars")).otherwise(0.0))
+    dense = nodes.withColumn("density", F.when(c("text_chars") > 0, c("link_chars") / c("text_chars")).otherwise(0.0))
     sign = lambda name: F.when(c(name).rlike(AGAINST), -25).otherwise(0) + F.when(c(name).rlike(FOR), 25).otherwise(0)
     tag = F.when(c("tag").isin("div", "article", "main", "section"), 5).when(c("tag").isin("pre", "td", "blockquote"), 3).when(c("tag").isin("ol", "ul", "dl", "form", "li"), -3).otherwise(0)
     found = dense.where(~c("tag").isin("html", "body")).join(risen, [PAGE, "node_id"])

@@ -33,7 +33,10 @@ def htm07(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("htm08_selector_roots")
 def htm08(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first selector in order that matches, its longest node: article, main, role, then class names."""
-    n = html.nodes(table(spark, sf_dir, "pages"))
+    return selector_roots(html.nodes(table(spark, sf_dir, "pages")))
+
+
+def selector_roots(n: DataFrame) -> DataFrame:
     low = F.lower("class")
     rank = F.when(low.rlike("article-(body|content)|post-content|entry-content"), 0).when(F.col("tag") == "article", 1).when(F.col("tag") == "main", 2).when(F.col("role") == "main", 3).when(low.rlike(article.GOOD), 4)
     ranked = n.withColumn("selector", rank).where(F.col("selector").isNotNull())
@@ -44,11 +47,11 @@ def htm08(spark: SparkSession, sf_dir: str) -> DataFrame:
 def htm11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A candidate per provider and page, the best by confidence first."""
     pages = table(spark, sf_dir, "pages")
-    n = html.nodes(pages)
+    n = ledger.saved(html.nodes(pages))
     density = article.article_roots(n).select("page_id", "node_id", F.lit("density").alias("provider"))
-    selector = htm08(spark, sf_dir).select("page_id", "node_id", F.lit("selector").alias("provider"))
+    selector = selector_roots(n).select("page_id", "node_id", F.lit("selector").alias("provider"))
     body = n.where("tag = 'body'").groupBy("page_id").agg(F.min("node_id").alias("node_id")).withColumn("provider", F.lit("body"))
-    risen = page_tree.readability_roots(tree.tree(pages)).select("page_id", "node_id", F.lit("readability").alias("provider"))
+    risen = page_tree.readability_roots(ledger.saved(tree.tree(pages))).select("page_id", "node_id", F.lit("readability").alias("provider"))
     both = density.unionByName(selector).unionByName(body).unionByName(risen).join(n, ["page_id", "node_id"])
     c = F.col
     quality = article.quality_score({"text_len": c("text_len"), "readable": F.greatest(c("readable_len"), F.lit(1)), "link_len": c("link_len"), "noise_len": c("noise_len"), "h1": c("h1"), "h2": c("h2"), "paragraphs": c("paragraphs"), "named": F.lower("class").rlike("article-(body|content)|post-content|entry-content"), "prior": F.lit(0.0)})

@@ -17,6 +17,11 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.tree(table(spark, sf_dir, "pages"))
 
 
+def saved_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For queries that read the elements more than once: each time would parse the pages again."""
+    return ledger.saved(nodes(spark, sf_dir))
+
+
 def bodies(nodes: DataFrame) -> DataFrame:
     return nodes.where("tag = 'body'").groupBy("page_id").agg(F.min("node_id").alias("node_id"))
 
@@ -43,13 +48,13 @@ def flt17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("htm14_walk_verdicts")
 def htm14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    n = saved_nodes(spark, sf_dir)
     return page_tree.walk(n, bodies(n)).select("page_id", "node_id", "tag", F.col("verdict.kind").alias("kind"), F.col("verdict.reason").alias("reason"))
 
 
 @query("htm16_walk_blocks")
 def htm16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    n = saved_nodes(spark, sf_dir)
     return page_tree.blocks(n, bodies(n)).withColumn("outline", F.array_join("outline", " > "))
 
 
@@ -61,7 +66,7 @@ def ext29(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ext28_refined_roots")
 def ext28(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    n = saved_nodes(spark, sf_dir)
     picks = page_tree.selected_roots(n)
     steps = {"selected": picks, "refined": page_tree.refined_roots(n, picks)}
     steps["unwrapped"] = page_tree.unwrapped_roots(n, steps["refined"])
@@ -75,17 +80,17 @@ def ext28(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("htm23_header_expansion")
 def htm23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    n = saved_nodes(spark, sf_dir)
     return page_tree.with_headers(n, page_tree.selected_roots(n))
 
 
 @query("htm06_readability_roots")
 def htm06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_tree.readability_roots(nodes(spark, sf_dir))
+    return page_tree.readability_roots(saved_nodes(spark, sf_dir))
 
 
 @query("htm21_prepared_blocks")
 def htm21(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roots found and refined, then the blocks below them; pages without a block are walked through their tables."""
-    n = ledger.checkpointed(nodes(spark, sf_dir))
+    n = saved_nodes(spark, sf_dir)
     return page_tree.page_blocks(n, ledger.checkpointed(page_tree.article_roots(n))).withColumn("outline", F.array_join("outline", " > "))
