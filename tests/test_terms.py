@@ -9,6 +9,7 @@ import re
 from pyspark.sql import functions as F
 
 from textloom.operators import graph, terms
+from textloom.plans.catalog import registered
 
 TERMS = [("King Rat", "王鼠"), ("the King Rat of the Old Northern Town", "Rattenkönig"), ("king", "König"), ("中村", "Nakamura"), ("中村先生", "Herr Nakamura"), ("O'Neil-Smith", "ON"), ("Élan", "Schwung"), ("Иван", "Ivan"), ("...", "dots"), (None, "x")]
 TEXTS = [
@@ -76,3 +77,16 @@ def test_names_of_more_tokens_than_a_key(spark):
     texts = spark.createDataFrame([(1, "one the King Rat of the Old Town two"), (2, "the king rat of the other town"), (3, None)], "id long, text string")
     names = spark.createDataFrame([("The King-Rat of the Old Town",), ("king rat",), ("",)], "name string")
     assert {(r.id, r.name) for r in graph.mentions(texts, "text", names, "name").collect()} == {(1, "The King-Rat of the Old Town"), (1, "king rat"), (2, "king rat")}
+
+
+def test_sieve_keeps_what_is_asked_for(spark):
+    asked = spark.range(0, 1000, 10).selectExpr("xxhash64(id) AS k")
+    rows = spark.range(0, 1000).selectExpr("id", "xxhash64(id) AS k")
+    kept = {r.id for r in graph.sieved(rows, asked, "k").collect()}
+    assert set(range(0, 1000, 10)) <= kept and len(kept) < 110
+
+
+def test_each_count_of_a_mapping_is_taken_once(spark):
+    plan = registered()["scl12_mapping_verdicts"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # two sides in each of the two parts of the union
+    assert plan.count("[.!?;。！？；]+") == 4
