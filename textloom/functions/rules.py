@@ -101,17 +101,22 @@ def parking_reason(title: Column, body: Column) -> Column:
     return F.when(title.rlike(PARKED_TITLE), "title").when((n < 20000) & body.rlike(PARKED_BODY), "body").when((n < 5000) & pair, "template")
 
 
-def mapping_ratios(original: Column, translated: Column) -> tuple[Column, Column]:
-    """Character and sentence ratios; an empty original gives 1 or infinity."""
-    pair = [(solid_length(original), solid_length(translated)), (count_sentences(F.coalesce(original, F.lit(""))), count_sentences(F.coalesce(translated, F.lit(""))))]
+def mapping_counts(original: Column, translated: Column) -> dict[str, Column]:
+    """What the two functions below read, once: solid characters and sentences of both sides."""
+    sides = {"orig": original, "trans": translated}
+    return {f"{k}_chars": solid_length(x) for k, x in sides.items()} | {f"{k}_sentences": count_sentences(F.coalesce(x, F.lit(""))) for k, x in sides.items()}
+
+
+def mapping_ratios() -> tuple[Column, Column]:
+    """Character and sentence ratios, over the columns of ``mapping_counts``; an empty original gives 1 or infinity."""
+    pair = [(F.col(f"orig_{k}"), F.col(f"trans_{k}")) for k in ("chars", "sentences")]
     return tuple(F.when(a == 0, F.when(b == 0, 1.0).otherwise(float("inf"))).otherwise(b / a) for a, b in pair)
 
 
-def mapping_reasons(original: Column, translated: Column) -> Column:
-    """Names of the tests by which a translation does not fit its original."""
-    o, t = solid_length(original), solid_length(translated)
-    so, st = count_sentences(F.coalesce(original, F.lit(""))), count_sentences(F.coalesce(translated, F.lit("")))
-    chars, sentences = mapping_ratios(original, translated)
+def mapping_reasons() -> Column:
+    """Names of the tests by which a translation does not fit its original, over the columns of ``mapping_counts``."""
+    o, t, so, st = (F.col(k) for k in ("orig_chars", "trans_chars", "orig_sentences", "trans_sentences"))
+    chars, sentences = mapping_ratios()
     wide = (F.abs(t - o) >= 25) & (o > 0)
     both = (so >= 1) & (st >= 1)
     tests = [
