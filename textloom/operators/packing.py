@@ -11,8 +11,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from textloom.functions.splitting import pieces_udf, split_keeping_separators
+from textloom.functions.splitting import cut_rows, split_keeping_separators
 from textloom.functions.text import estimate_tokens
 
 
@@ -56,11 +58,13 @@ def _with(rows: DataFrame, more: str) -> str:
 
 def expand_long(blocks: DataFrame, id_col: str, text_col: str, most: int = 2400) -> DataFrame:
     """Blocks with long ones cut: ``piece`` from 0, ``pieces``, ``separator`` and the piece's own id."""
-    cut = pieces_udf(lambda t: split_keeping_separators(t, most))
     rest = [c for c in blocks.columns if c != text_col]
-    rows = blocks.withColumn("_p", cut(F.col(text_col))).withColumn("pieces", F.size("_p")).select(*rest, "pieces", F.posexplode("_p").alias("piece", "_x"))
+    slim = blocks.select(*rest, text_col)
+    schema = StructType([*(slim.schema[c] for c in rest), StructField("pieces", IntegerType()), StructField("piece", IntegerType()), StructField("_separator", StringType()), StructField("_text", StringType())])
+    arrow = to_arrow_schema(schema)
+    rows = slim.mapInArrow(lambda frames: cut_rows(frames, lambda t: split_keeping_separators(t, most), arrow), schema)
     own = F.when(F.col("pieces") > 1, F.concat(F.col(id_col).cast("string"), F.lit("__segment_"), (F.col("piece") + 1).cast("string"))).otherwise(F.col(id_col).cast("string"))
-    return rows.select(*rest, "piece", "pieces", own.alias("piece_id"), F.col("_x.separator").alias("separator"), F.col("_x.text").alias(text_col))
+    return rows.select(*rest, "piece", "pieces", own.alias("piece_id"), F.col("_separator").alias("separator"), F.col("_text").alias(text_col))
 
 
 def chunk(blocks: DataFrame, group: list[str], order: list[str], text_col: str, tag_col: str, target: int = 10000, hard: int = 500000, look: int = 5) -> DataFrame:
