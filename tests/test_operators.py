@@ -3,10 +3,12 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textloom.functions import repair, splitting
 from textloom.operators import article, graph, packing, sampling
+from textloom.plans.catalog import registered
 from textloom.plans.packing import sample_files
 from textloom.sources import files, html
 
@@ -131,3 +133,22 @@ def test_packing_reads_a_hot_group_as_a_stream(spark):
             chosen.append((i, own))
     assert got == want
     assert kept == sorted((g is not None, g or 0, i) for g, chosen in sets.items() for i, _ in chosen)
+
+
+def test_pieces_leave_in_bounded_batches():
+    schema = pa.schema([("id", pa.int64()), ("pieces", pa.int32()), ("piece", pa.int32()), ("separator", pa.string()), ("text", pa.string())])
+    texts = ["word " * 400_000, None, "", "short", "word " * 400_000]
+    frames = iter([pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], ["id", "text"])])
+    sizes, joined = [], {}
+    for batch in splitting.cut_rows(frames, splitting.split_keeping_separators, schema):
+        sizes.append(sum(map(len, batch.column("text").to_pylist())))
+        for r in batch.to_pylist():
+            joined[r["id"]] = joined.get(r["id"], "") + r["separator"] + r["text"]
+    assert max(sizes) <= splitting.BATCH_CHARS + splitting.EXACT_SIZE and len(sizes) > 3
+    assert joined == {i: t for i, t in enumerate(texts) if t}
+
+
+def test_words_of_a_sentence_are_made_once(spark):
+    plan = registered()["flagship_repeated_passages"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # in both sides of the join of passages
+    assert plan.count("[^\\p{L}\\p{N}]+") == 2

@@ -75,8 +75,11 @@ def name_scores(mentions: DataFrame, low: Column, high: Column) -> DataFrame:
 
 def sentences(segments: DataFrame) -> DataFrame:
     """(segment, chapter, position, sentence, words) of the sentences with three characters or more."""
-    rows = segments.select("segment", "chapter", F.posexplode(sentence_units(F.col("text"))).alias("position", "sentence"))
-    return rows.withColumn("sentence", strip(F.col("sentence"))).withColumn("words", bare_words(F.col("sentence"))).where(F.char_length("words") >= 3)
+    # made before the explode: behind it each filter on the words would make them again
+    stripped = F.transform(sentence_units(F.col("text")), lambda s: strip(s))
+    both = F.transform(stripped, lambda s: F.struct(s.alias("sentence"), bare_words(s).alias("words")))
+    rows = segments.select("segment", "chapter", F.posexplode(both).alias("position", "unit"))
+    return rows.select("segment", "chapter", "position", "unit.sentence", "unit.words").where(F.char_length("words") >= 3)
 
 
 def repeated_passages(units: DataFrame, top: int = 80, ids: int = 16) -> DataFrame:
