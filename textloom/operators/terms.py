@@ -142,7 +142,8 @@ def marker_counts_match(source: Column, translation: Column, terms: Column) -> C
 def restored_documents(documents: DataFrame, terms: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """(id, json): markers in the strings of JSON documents at any depth restored to targets, those under a key
     ``sourceExcerpt`` to sources.  ``terms``: (id, terms) of each document."""
-    strings = json_tree.leaves(documents, id_col, json_col)
+    found = json_tree.levels(documents, id_col, json_col)
+    strings = json_tree.strings(found)
     mode = F.when(c("path").rlike(r"\.sourceExcerpt($|[.\[])"), "source").otherwise("target")
     edits = strings.where(c("text").rlike(MARKS)).join(terms.select(c(id_col).alias("id"), "terms"), "id").select("id", "path", restored(c("text"), c("terms"), mode).alias("text"))
-    return json_tree.write_back(documents, edits, id_col, json_col)
+    return json_tree.write_back(documents, edits, id_col, json_col, found)
