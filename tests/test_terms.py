@@ -90,3 +90,19 @@ def test_each_count_of_a_mapping_is_taken_once(spark):
     plan = registered()["scl12_mapping_verdicts"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     # one a side
     assert plan.count("[^.!?;。！？；") == 2
+
+
+def test_texts_are_cut_once_for_their_terms(spark, monkeypatch):
+    cuts, keys = [], terms.keys_of_texts
+    monkeypatch.setattr(terms, "keys_of_texts", lambda *a, **k: cuts.append(1) or keys(*a, **k))
+    registered()["ext26_protected_segments"][0](spark, "/root/testdata/sf0.001")
+    assert len(cuts) == 1
+
+
+def test_runs_that_begin_no_term_stay_behind(spark):
+    texts = spark.createDataFrame([(1, "a king and a queen of the old town " * 3), (2, "nothing here"), (3, None), (4, "tail of the old town"), (5, "昨日中村")], "id long, text string")
+    hashed = ["xxhash64(u[0]) AS first", "CASE size(u) WHEN 1 THEN xxhash64(u[0]) ELSE xxhash64(u[0], u[1], u[2], u[3]) END AS gram"]
+    asked = spark.createDataFrame([(["king"],), (["of", "the", "old", "town"],), (["\x01中村"],)], "u array<string>").selectExpr(*hashed)
+    got = {(r.id, r.gram) for r in terms.keys_of_texts(texts, "id", "text", asked).collect()}
+    king, town, pair = [r.gram for r in asked.collect()]
+    assert got == {(1, king), (1, town), (4, town), (5, pair)}

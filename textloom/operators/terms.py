@@ -1,7 +1,8 @@
 """Fixed terms in texts: found by keys, masked by an automaton, restored.
 
 Which terms stand in a text is an equi join: a term meets a text by its first tokens or, in scripts without spaces, by its first two
-characters; so no list of terms is broadcast, and a text carries only the terms that may be its own.  Masking builds one automaton (a trie with
+characters; so no list of terms is broadcast, and a text carries only the terms that may be its own.  What goes through the join are hashes
+that a sieve of bounded size lets through.  Masking builds one automaton (a trie with
 failure links) for the terms of a batch of texts, scans each text once, and takes matches from the left, of those that begin together the longest.
 
 Edge cases: null and empty texts have no terms; terms that are null or have neither letter nor digit are not looked for; of terms that differ in
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators import graph, ledger
 from textloom.sources import json_tree
 
 c = F.col
@@ -32,36 +34,42 @@ def normal(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def _runs(words: Column, n: int) -> Column:
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def _units(words: Column, pairs: Column) -> Column:
+    return F.concat(words, F.transform(pairs, lambda x: F.concat(F.lit("\x01"), F.lower(x))))
 
 
-def keys_of_texts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key): the distinct runs of tokens and pairs of characters that a term may begin with."""
-    # the words have a column of their own: within a lambda they would be split again for each run
-    cut = texts.select(
-        c(id_col).alias("id"), F.split(normal(c(text_col)), " ").alias("words"), F.regexp_extract_all(text_col, F.lit(rf"(?=({UNSPACED}.|.{UNSPACED}))"), F.lit(1)).alias("pairs")
-    )
-    words = c("words")
-    keys = F.concat(*[_runs(words, n) for n in range(1, KEY_TOKENS + 1)], F.transform("pairs", lambda x: F.concat(F.lit("\x01"), F.lower(x))))
-    # the outer form, since a filter on the size of the array would be pushed below the words
-    return cut.select("id", F.array_distinct(keys).alias("keys")).select("id", F.explode_outer("keys").alias("_key")).where("_key IS NOT NULL")
+def keys_of_texts(texts: DataFrame, id_col: str, text_col: str, asked: DataFrame) -> DataFrame:
+    """(id, gram): the distinct hashes of runs of tokens, and of pairs of characters, that stand in the texts and may be among
+    those of ``asked`` (first, gram).  A run is made only where its first unit may begin a term, so a text without one costs a pass over its units."""
+    # the units have a column of their own: beside the explode they would be made again for each of them
+    pairs = F.regexp_extract_all(text_col, F.lit(rf"(?=({UNSPACED}.|.{UNSPACED}))"), F.lit(1))
+    cut = texts.select(c(id_col).alias("id"), _units(F.split(normal(c(text_col)), " "), pairs).alias("units"))
+    # the outer form, since a filter on the size of the array would be pushed below the units
+    each = cut.select("id", "units", F.posexplode_outer("units").alias("at", "unit")).where("unit IS NOT NULL").withColumn("first", F.xxhash64("unit"))
+    begun = graph.sieved(each, asked.select("first"), "first")
+    # a run over the end of the text is a shorter one, since hashes pass over nulls
+    following = [F.get("units", c("at") + i) for i in range(1, KEY_TOKENS)]
+    runs = begun.select("id", F.explode(F.array(*[F.xxhash64("unit", *following[:n]) for n in range(KEY_TOKENS)])).alias("gram"))
+    return graph.sieved(runs, asked.select("gram"), "gram").distinct()
 
 
-def key_of_term(term: Column) -> Column:
-    words = F.split(normal(term), " ")
+def units_of_term(term: Column) -> Column:
+    """The units that a text is asked for: the first tokens or, in scripts without spaces, the first two characters."""
     bare = F.btrim(term)
-    pair = F.concat(F.lit("\x01"), F.lower(F.substr(bare, F.lit(1), F.lit(2))))
-    return F.when(F.substr(bare, F.lit(1), F.lit(2)).rlike(UNSPACED) & (F.char_length(bare) >= 2), pair).otherwise(F.array_join(F.slice(words, 1, KEY_TOKENS), " "))
+    pair = F.substr(bare, F.lit(1), F.lit(2))
+    unspaced = pair.rlike(UNSPACED) & (F.char_length(bare) >= 2)
+    return F.when(unspaced, _units(F.array().cast("array<string>"), F.array(pair))).otherwise(F.slice(F.split(normal(term), " "), 1, KEY_TOKENS))
 
 
 def terms_of_texts(texts: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
     """(id, terms): for the texts that may hold some the terms (source, target) of ``terms`` as an array, the longest first,
     each with its marker.  The array is as long as a text has distinct runs of words at most."""
-    asked = terms.where(normal(c("source")) != "").select(key_of_term(c("source")).alias("_key"), "source", "target")
-    # one target a term; then its copies of other case
-    one = asked.groupBy("_key", F.lower("source").alias("_low")).agg(F.min(F.struct("source", "target")).alias("term")).select("_key", "term.source", "term.target")
-    found = keys_of_texts(texts, id_col, text_col).join(one, "_key").groupBy("id").agg(F.array_sort(F.collect_set(F.struct((-F.char_length("source")).alias("n"), "source", "target"))).alias("found"))
+    # one target a term and its copies of other case
+    one = terms.where(normal(c("source")) != "").groupBy(F.lower("source")).agg(F.min(F.struct("source", "target")).alias("term")).select(units_of_term(c("term.source")).alias("units"), "term.source", "term.target")
+    hashed = F.xxhash64(*[F.get("units", F.lit(i)) for i in range(KEY_TOKENS)])
+    asked = ledger.saved(one.select(F.xxhash64(F.get("units", F.lit(0))).alias("first"), hashed.alias("gram"), "source", "target"))
+    met = keys_of_texts(texts, id_col, text_col, asked).join(asked.drop("first"), "gram")
+    found = met.groupBy("id").agg(F.array_sort(F.collect_set(F.struct((-F.char_length("source")).alias("n"), "source", "target"))).alias("found"))
     marked = F.transform("found", lambda t, i: F.struct(t["source"].alias("source"), t["target"].alias("target"), F.format_string(MARK.replace("{:03d}", "%03d"), i + 1).alias("marker")))
     return found.select("id", marked.alias("terms"))
 
@@ -123,7 +131,12 @@ def protected(segments: DataFrame, terms: DataFrame, id_col: str, source_col: st
     """``segments`` with the terms in their source masked, and in their draft the targets of those terms; ``terms`` has
     the terms that the source holds with their markers."""
     own = terms_of_texts(segments, id_col, source_col, terms).withColumnRenamed("id", id_col)
-    held = segments.join(own, id_col, "left").withColumn(source_col, masked(c(source_col), c("terms"), "source"))
+    return protected_by(segments.join(own, id_col, "left"), source_col, draft_col)
+
+
+def protected_by(segments: DataFrame, source_col: str, draft_col: str | None = None) -> DataFrame:
+    """``protected`` for segments that have what ``terms_of_texts`` gives for their source as a column ``terms``."""
+    held = segments.withColumn(source_col, masked(c(source_col), c("terms"), "source"))
     used = held.withColumn("terms", F.coalesce(F.filter("terms", lambda t: F.contains(c(source_col), t["marker"])), F.array().cast(PAIRS)))
     return used if draft_col is None else used.withColumn(draft_col, masked(c(draft_col), c("terms"), "target"))
 

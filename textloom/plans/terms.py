@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators import terms
+from textloom.operators import graph, ledger, terms
 from textloom.plans.base import query, table
 
 #: Words of a benchmark item that are a term: more than any key holds.
@@ -26,10 +26,13 @@ def ext26(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     first = F.array_join(F.slice(F.split("text", " "), 1, TERM_WORDS), " ")
     named = table(spark, sf_dir, "benchmark").where(F.size(F.split("text", " ")) > TERM_WORDS).select(first.alias("source"), F.format_string("Begriff Nr %d", "item_id").alias("target"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", c("text").alias("source"), c("text").alias("draft"))
-    own = terms.terms_of_texts(docs, "doc_id", "source", named).select(c("id").alias("doc_id"), c("terms").alias("own"))
-    drafted = docs.join(own, "doc_id").withColumn("draft", terms.restored(terms.masked(c("draft"), c("own"), "source"), c("own"), F.lit("target"))).drop("own")
-    held = terms.protected(drafted.withColumn("before", c("draft")), named, "doc_id", "source", "draft").where(F.size("terms") > 0)
+    docs = table(spark, sf_dir, "documents").select("doc_id", c("text").alias("source"))
+    own = ledger.saved(terms.terms_of_texts(docs, "doc_id", "source", named).withColumnRenamed("id", "doc_id"))
+    # most texts hold no term: they stay behind before the join
+    hashed = F.xxhash64("doc_id").alias("key")
+    kept = graph.sieved(docs.select("*", hashed), own.select(hashed), "key").drop("key").join(own, "doc_id")
+    drafted = kept.withColumn("draft", terms.restored(terms.masked(c("source"), c("terms"), "source"), c("terms"), F.lit("target")))
+    held = terms.protected_by(drafted.withColumn("before", c("draft")), "source", "draft").where(F.size("terms") > 0)
     marks = F.regexp_count("source", F.lit(terms.MARKS)).cast("long")
     return held.select(
         "doc_id", F.size("terms").cast("long").alias("n_terms"), marks.alias("n_markers"), terms.marker_counts_match(c("source"), c("draft"), c("terms")).alias("counts_match"),
