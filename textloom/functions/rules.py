@@ -31,11 +31,14 @@ def is_valid_text(text: Column) -> Column:
 
 
 def is_prose(text: Column, min_length: int = 1) -> Column:
-    t = strip(text)
-    out = (F.char_length(t) >= min_length) & t.rlike(r"\p{L}")
-    for pattern in NOT_PROSE:
-        out &= ~t.rlike(pattern)
-    return out
+    def judged(t: Column) -> Column:
+        out = (F.char_length(t) >= min_length) & t.rlike(r"\p{L}")
+        for pattern in NOT_PROSE:
+            out &= ~t.rlike(pattern)
+        return out
+
+    # as an element the text is stripped once, not again for each pattern
+    return F.exists(F.array(strip(text)), judged)
 
 
 def is_dialogue(text: Column) -> Column:
