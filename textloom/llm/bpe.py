@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding by a pair occurrence index.
 
 Texts are cut at added tokens and into the vocabulary's words by the classes of their
-characters.  The index covers the distinct words of about ``CHUNK_CHARS`` of a
-partition's text that the worker has not met lately; those it has come from a cache of
-bounded size.  The new words are laid out in one symbol array; an index maps each
+characters, about ``CUT_CHARS`` at a time.  The index covers the distinct words of about
+``CHUNK_CHARS`` of a partition's text that the worker has not met lately; those it has
+come from a cache of bounded size.  The new words are laid out in one symbol array; an index maps each
 mergeable pair to all its positions there.  Active ranks are applied in ascending
 order: every occurrence of the pair is merged from left to right, and the lists of the
 neighbouring pairs are updated.  A merge can only create pairs of higher rank (checked
@@ -38,8 +38,12 @@ from textloom.llm.storage import small_batches
 VOCABULARY = "byte_bpe_50k.json"
 #: New words that a Python worker keeps before the older half of its cache is let go.
 CACHE_WORDS = 200_000
-#: Characters of text whose words are told apart, and whose new words are indexed, together.
+#: Characters of text whose new words are indexed together.
 CHUNK_CHARS = 4_000_000
+#: Characters of text whose words are told apart together, with some 60 bytes of arrays each.
+CUT_CHARS = 500_000
+#: Words or ids whose stretches are gathered together.
+CUT_IDS = 100_000
 #: Characters after which a text is cut at the next white space (a word always begins there).
 LONG_TEXT = 500_000
 #: Ids that are decoded together.
@@ -209,6 +213,8 @@ class Vocabulary:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that take in their surroundings are not handled")
+        self.added_packed = [np.uint32(i).tobytes() for i in self.added.values()]
+        self.added_number = {i: k - len(self.added) for k, i in enumerate(self.added.values())}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         self.next_word = regex.compile(r"(?<=\S)\s").search
         self.bytes_of: dict[int, bytes] = {i: bytes(of_letter[c] for c in s) for s, i in ids.items() if all(c in of_letter for c in s)}
@@ -311,26 +317,37 @@ class Vocabulary:
         return np.flatnonzero(new)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of whole texts; about CHUNK_CHARS are worked on at once."""
+        """Packed ids of whole texts; about CUT_CHARS are cut into words, and the new words of about CHUNK_CHARS indexed, at once."""
         out: list[list[bytes]] = [[] for _ in texts]
+        words: dict[str, int] = {}
+        cuts: list[tuple[list[int], np.ndarray, list[int]]] = []
         owner: list[int] = []
         held: list[str] = []
         added: list[int] = []
-        size = 0
+        size = total = 0
         for i, text in enumerate(texts):
             for part, token in self.parts(text) if text else ():
                 owner.append(i)
                 held.append(part)
                 added.append(token)
                 size += len(part)
-                if size >= CHUNK_CHARS:
-                    self._encode_parts(owner, held, added, out)
+                if size >= min(CUT_CHARS, CHUNK_CHARS):
+                    cuts.append((owner, *self._numbered(held, added, words)))
+                    total += size
                     owner, held, added, size = [], [], [], 0
+                if total >= CHUNK_CHARS:
+                    self._encode_cuts(cuts, words, out)
+                    words, cuts, total = {}, [], 0
         if held:
-            self._encode_parts(owner, held, added, out)
+            cuts.append((owner, *self._numbered(held, added, words)))
+        if cuts:
+            self._encode_cuts(cuts, words, out)
         return [b"".join(x) for x in out]
 
-    def _encode_parts(self, owner: list[int], held: list[str], added: list[int], out: list[list[bytes]]) -> None:
+    def _numbered(self, held: list[str], added: list[int], words: dict[str, int]) -> tuple[np.ndarray, list[int]]:
+        """The number in ``words``, which grows, of each word of the parts, and where each part's begin and the last one's end.
+
+        Added tokens count from -1 down: their text may be a word elsewhere, cut in another way."""
         whole = "".join(held)
         points = np.frombuffer(whole.encode("utf-32-le"), dtype="<u4")
         ends = np.cumsum([len(x) for x in held])
@@ -338,25 +355,28 @@ class Vocabulary:
         first = np.zeros(len(points), dtype=bool)
         first[begins] = True
         starts = self.word_starts(points, first)
-        for i in (i for i, token in enumerate(added) if token >= 0):
+        tokens = [i for i, token in enumerate(added) if token >= 0]
+        for i in tokens:
             starts = starts[(starts <= begins[i]) | (starts >= ends[i])]
         kinds, number = distinct_words(points, starts)
-        sizes = np.diff(np.r_[starts, len(points)])
-        tokens = {int(begins[i]): token for i, token in enumerate(added) if token >= 0}
-        spans = [(s, s + n) for s, n in zip(starts[kinds].tolist(), sizes[kinds].tolist(), strict=True)]
-        packed = self.ids_of([whole[s:e] for s, e in spans])
-        if tokens:
-            # an added token's text may be a word elsewhere, cut in another way
-            number = number.copy()
-            for begin, token in tokens.items():
-                number[np.searchsorted(starts, begin)] = len(packed)
-                packed.append(np.uint32(token).tobytes())
+        stops = np.r_[starts[1:], len(points)]
+        spans = zip(starts[kinds].tolist(), stops[kinds].tolist(), strict=True)
+        number = np.array([words.setdefault(whole[s:e], len(words)) for s, e in spans], dtype=np.int32)[number]
+        for i in tokens:
+            number[np.searchsorted(starts, begins[i])] = self.added_number[added[i]]
+        return number, np.searchsorted(starts, np.r_[begins, len(points)]).tolist()
+
+    def _encode_cuts(self, cuts: list[tuple[list[int], np.ndarray, list[int]]], words: dict[str, int], out: list[list[bytes]]) -> None:
+        packed = [*self.ids_of(list(words)), *self.added_packed]
         counts = np.array([len(x) // 4 for x in packed], dtype=np.int64)
-        ids = np.frombuffer(b"".join(packed), dtype="<u4")[_gathered(np.cumsum(counts) - counts, counts, number)].tobytes()
-        upto = np.r_[0, np.cumsum(counts[number])]
-        edges = (upto[np.searchsorted(starts, np.r_[begins, len(points)])] * 4).tolist()
-        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            out[owner[i]].append(ids[a:b])
+        places = np.cumsum(counts) - counts
+        every = np.frombuffer(b"".join(packed), dtype="<u4")
+        for owner, number, edges in cuts:
+            ids = _joined(every, places, counts, number)
+            upto = np.r_[0, np.cumsum(counts[number])]
+            at = (upto[edges] * 4).tolist()
+            for i, a, b in zip(owner, at[:-1], at[1:], strict=True):
+                out[i].append(ids[a:b])
 
     def decode(self, packed: bytes) -> str:
         return self.decode_all([packed])[0]
@@ -370,8 +390,8 @@ class Vocabulary:
             held.append(one or b"")
             size += len(held[-1]) // 4
             if size >= CHUNK_IDS or i + 1 == len(packed):
-                ids = np.frombuffer(b"".join(held), dtype="<u4").astype(np.int64)
-                raw = self.table[_gathered(self.places, self.sizes, ids)].tobytes()
+                ids = np.frombuffer(b"".join(held), dtype="<u4")
+                raw = _joined(self.table, self.places, self.sizes, ids)
                 upto = np.r_[0, np.cumsum(self.sizes[ids])]
                 edges = upto[np.r_[0, np.cumsum([len(x) // 4 for x in held])]].tolist()
                 out += [raw[a:b].decode("utf-8", "replace") for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -386,6 +406,11 @@ def _gathered(places: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> np.nd
     return np.repeat(shift, own) + np.arange(int(own.sum()))
 
 
+def _joined(data: np.ndarray, places: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> bytes:
+    """The bytes of those stretches of ``data``, with an index over CUT_IDS of them at a time."""
+    return b"".join(data[_gathered(places, sizes, picks[a : a + CUT_IDS])].tobytes() for a in range(0, len(picks), CUT_IDS))
+
+
 def distinct_words(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first place in ``starts`` of each distinct word, and the number of its word for each start.
 
@@ -464,6 +489,24 @@ def decode(df: DataFrame, ids_col: str = "ids_packed", out: str = "decoded", voc
     return df.withColumn(out, text(F.col(ids_col)))
 
 
+def encode_decode(df: DataFrame, text_col: str = "text", out: str = "encoded", vocabulary: str | None = None) -> DataFrame:
+    """``df`` with a struct column ``out`` of ``ids_packed`` and the text ``decoded`` from them.
+
+    Texts are encoded once.  Where the ids of an ``encode`` are read beside a ``decode`` of them, Spark chains
+    the two functions in one node and encodes every text twice."""
+    path = vocabulary or default_vocabulary()
+    _refuse(df, out)
+    small_batches(df.sparkSession)
+
+    @F.pandas_udf("ids_packed binary, decoded string")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        v = load(path)
+        packed = v.encode_all(texts.tolist())
+        return pd.DataFrame({"ids_packed": pd.Series(packed, dtype=object), "decoded": pd.Series(v.decode_all(packed), dtype=object)})
+
+    return df.withColumn(out, both(F.col(text_col)))
+
+
 def unpack_ids(packed: Column) -> Column:
     """The ids of a packed column as an array of long."""
     n = (F.octet_length(packed) / 4).cast("int")
@@ -474,11 +517,11 @@ def unpack_ids(packed: Column) -> Column:
 
 def digests(docs: DataFrame, carried: list[str], text_col: str = "text") -> DataFrame:
     """``carried`` columns with the number of ids, the digest of the ids and that of the text decoded from them."""
-    return decode(encode(docs, text_col).select(*carried, "ids_packed")).select(
+    return encode_decode(docs, text_col).select(
         *carried,
-        (F.octet_length("ids_packed") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids_packed", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.octet_length("encoded.ids_packed") / 4).cast("long").alias("n_tokens"),
+        F.sha2("encoded.ids_packed", 256).alias("ids_sha256"),
+        F.sha2(F.col("encoded.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
