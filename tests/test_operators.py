@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textloom.functions import repair, splitting
-from textloom.operators import article, graph, packing, sampling
+from textloom.operators import article, book, graph, packing, sampling
 from textloom.plans.catalog import registered
 from textloom.plans.packing import sample_files
 from textloom.sources import files, html
@@ -152,3 +152,26 @@ def test_words_of_a_sentence_are_made_once(spark):
     plan = registered()["flagship_repeated_passages"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     # in both sides of the join of passages
     assert plan.count("[^\\p{L}\\p{N}]+") == 2
+
+
+def test_repeated_passages_are_counted_by_digests(spark, monkeypatch):
+    rng = random.Random(3)
+    said = [f"passage number {x} stands here" for x in "zyxwvutsrqponmlk"]
+    rows = [(i, rng.choice(["a", "b", None]), " ".join(f"{p.capitalize()}." for p in rng.choices(said, k=4))) for i in range(40)] + [(50, "a", "Only once in all of them. Short one."), (51, None, None), (52, "a", "zz. passage number Z   stands here!\nPassage number z stands here?")]
+    rows += [(60, "a", "One segment with two chapters."), (60, "b", "One segment with two chapters.")]
+    where = {}
+    for segment, chapter, text in rows:
+        for p in [*said, "one segment with two chapters"]:
+            if text and p in " ".join(text.lower().replace("\n", " ").split()):
+                where.setdefault(p, set()).add((segment, chapter))
+    ordered = sorted(((p, w) for p, w in where.items() if len(w) > 1), key=lambda x: (-len(x[1]), -len({c for _, c in x[1]} - {None}), x[0]))
+    want = [(p, len(w), len({c for _, c in w} - {None}), min(w)[0], max(i for i, _ in w), ",".join(str(i) for i in sorted(i for i, _ in w)[:3])) for p, w in ((p, sorted(w, key=lambda x: x[0])) for p, w in ordered)]
+    frame = spark.createDataFrame(rows, "segment long, chapter string, text string")
+    written, saved = [], book.ledger.saved
+    monkeypatch.setattr(book.ledger, "saved", lambda rows: written.append(rows.columns) or saved(rows))
+    for top, sent in ((5, 1 << 17), (16, 0), (100, 1 << 17), (100, 0)):
+        monkeypatch.setattr(book, "SENT_ROWS", sent)
+        got = sorted(map(tuple, book.repeated_passages(frame, top, 3).collect()), key=lambda r: (-r[1], -r[2], r[0]))
+        assert got == want[:top]
+    assert written[0] == ["k1", "k2", "segment", "chapter"]
+    assert book.repeated_passages(frame.where("segment = 50")).count() == 0

@@ -21,6 +21,8 @@ NAME_STOPS = (
 ).split()
 ARTICLES = ["the", "a", "an"]
 TITLES = "mr mrs ms miss dr prof sir lord lady captain capt".split()
+#: Rows of digests and places that may be sent to every task.
+SENT_ROWS = 1 << 17
 
 
 def smallest(rows: DataFrame, group: list[str], order: str, k: int, spread: int = 64) -> DataFrame:
@@ -82,14 +84,34 @@ def sentences(segments: DataFrame) -> DataFrame:
     return rows.select("segment", "chapter", "position", "unit.sentence", "unit.words").where(F.char_length("words") >= 3)
 
 
-def repeated_passages(units: DataFrame, top: int = 80, ids: int = 16) -> DataFrame:
-    """Passages of three words and twelve characters in more than one segment, the most frequent first."""
-    long = units.where((F.char_length("words") >= 12) & (F.size(F.split("words", " ")) >= 3)).select("words", "segment", "chapter").distinct()
-    counted = long.groupBy("words").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("chapter").alias("chapters"), F.min("segment").alias("first"), F.max("segment").alias("last"))
-    best = counted.where("n > 1").orderBy(F.col("n").desc(), F.col("chapters").desc(), "words").limit(top)
-    few = smallest(long.join(F.broadcast(best.select("words")), "words"), ["words"], "segment", ids)  # top rows
+def passages(segments: DataFrame) -> DataFrame:
+    """The sentences of three words and twelve characters as bare words, with a digest (k1, k2) of 128 bits."""
+    # bare words leave out what is stripped from a sentence, so the sentences themselves are not made
+    rows = segments.select("segment", "chapter", F.explode(F.transform(sentence_units(F.col("text")), lambda s: bare_words(s))).alias("words"))
+    long = rows.where((F.char_length("words") >= 12) & (F.size(F.split("words", " ")) >= 3))
+    return long.select(F.xxhash64("words").alias("k1"), F.xxhash64(F.lit("passage"), F.col("words")).alias("k2"), "words", "segment", "chapter")
+
+
+def repeated_passages(segments: DataFrame, top: int = 80, ids: int = 16) -> DataFrame:
+    """Passages of three words and twelve characters in more than one segment, the most frequent first.
+
+    Digests and places are counted; texts come back, from the first segment that holds each, to those that are among the
+    first ``top`` or tie with the last of them, and decide there."""
+    keyed = ledger.saved(passages(segments).drop("words").distinct())
+    found = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("chapter").alias("chapters"), F.min("segment").alias("first"), F.max("segment").alias("last"))
+    counted = ledger.saved(found.where("n > 1"))
+    lead = counted.select("n", "chapters").orderBy(F.col("n").desc(), F.col("chapters").desc()).limit(top).collect()  # top rows
+    tied = counted.where((F.col("n") > lead[-1]["n"]) | ((F.col("n") == lead[-1]["n"]) & (F.col("chapters") >= lead[-1]["chapters"]))) if lead else counted
+    # so many rows at most; with more, the texts go through the join
+    sent = F.broadcast if tied.count() <= SENT_ROWS else lambda rows: rows
+    # only these segments are cut into sentences again
+    again = segments.join(sent(tied.select(F.col("first").alias("of")).distinct()), F.col("segment").eqNullSafe(F.col("of")), "left_semi")
+    places = sent(tied.select(F.col("k1").alias("of1"), F.col("k2").alias("of2"), F.col("first").alias("of")))
+    texts = passages(again).join(places, (F.col("k1") == F.col("of1")) & (F.col("k2") == F.col("of2")) & F.col("segment").eqNullSafe(F.col("of"))).select("k1", "k2", "words").distinct()
+    best = ledger.saved(tied.join(texts, ["k1", "k2"]).orderBy(F.col("n").desc(), F.col("chapters").desc(), "words").limit(top))
+    few = smallest(keyed.join(F.broadcast(best.select("k1", "k2", "words")), ["k1", "k2"]), ["words"], "segment", ids)  # top rows
     listed = few.groupBy("words").agg(F.array_join(F.transform(F.array_sort(F.collect_list("segment")), lambda x: x.cast("string")), ",").alias("segments"))
-    return best.join(listed, "words")
+    return best.drop("k1", "k2").join(listed, "words").select("words", "n", "chapters", "first", "last", "segments")
 
 
 def chapters(segments: DataFrame) -> DataFrame:
